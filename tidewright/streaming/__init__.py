@@ -1,0 +1 @@
+"""Placeholder: the studies this library serves are batch only, so no stream operators exist."""
