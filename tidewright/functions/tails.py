@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_sf(x: float) -> float:
@@ -71,7 +72,7 @@ def f_sf(f: float, d1: float, d2: float) -> float:
 
 
 def _lifted(fn):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def column(*args: pd.Series) -> pd.Series:
         return pd.Series([None if any(pd.isna(v) for v in row) else float(fn(*map(float, row)))
                           for row in zip(*args, strict=True)], dtype="float64")

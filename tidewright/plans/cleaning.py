@@ -160,12 +160,12 @@ def p12(t):
                            from_parts(F.year(ts), F.month(ts), F.dayofmonth(ts)).alias("day_stamp"))
 
 
-@query("p13_derived_features", """SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 6) AS unit_price,
+@query("p13_derived_features", """SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0), 8) AS unit_price,
 round(l_discount / (l_tax + 1), 8) AS discount_ratio, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge,
 l_quantity - l_linenumber AS gap FROM lineitem""")
 def p13(t):
     price, d, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-    return t.lineitem.select("l_orderkey", "l_linenumber", r(C.ratio(price, F.col("l_quantity"))).alias("unit_price"),
+    return t.lineitem.select("l_orderkey", "l_linenumber", r(C.ratio(price, F.col("l_quantity")), 8).alias("unit_price"),
                              r(d / (tax + 1), 8).alias("discount_ratio"), r(price * (1 - d) * (1 + tax), 6).alias("charge"),
                              (F.col("l_quantity") - F.col("l_linenumber")).alias("gap"))
 

@@ -64,7 +64,7 @@ def daily(t) -> DataFrame:
     rows = t.orders.select(F.col("o_orderpriority").alias("series"),
                            position(F.col("o_orderdate"), "day").alias("pos"), "o_totalprice")
     return rows.groupBy("series", "pos").agg(
-        F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("y"))
+        F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("y"))
 
 
 def daily_filled(t) -> DataFrame:
@@ -80,7 +80,7 @@ def daily_returns(t) -> DataFrame:
 
 
 SQL_DAILY = """
-daily AS (SELECT o_orderpriority AS series, o_orderdate AS ts, count(*) AS n, round(avg(o_totalprice), 2) AS y
+daily AS (SELECT o_orderpriority AS series, o_orderdate AS ts, count(*) AS n, round(avg(o_totalprice), 6) AS y
           FROM orders GROUP BY 1, 2),
 dends AS (SELECT series, min(ts) AS a, max(ts) AS b FROM daily GROUP BY 1),
 dslots AS (SELECT series, u.ts FROM dends, unnest(generate_series(a, b, INTERVAL 1 DAY)) AS u(ts)),
