@@ -118,16 +118,18 @@ def running(df: DataFrame, series_cols: Sequence[str], pos: str, sums: Mapping[s
     aggs += [F.max(pair[n]).alias("_t_" + n) for n in last]
     aggs += [F.min(pair[n]).alias("_t_" + n) for n in following]
     blocks = rows.groupBy(*keys).agg(*aggs)
-    over = Window.partitionBy(*series_cols).orderBy("_block")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    after = over.rowsBetween(1, Window.unboundedFollowing)
+    # backward looks scan in falling order: a frame open to the right is recomputed for every row
+    over = Window.partitionBy(*series_cols)
+    before = over.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    after = over.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(
         *keys,
         *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_c_" + n) for n in sums],
         *[F.max("_t_" + n).over(before).alias("_c_" + n) for n in last],
         *[F.min("_t_" + n).over(after).alias("_c_" + n) for n in following])
-    w = Window.partitionBy(*keys).orderBy(pos)
-    upto, since = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys)
+    upto = w.orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    since = w.orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
     joined = rows.join(carried, keys)
     cols = [(F.coalesce(F.sum("_in_" + n).over(upto), F.lit(0)) + F.col("_c_" + n)).alias(n) for n in sums]
     cols += [F.coalesce(F.max(pair[n]).over(upto), F.col("_c_" + n)).alias(n) for n in last]

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import settle
+
 BLOCK = 4096
 
 
@@ -36,7 +38,7 @@ def affine_filter(df: DataFrame, series_cols: Sequence[str], pos: str, inputs: d
     """
     start = start or {}
     keys = [*series_cols, "_block"]
-    rows = df.withColumn("_block", F.floor(F.col(pos) / block).cast("long"))
+    rows = settle(df.withColumn("_block", F.floor(F.col(pos) / block).cast("long")))
     last = F.max(pos).alias("_end")
     per = rows.groupBy(*keys).agg(last, F.count("*").alias("_len"),
                                   *[F.max(start[o]).alias("_s_" + o) if o in start else F.lit(0.0).alias("_s_" + o)
@@ -91,7 +93,7 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
     Returns (series, param, sse, n, state): ``state`` is the one after the last slot.
     """
     keys = [*series_cols, "_block"]
-    rows = df.select(*series_cols, pos, value).withColumn("_block", F.floor(F.col(pos) / block).cast("long"))
+    rows = settle(df.select(*series_cols, pos, value).withColumn("_block", F.floor(F.col(pos) / block).cast("long")))
     systems = [system(p) for p in params]
     schema = rows.schema
     key_fields = [f"`{c}` {schema[c].dataType.simpleString()}" for c in keys]

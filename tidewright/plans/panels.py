@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.gridtime import position, slot_start
 from tidewright.operators.grid import complete, interpolate
 from tidewright.operators.ordering import lag_of, look_around
+from tidewright.session import settle
 
 S = ["series"]
 
@@ -32,13 +33,16 @@ def hourly(t) -> DataFrame:
 
 
 def hourly_grid(t) -> DataFrame:
-    """Complete hourly grid with missing values in the real gaps."""
-    return complete(hourly(t), S, "pos").withColumn("ts", slot_start(F.col("pos"), "hour"))
+    """Complete hourly grid with missing values in the real gaps.
+
+    The panel is stored once it is aggregated: later branches read it instead of the source table.
+    """
+    return complete(settle(hourly(t)), S, "pos").withColumn("ts", slot_start(F.col("pos"), "hour"))
 
 
 def hourly_filled(t) -> DataFrame:
     rows = interpolate(hourly_grid(t), S, "pos", "y", "x")
-    return rows.withColumn("x", F.round("x", 6))
+    return settle(rows.withColumn("x", F.round("x", 6)))
 
 
 SQL_HOURLY = """
@@ -68,15 +72,15 @@ def daily(t) -> DataFrame:
 
 
 def daily_filled(t) -> DataFrame:
-    rows = interpolate(complete(daily(t), S, "pos"), S, "pos", "y", "x")
-    return rows.withColumn("x", F.round("x", 6)).withColumn("ts", slot_start(F.col("pos"), "day"))
+    rows = interpolate(complete(settle(daily(t)), S, "pos"), S, "pos", "y", "x")
+    return settle(rows.withColumn("x", F.round("x", 6)).withColumn("ts", slot_start(F.col("pos"), "day")))
 
 
 def daily_returns(t) -> DataFrame:
     """Log returns of the daily mean price in per cent."""
     rows = look_around(daily_filled(t), S, "pos", {"_l": lag_of("x", 1)})
-    return (rows.withColumn("ret", F.round((F.log("x") - F.log("_l")) * 100, 6)).filter(F.col("ret").isNotNull())
-            .select("series", "pos", "ts", "x", "ret"))
+    return settle(rows.withColumn("ret", F.round((F.log("x") - F.log("_l")) * 100, 6)).filter(F.col("ret").isNotNull())
+                  .select("series", "pos", "ts", "x", "ret"))
 
 
 SQL_DAILY = """

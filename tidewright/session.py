@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so later branches read the same stored rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written under the shared checkpoint folder.
+
+    Later branches read the same stored rows, with column pruning and real size statistics, and a lost
+    executor costs a re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
