@@ -20,6 +20,13 @@ from tidewright.session import settle
 BLOCK = 4096
 
 
+def beside_keys(out: pd.DataFrame, group: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
+    """Repeat the key values of a group beside its result rows."""
+    for c in keys:
+        out[c] = pd.Series([group[c].iloc[0]] * len(out), index=out.index, dtype=object)
+    return out
+
+
 def _runs(u: np.ndarray, phi: float, start: float) -> np.ndarray:
     out = np.empty(len(u))
     s = start
@@ -107,8 +114,7 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
                 s = a @ s + b * v
             out.append((k, s.tolist(), len(y)))
         res = pd.DataFrame(out, columns=["param", "c", "len"])
-        for c in keys:
-            res[c] = pdf[c].iloc[0]
+        res = beside_keys(res, pdf, keys)
         return res[[*keys, "param", "c", "len"]]
 
     effects = rows.groupBy(*keys).applyInPandas(
@@ -144,8 +150,7 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
                 s = a @ s + b * v
             out.append((k, sse, len(y), s.tolist()))
         res = pd.DataFrame(out, columns=["param", "sse", "n", "state"])
-        for c in keys:
-            res[c] = pdf[c].iloc[0]
+        res = beside_keys(res, pdf, keys)
         return res[[*keys, "param", "sse", "n", "state"]]
 
     scored = rows.join(gathered, keys).groupBy(*keys).applyInPandas(
