@@ -278,15 +278,16 @@ def segment_spectra(df: DataFrame, series_cols: Sequence[str], pos: str, value:
     def transform(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("_at")[value].to_numpy(dtype=float)
         names = [*keys, "k", "period", "power"]
-        if len(y) < width or np.isnan(y).any():
-            return pd.DataFrame({n: [] for n in names})
+        if len(y) < width or np.isnan(y).any():  # a partial segment is marked and filtered below
+            return beside_keys(pd.DataFrame({"k": [0], "period": [0.0], "power": [0.0]}), pdf, keys)[names]
         spec = np.abs(np.fft.rfft((y - y.mean()) * window)) ** 2 / (window ** 2).sum()
         k = np.arange(1, len(spec))
         power = spec[1:] * np.where((width % 2 == 0) & (k == width // 2), 1.0, 2.0)
         out = pd.DataFrame({"k": k, "period": width / k, "power": power})
         return beside_keys(out, pdf, keys)[names]
 
-    return rows.groupBy(*keys).applyInPandas(transform, ", ".join([*fields, "k int", "period double", "power double"]))
+    spectra = rows.groupBy(*keys).applyInPandas(transform, ", ".join([*fields, "k int", "period double", "power double"]))
+    return spectra.filter("k > 0")
 
 
 def mean_spectrum(df: DataFrame, series_cols: Sequence[str], pos: str, value: str, width: int) -> DataFrame:

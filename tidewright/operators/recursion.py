@@ -157,3 +157,57 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
         replay, ", ".join([*key_fields, "param int", "sse double", "n long", "state array<double>"]))
     return scored.groupBy(*series_cols, "param").agg(
         F.sum("sse").alias("sse"), F.sum("n").alias("n"), F.max_by("state", "_block").alias("state"))
+
+
+def scalar_grid(df: DataFrame, series_cols: Sequence[str], pos: str, cols: Sequence[str], decay: np.ndarray,
+                inputs: Callable[[pd.DataFrame], np.ndarray], loss: Callable[[pd.DataFrame, np.ndarray], np.ndarray],
+                start: DataFrame, start_col: str, block: int = BLOCK) -> DataFrame:
+    """Total loss of a scalar recursion ``s[t] = decay[p] * s[t-1] + u[t, p]`` for every parameter set p.
+
+    ``inputs(rows)`` gives the (slots × parameter sets) array u; ``loss(rows, before)`` the loss per slot
+    given the state before it. Returns (series, param, loss, n, state).
+    """
+    keys = [*series_cols, "_block"]
+    decay = np.asarray(decay, dtype=float)
+    rows = settle(df.select(*series_cols, pos, *cols).withColumn("_block", F.floor(F.col(pos) / block).cast("long")))
+    schema = rows.schema
+    key_fields = [f"`{c}` {schema[c].dataType.simpleString()}" for c in keys]
+
+    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        s = np.zeros(len(decay))
+        for row in inputs(pdf):
+            s = decay * s + row
+        return beside_keys(pd.DataFrame({"c": [s.tolist()], "len": [len(pdf)]}), pdf, keys)[[*keys, "c", "len"]]
+
+    effects = rows.groupBy(*keys).applyInPandas(effect, ", ".join([*key_fields, "c array<double>", "len long"]))
+    seeded = effects.join(start.select(*series_cols, start_col), list(series_cols))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        s = np.full(len(decay), float(pdf[start_col].iloc[0]))
+        begins = []
+        for c, n in zip(pdf["c"], pdf["len"], strict=True):
+            begins.append(s.tolist())
+            s = decay ** int(n) * s + np.asarray(c, dtype=float)
+        res = pdf[keys].copy()
+        res["s"] = begins
+        return res
+
+    begins = seeded.groupBy(*series_cols).applyInPandas(compose, ", ".join([*key_fields, "s array<double>"]))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        s = np.asarray(pdf["s"].iloc[0], dtype=float)
+        before = np.empty((len(pdf), len(decay)))
+        for i, row in enumerate(inputs(pdf)):
+            before[i] = s
+            s = decay * s + row
+        total = loss(pdf, before).sum(axis=0)
+        res = pd.DataFrame({"param": np.arange(len(decay)), "loss": total, "n": len(pdf), "state": s})
+        return beside_keys(res, pdf, keys)[[*keys, "param", "loss", "n", "state"]]
+
+    scored = rows.join(begins, keys).groupBy(*keys).applyInPandas(
+        replay, ", ".join([*key_fields, "param int", "loss double", "n long", "state double"]))
+    return scored.groupBy(*series_cols, "param").agg(
+        F.sum("loss").alias("loss"), F.sum("n").alias("n"), F.max_by("state", "_block").alias("state"))
