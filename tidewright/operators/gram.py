@@ -10,12 +10,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+WIDE = 120  # column pairs beyond which an aggregate expression per pair no longer compiles well
+
+
+def _wide_moment_rows(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Moments through per-batch product matrices of columns shifted by their overall means.
+
+    Each batch yields one row per key and matrix element; sums are combined before the shuffle. A null
+    counts as the mean, for callers that ignore the affected elements.
+    """
+    shift = [0.0 if v is None else float(v) for v in df.agg(*[F.avg(f"`{c}`") for c in cols]).first()]
+    k = len(cols)
+    upper = np.triu_indices(k)
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys]
+
+    def products(batches):
+        held: dict = {}
+        for pdf in batches:
+            parts = pdf.groupby(keys[0], dropna=False) if keys else [(None, pdf)]
+            for key, part in parts:
+                x = np.nan_to_num(part[cols].to_numpy(dtype=float) - np.asarray(shift))
+                n, s, p = held.get(key, (0, np.zeros(k), np.zeros((k, k))))
+                held[key] = (n + len(x), s + x.sum(axis=0), p + x.T @ x)
+        for key, (n, s, p) in held.items():
+            flat = np.concatenate([[float(n)], s, p[upper]])
+            out = pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
+            if keys:
+                out.insert(0, keys[0], key)
+            yield out
+
+    cells = df.select(*keys, *cols).mapInPandas(products, ", ".join([*fields, "i int", "v double"]))
+    sums = cells.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+    row = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))  # fixed length
+    flat, n = F.col("c.v"), F.element_at("c.v", 1)
+    means = F.transform(F.slice(flat, 2, k), lambda v: v / n)
+    pairs = F.array(*[F.struct(F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b")) for a, b in zip(*upper, strict=True)])
+    covs = F.transform(F.arrays_zip(F.slice(flat, 2 + k, len(upper[0])).alias("p"), pairs.alias("ij")),
+                       lambda z: z["p"] / n - means[z["ij"]["a"]] * means[z["ij"]["b"]])
+    back = F.transform(F.arrays_zip(means.alias("m"), F.array(*[F.lit(v) for v in shift]).alias("s")), lambda z: z["m"] + z["s"])
+    return row.select(*keys, n.cast("long").alias("n"), back.alias("means"), covs.alias("covs"))
+
+
 def moment_rows(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """n, means and the upper triangle of population covariances of ``cols``, one row per group.
 
-    Covariances are merged from centred partial sums, so large levels lose no precision.
+    Covariances are merged from centred partial sums, so large levels lose no precision. Wide sets of
+    columns take the matrix path: one product matrix per Arrow batch, summed by Spark.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    if len(pairs) > WIDE and len(keys) <= 1:
+        return _wide_moment_rows(df, list(keys), list(cols))
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.array(*[F.avg(f"`{c}`") for c in cols]).alias("means"),
         F.array(*[F.covar_pop(f"`{a}`", f"`{b}`") for a, b in pairs]).alias("covs"))

@@ -148,9 +148,9 @@ def _anomalies(t):
     return anomaly.residual_scores(rows, S, "x", ["we", "h"])
 
 
-@query("m8_anomaly_scores", f"WITH {_ANOM} SELECT series, ts, round(resid, 6) + 0.0 AS resid, round(z, 6) + 0.0 AS z, abs(z) > 4 AS flagged FROM zs")
+@query("m8_anomaly_scores", f"WITH {_ANOM} SELECT series, ts, round(resid, 9) + 0.0 AS resid, round(z, 6) + 0.0 AS z, abs(z) > 4 AS flagged FROM zs")
 def m8(t):
-    return _anomalies(t).select("series", "ts", r("resid").alias("resid"), r("z").alias("z"), (F.abs("z") > 4).alias("flagged"))
+    return _anomalies(t).select("series", "ts", r("resid", 9).alias("resid"), r("z").alias("z"), (F.abs("z") > 4).alias("flagged"))
 
 
 @query("m9_extreme_anomalies", f"""WITH {_ANOM}, k AS (SELECT series, ts, round(z, 6) + 0.0 AS z FROM zs)
