@@ -7,6 +7,7 @@ which cells can matter. Only those (query, cell) pairs are joined, in chunks of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,12 +32,15 @@ def _cell_column(df: DataFrame, features: Sequence[str], n_cuts: int, n_dims: in
 
 
 def nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, features: Sequence[str], k: int,
-            within: Sequence[str] = (), exclude_same_id: bool = False, n_cuts: int = 8, n_dims: int = 3) -> DataFrame:
+            within: Sequence[str] = (), exclude_same_id: bool = False, n_cuts: int | None = None, n_dims: int = 3) -> DataFrame:
     """The k nearest data rows of each query by Euclidean distance: (query_id, within, data_id, distance, place).
 
     Ties go to the smaller ``data_id``. ``within`` restricts neighbours to rows with equal key values.
+    ``n_cuts`` per cut column follows from the number of data rows unless given; it never changes the result.
     """
     features, within = list(features), list(within)
+    if n_cuts is None:
+        n_cuts = min(20, math.ceil((8 * data.count() / CHUNK) ** (1 / n_dims)) or 1)
     groups = data.select(*within).distinct().count() if within else 1
     while n_cuts > 1 and groups * n_cuts ** n_dims > MAX_CELLS:
         n_cuts -= 1
@@ -95,30 +99,24 @@ def nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, fe
     out_fields = ", ".join([f"`{w}` {q.schema[w].dataType.simpleString()}" for w in within] + [f"_q {q_type}", f"_d {d_type}", "_dist double"])
 
     def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        ids = right["_d"].to_numpy()
+        right = right.sort_values("_d")
+        ids, own = right["_d"].to_numpy(), left["_q"].to_numpy()
         x, y = left[features].to_numpy(dtype=float), right[features].to_numpy(dtype=float)
+        row, near, far = [], [], []
         for at in range(0, len(x), 256):
             dist = np.zeros((len(x[at:at + 256]), len(y)))
             for f in range(len(features)):
                 dist += (x[at:at + 256, f, None] - y[None, :, f]) ** 2
             dist = np.sqrt(dist)
             if exclude_same_id:
-                dist[left["_q"].to_numpy()[at:at + 256, None] == ids[None, :]] = np.inf
-            for i in range(len(dist)):
-                row = dist[i]
-                if len(row) > k:
-                    limit = np.partition(row, k - 1)[k - 1]
-                    pick = np.nonzero(row <= limit)[0]
-                else:
-                    pick = np.arange(len(row))
-                pick = pick[np.isfinite(row[pick])]
-                pick = pick[np.lexsort((ids[pick], row[pick]))][:k]
-                rows = pd.DataFrame({"_d": ids[pick], "_dist": row[pick]})
-                for c in [*within, "_q"]:
-                    rows[c] = left[c].iloc[at + i]
-                parts.append(rows)
-        return pd.concat(parts)[[*within, "_q", "_d", "_dist"]]
+                dist[own[at:at + 256, None] == ids[None, :]] = np.inf
+            pick = np.argsort(dist, axis=1, kind="stable")[:, :k]  # rows are in id order, so ties keep the smaller id
+            row.append(np.repeat(np.arange(at, at + len(dist)), pick.shape[1]))
+            near.append(ids[pick].ravel())
+            far.append(np.take_along_axis(dist, pick, axis=1).ravel())
+        out = left[[*within, "_q"]].iloc[np.concatenate(row)].reset_index(drop=True)
+        out["_d"], out["_dist"] = np.concatenate(near), np.concatenate(far)
+        return out[np.isfinite(out["_dist"].to_numpy())][[*within, "_q", "_d", "_dist"]]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

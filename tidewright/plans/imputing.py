@@ -23,14 +23,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, near) AS plac
 @query("j9_nearest_neighbours", f"{_NEAR} SELECT vec_id, near AS vec_id_near, CAST(place AS INTEGER) AS place, round(d, 6) AS distance FROM k WHERE place <= 3")
 def j9(t):
     rows = settle(_unnest(t))
-    near = nearest(rows, rows, "vec_id", "vec_id", [f"e{i}" for i in range(64)], 3, exclude_same_id=True, n_cuts=4)
+    near = nearest(rows, rows, "vec_id", "vec_id", [f"e{i}" for i in range(64)], 3, exclude_same_id=True)
     return near.select("vec_id", "vec_id_near", "place", r("distance").alias("distance"))
 
 
 @query("l36_nearest_label_accuracy", f"{_NEAR} SELECT count(*) AS n, round(avg((label = near_label)::INTEGER), 8) AS accuracy FROM k WHERE place = 1")
 def l36(t):
     rows = settle(_unnest(t))
-    near = nearest(rows, rows, "vec_id", "vec_id", [f"e{i}" for i in range(64)], 1, exclude_same_id=True, n_cuts=4)
+    near = nearest(rows, rows, "vec_id", "vec_id", [f"e{i}" for i in range(64)], 1, exclude_same_id=True)
     labels = rows.select(F.col("vec_id").alias("vec_id_near"), F.col("label").alias("near_label"))
     both = near.join(rows.select("vec_id", "label"), "vec_id").join(labels, "vec_id_near")
     return both.agg(F.count("*").alias("n"), r(F.avg((F.col("label") == F.col("near_label")).cast("int")), 8).alias("accuracy"))
