@@ -82,7 +82,7 @@ def l5s(t):
 
 _TRAIN = SQL_PREDICTIONS + """, tr AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY pos) AS i, row_number() OVER (PARTITION BY series ORDER BY pos DESC) AS j FROM preds WHERE part = 'train'),
 en AS (SELECT series, max(x) FILTER (i = 1) AS f, max(x) FILTER (j = 1) AS l, avg(x) AS m, count(*) AS n FROM tr GROUP BY 1),
-bl AS (SELECT en.series, CAST(k AS INTEGER) AS step, l, f + 0 AS f, m, n, s.x AS sx FROM en CROSS JOIN generate_series(1, 48) AS g(k) JOIN tr s ON s.series = en.series AND s.j = 24 - (k - 1) % 24)"""
+bl AS (SELECT en.series, CAST(k AS INTEGER) AS step, l, f, m, en.n, s.x AS sx FROM en CROSS JOIN generate_series(1, 48) AS g(k) JOIN tr s ON s.series = en.series AND s.j = 24 - (k - 1) % 24)"""
 
 
 @query("l6_baseline_forecasts", f"""WITH {_TRAIN} SELECT series, step, 'naive' AS model, round(l, 6) AS yhat FROM bl UNION ALL SELECT series, step, 'seasonal_naive', round(sx, 6) FROM bl
