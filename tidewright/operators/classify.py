@@ -109,10 +109,9 @@ def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def pr_curve(df: DataFrame, y: str, p: str) -> DataFrame:
     """Precision and recall at each distinct score, highest first."""
-    scanned = sorted_scan(_score_cells(df, y, p), [], [F.col("_p").desc()], {"tp": "_pos", "fp": "_neg"})
-    rows = attach(scanned, scanned.agg(F.sum("_pos").alias("_total")))
+    rows = sorted_scan(_score_cells(df, y, p), [], [F.col("_p").desc()], {"tp": "_pos", "fp": "_neg"}, totals=True)
     return rows.select(F.col("_p").alias("score"), "tp", "fp", F.col("_pos").alias("hits"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-                       (F.col("tp") / F.nullif(F.col("_total"), F.lit(0))).alias("recall"))
+                       (F.col("tp") / F.nullif(F.col("tp_total"), F.lit(0))).alias("recall"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:

@@ -78,10 +78,9 @@ def stratified(df: DataFrame, stratum: str, key: str, test_share: float | None =
                seed: int = 0) -> DataFrame:
     """Rows placed by hash inside each stratum: ``is_test`` for the first share of them, or a ``fold`` number."""
     order = [portable_hash(F.col(key) + F.lit(seed)), F.col(key)]
-    rows = sorted_scan(df, [stratum], order, row_number="_place")
+    rows = sorted_scan(df, [stratum], order, row_number="_place", totals=True)
     if n_folds:
         rows = rows.withColumn("fold", ((F.col("_place") - 1) % n_folds).cast("int"))
     if test_share is not None:
-        sizes = rows.groupBy(stratum).agg(F.count("*").alias("_m"))
-        rows = attach(rows, sizes, [stratum]).withColumn("is_test", F.col("_place") <= F.floor(F.col("_m") * test_share + 0.5)).drop("_m")
-    return rows.drop("_place")
+        rows = rows.withColumn("is_test", F.col("_place") <= F.floor(F.col("_place_total") * test_share + 0.5))
+    return rows.drop("_place", "_place_total")

@@ -139,34 +139,47 @@ def running(df: DataFrame, series_cols: Sequence[str], pos: str, sums: Mapping[s
 
 
 # ------------------------------------------------------------------ sorted scan
+def _store_sorted(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column]):
+    """Rows range-sorted by group and order and stored with their partition number, and its running totals.
+
+    The second table has one row per (group, partition): ``_c_<name>`` before it, ``_t_<name>`` inside it and
+    ``_all_<name>`` for the whole group.
+    """
+    stored = df.select("*", *[c.alias("_in_" + n) for n, c in sums.items()])
+    stored = settle(stored.sort(*[F.col(g) for g in group_cols], *order).withColumn("_part", F.spark_partition_id()))
+    totals = stored.groupBy(*group_cols, "_part").agg(*[F.sum("_in_" + n).alias("_t_" + n) for n in sums])
+    whole = Window.partitionBy(*group_cols)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("*", *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_c_" + n) for n in sums],
+                            *[F.sum("_t_" + n).over(whole).alias("_all_" + n) for n in sums])
+    return stored, offsets
+
+
 def sorted_scan(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column],
                 sums: Mapping[str, str | Column] = (), row_number: str | None = None,
-                bounded: bool = False) -> DataFrame:
+                bounded: bool = False, totals: bool = False) -> DataFrame:
     """Running totals (and row numbers) of each group in any order.
 
     The rows are range-sorted by group and order, stored once with the partition they fell in, and
     scanned per (group, partition): a group that holds most rows spreads over many partitions.
-    ``order`` must be unique within a group for a reproducible result. ``bounded`` marks groups
-    whose size is fixed by construction (24 hours, k levels) and uses a plain window.
+    ``order`` must be unique within a group for a reproducible result. ``totals`` adds ``<name>_total``,
+    the whole group's sum. ``bounded`` marks groups whose size is fixed by construction (24 hours,
+    k levels) and uses a plain window.
     """
     sums = {n: (F.col(c) if isinstance(c, str) else c) for n, c in dict(sums).items()}
     if row_number:
         sums[row_number] = F.lit(1).cast("long")
     if bounded:
-        w = Window.partitionBy(*group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    stored = df.select("*", *[c.alias("_in_" + n) for n, c in sums.items()])
-    stored = settle(stored.sort(*[F.col(g) for g in group_cols], *order)
-                    .withColumn("_part", F.spark_partition_id()))
-    keys = [*group_cols, "_part"]
-    totals = stored.groupBy(*keys).agg(*[F.sum("_in_" + n).alias("_t_" + n) for n in sums])
-    before = Window.partitionBy(*group_cols).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum("_t_" + n).over(before), F.lit(0)).alias("_c_" + n)
-                                     for n in sums])
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = stored.join(offsets, keys).select(
-        "*", *[(F.coalesce(F.sum("_in_" + n).over(w), F.lit(0)) + F.col("_c_" + n)).alias(n) for n in sums])
-    return out.drop("_part", *["_c_" + n for n in sums], *["_in_" + n for n in sums])
+        w = Window.partitionBy(*group_cols)
+        upto = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        ends = [F.sum(c).over(w).alias(n + "_total") for n, c in sums.items()] if totals else []
+        return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()], *ends)
+    stored, offsets = _store_sorted(df, group_cols, order, sums)
+    w = Window.partitionBy(*group_cols, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cols = [(F.coalesce(F.sum("_in_" + n).over(w), F.lit(0)) + F.col("_c_" + n)).alias(n) for n in sums]
+    if totals:
+        cols += [F.col("_all_" + n).alias(n + "_total") for n in sums]
+    return stored.join(offsets, [*group_cols, "_part"]).select(*df.columns, *cols)
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str] = (), max_rows: int | None = None,
@@ -191,15 +204,10 @@ def value_counts(df: DataFrame, group_cols: Sequence[str], value: str) -> DataFr
             .agg(F.count("*").alias("_n")))
 
 
-def average_ranks(df: DataFrame, group_cols: Sequence[str], value: str, rank: str = "rank",
-                  total: str | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, group_cols: Sequence[str], value: str, rank: str = "rank") -> DataFrame:
     """One row per (group, value) with its average rank (ties share the mean of their places)."""
     scanned = sorted_scan(value_counts(df, group_cols, value), group_cols, [F.col(value)], {"_cum": "_n"})
-    out = scanned.withColumn(rank, F.col("_cum") - (F.col("_n") - 1) / 2.0)
-    if total:
-        n = scanned.groupBy(*group_cols).agg(F.sum("_n").alias(total))
-        out = attach(out, n, group_cols)
-    return out
+    return scanned.withColumn(rank, F.col("_cum") - (F.col("_n") - 1) / 2.0)
 
 
 def quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs: Mapping[str, float],
@@ -207,28 +215,37 @@ def quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs: Mappi
     """Exact quantiles by linear interpolation, one column per entry of ``probs``.
 
     ``bounded`` is for groups of a size fixed by construction: the built-in exact aggregate is used.
-    Otherwise the order statistics are picked from running counts of distinct values, so no task
-    holds a group. ``finite_sample`` entries are order statistics ceil((n + 1) * level), capped at n.
+    Otherwise distinct values with counts are range-sorted and stored, and only the few stored partitions
+    that hold a wanted order statistic are scanned: no task holds a group. ``finite_sample`` entries are
+    order statistics ceil((n + 1) * level), capped at n.
     """
     if bounded and not finite_sample:
         return df.groupBy(*group_cols).agg(
             *[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
-    counts = value_counts(df, group_cols, value)
-    scanned = sorted_scan(counts, group_cols, [F.col(value)], {"_cum": "_n"})
-    totals = counts.groupBy(*group_cols).agg(F.sum("_n").alias("_total"))
-    placed = attach(scanned, totals, group_cols)
-    cum, before, total, v = F.col("_cum"), F.col("_cum") - F.col("_n"), F.col("_total"), F.col(value)
-    aggs, outs = [], []
+    stored, offsets = _store_sorted(value_counts(df, group_cols, value), group_cols, [F.col(value)], {"cum": F.col("_n")})
+    total, v = F.col("_all_cum"), F.col(value)
+    wanted = {}
     for name, p in dict(probs).items():
         at = (total - 1) * F.lit(float(p))
-        lo, hi = F.floor(at), F.ceil(at)
-        aggs += [F.max(F.when((before <= lo) & (lo < cum), v)).alias("_lo_" + name),
-                 F.max(F.when((before <= hi) & (hi < cum), v)).alias("_hi_" + name),
-                 F.max(at - lo).alias("_f_" + name)]
-        outs.append((F.col("_lo_" + name) + (F.col("_hi_" + name) - F.col("_lo_" + name))
-                     * F.col("_f_" + name)).alias(name))
+        wanted[name] = (F.floor(at), F.ceil(at), at - F.floor(at))
     for name, level in dict(finite_sample).items():
         k = F.least(F.ceil((total + 1) * F.lit(float(level))), total) - 1
-        aggs.append(F.max(F.when((before <= k) & (k < cum), v)).alias("_lo_" + name))
-        outs.append(F.col("_lo_" + name).alias(name))
-    return placed.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)
+        wanted[name] = (k, k, F.lit(0.0))
+
+    def holds(first: Column, past: Column, k: Column) -> Column:
+        return (first <= k) & (k < past)
+
+    here = F.lit(False)
+    for lo, hi, _ in wanted.values():
+        for k in (lo, hi):
+            here = here | holds(F.col("_c_cum"), F.col("_c_cum") + F.col("_t_cum"), k)
+    w = Window.partitionBy(*group_cols, "_part").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+    rows = stored.join(offsets.filter(here), [*group_cols, "_part"])
+    rows = rows.withColumn("_past", F.sum("_n").over(w) + F.col("_c_cum")).withColumn("_first", F.col("_past") - F.col("_n"))
+    aggs, outs = [], []
+    for name, (lo, hi, share) in wanted.items():
+        aggs += [F.max(F.when(holds(F.col("_first"), F.col("_past"), k), v)).alias(f"_{side}_{name}") for side, k in (("lo", lo), ("hi", hi))]
+        aggs.append(F.max(share).alias("_f_" + name))
+        low = F.col("_lo_" + name)
+        outs.append((low + (F.col("_hi_" + name) - low) * F.col("_f_" + name)).alias(name))
+    return rows.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)

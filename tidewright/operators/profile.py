@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.columns import normal_quantile
 from tidewright.operators.ordering import attach, quantiles, sorted_scan, value_counts
+from tidewright.session import settle
 
 
 def unbiased_skew(c: str | Column, n: Column) -> Column:
@@ -57,15 +58,17 @@ def normality(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def mad(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Median and median absolute deviation."""
-    med = quantiles(df, keys, value, {"median": 0.5})
+    med = settle(quantiles(df, keys, value, {"median": 0.5}))
     rows = attach(df.select(*keys, value), med, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     return attach(med, quantiles(rows, keys, "_dev", {"mad": 0.5}), keys)
 
 
 def outlier_flags(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows with Tukey fences (1.5 IQR) and modified z (MAD, 3.5) flags; a zero MAD flags nothing."""
-    q = quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
-    rows = attach(attach(df, q, keys), mad(df, value, keys), keys)
+    q = settle(quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+    dev = attach(df.select(*keys, value), q, keys).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    q = attach(q, quantiles(dev, keys, "_dev", {"mad": 0.5}), keys)
+    rows = attach(df, q, keys)
     v, spread = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     z = 0.6745 * (v - F.col("median")) / F.nullif(F.col("mad"), F.lit(0.0))
     return rows.select(*df.columns, ((v < F.col("q1") - spread) | (v > F.col("q3") + spread)).alias("iqr_outlier"),
@@ -95,10 +98,8 @@ def histogram2d(df: DataFrame, a: str, b: str, ka: int, kb: int) -> DataFrame:
 
 def ecdf(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Cumulative share at each distinct value."""
-    counts = value_counts(df, keys, value)
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    rows = attach(sorted_scan(counts, keys, [F.col(value)], {"_cum": "_n"}), total, keys)
-    return rows.select(*keys, value, (F.col("_cum") / F.col("_total")).alias("share"))
+    rows = sorted_scan(value_counts(df, keys, value), keys, [F.col(value)], {"_cum": "_n"}, totals=True)
+    return rows.select(*keys, value, (F.col("_cum") / F.col("_cum_total")).alias("share"))
 
 
 def box_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -113,9 +114,8 @@ def box_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFram
 
 def qq_points(df: DataFrame, value: str, tiebreak: str) -> DataFrame:
     """Ordered values beside normal quantiles at Filliben's order statistic medians."""
-    rows = sorted_scan(df.select(value, tiebreak).na.drop(), [], [F.col(value), F.col(tiebreak)], row_number="place")
-    rows = attach(rows, df.agg(F.count(value).alias("_n")))
-    i, n = F.col("place"), F.col("_n")
+    rows = sorted_scan(df.select(value, tiebreak).na.drop(), [], [F.col(value), F.col(tiebreak)], row_number="place", totals=True)
+    i, n = F.col("place"), F.col("place_total")
     edge = F.pow(F.lit(0.5), 1 / n)
     p = F.when(i == 1, 1 - edge).when(i == n, edge).otherwise((i - 0.3175) / (n + 0.365))
     return rows.select(tiebreak, value, "place", p.alias("p"), normal_quantile(p).alias("theoretical"))
@@ -124,9 +124,8 @@ def qq_points(df: DataFrame, value: str, tiebreak: str) -> DataFrame:
 def exceedance_curve(df: DataFrame, value: str, tiebreak: Sequence[str]) -> DataFrame:
     """Values from largest to smallest with the per cent of rows placed before each."""
     order = [F.col(value).desc(), *[F.col(c) for c in tiebreak]]
-    rows = sorted_scan(df.filter(F.col(value).isNotNull()), [], order, row_number="place")
-    rows = attach(rows, df.agg(F.count(value).alias("_n")))
-    return rows.withColumn("pct_exceeding", (F.col("place") - 1) * 100.0 / F.col("_n")).drop("_n")
+    rows = sorted_scan(df.filter(F.col(value).isNotNull()), [], order, row_number="place", totals=True)
+    return rows.withColumn("pct_exceeding", (F.col("place") - 1) * 100.0 / F.col("place_total")).drop("place_total")
 
 
 def frequencies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -153,10 +152,9 @@ def ks_two_sample(df: DataFrame, value: str, flag: str) -> DataFrame:
     """Largest gap between the distribution functions of flagged and unflagged rows."""
     cells = df.filter(F.col(value).isNotNull()).groupBy(value).agg(
         F.count_if(F.col(flag)).alias("_a"), F.count_if(~F.col(flag)).alias("_b"))
-    total = cells.agg(F.sum("_a").alias("n_flagged"), F.sum("_b").alias("n_rest"))
-    rows = attach(sorted_scan(cells, [], [F.col(value)], {"_ca": "_a", "_cb": "_b"}), total)
-    gap = F.abs(F.col("_ca") / F.col("n_flagged") - F.col("_cb") / F.col("n_rest"))
-    return rows.groupBy("n_flagged", "n_rest").agg(F.max(gap).alias("ks"))
+    rows = sorted_scan(cells, [], [F.col(value)], {"_ca": "_a", "_cb": "_b"}, totals=True)
+    gap = F.abs(F.col("_ca") / F.col("_ca_total") - F.col("_cb") / F.col("_cb_total"))
+    return rows.agg(F.max("_ca_total").alias("n_flagged"), F.max("_cb_total").alias("n_rest"), F.max(gap).alias("ks"))
 
 
 def ks_p_value(ks: Column, n1: Column, n2: Column) -> Column:

@@ -12,6 +12,7 @@ from tidewright.functions.tails import chi2_sf, normal_two_sided_p
 from tidewright.operators.gram import Moments, moment_rows, solve_rows
 from tidewright.operators.ordering import attach, lag_of, look_around, quantiles
 from tidewright.operators.recursion import affine_filter, scalar_grid
+from tidewright.session import settle
 
 
 def ewma_moments(df: DataFrame, entity: str, pos: str, value: str, lam: float = 0.94) -> DataFrame:
@@ -20,11 +21,10 @@ def ewma_moments(df: DataFrame, entity: str, pos: str, value: str, lam: float =
     Pairs are built from a wide pivot of the (fixed, small) entity set, one row per slot.
     """
     wide, names = widen(df, entity, pos, value)
-    wide = wide.na.drop()
+    wide = settle(wide.na.drop())
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     seeds = wide.agg(*[F.covar_samp(a, b).alias(f"s_{i}") for i, (a, b) in enumerate(_quoted(pairs))])
-    dense = wide.withColumn("_one", F.lit(1))
-    long = dense.select(pos, F.inline(F.array(*[
+    long = wide.select(pos, F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("_i"),
                  (F.col(f"`{a}`") * F.col(f"`{b}`") * (1 - lam)).alias("_u")) for i, (a, b) in enumerate(pairs)])))
     seed_rows = seeds.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"s_{i}").alias("_seed"))
