@@ -113,12 +113,12 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
             for v in y:
                 s = a @ s + b * v
             out.append((k, s.tolist(), len(y)))
-        res = pd.DataFrame(out, columns=["param", "c", "len"])
+        res = pd.DataFrame(out, columns=["param", "_c", "_len"])
         res = beside_keys(res, pdf, keys)
-        return res[[*keys, "param", "c", "len"]]
+        return res[[*keys, "param", "_c", "_len"]]
 
     effects = rows.groupBy(*keys).applyInPandas(
-        effect, ", ".join([*key_fields, "param int", "c array<double>", "len long"]))
+        effect, ", ".join([*key_fields, "param int", "_c array<double>", "_len long"]))
     seeded = effects.join(start.select(*series_cols, start_col), list(series_cols)) if series_cols else effects.withColumn(
         start_col, start.select(start_col).scalar())
 
@@ -127,16 +127,16 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
         a = systems[int(pdf["param"].iloc[0])][0]
         s = np.asarray(pdf[start_col].iloc[0], dtype=float)
         begins = []
-        for c, n in zip(pdf["c"], pdf["len"], strict=True):
+        for c, n in zip(pdf["_c"], pdf["_len"], strict=True):
             begins.append(s.tolist())
             s = np.linalg.matrix_power(a, int(n)) @ s + np.asarray(c, dtype=float)
         res = pdf[[*keys, "param"]].copy()
-        res["s"] = begins
+        res["_s"] = begins
         return res
 
     begins = seeded.groupBy(*series_cols, "param").applyInPandas(
-        compose, ", ".join([*key_fields, "param int", "s array<double>"]))
-    gathered = begins.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("param", "s"))).alias("_starts"))
+        compose, ", ".join([*key_fields, "param int", "_s array<double>"]))
+    gathered = begins.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("param", "_s"))).alias("_starts"))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
@@ -178,27 +178,27 @@ def scalar_grid(df: DataFrame, series_cols: Sequence[str], pos: str, cols: Seque
         s = np.zeros(len(decay))
         for row in inputs(pdf):
             s = decay * s + row
-        return beside_keys(pd.DataFrame({"c": [s.tolist()], "len": [len(pdf)]}), pdf, keys)[[*keys, "c", "len"]]
+        return beside_keys(pd.DataFrame({"_c": [s.tolist()], "_len": [len(pdf)]}), pdf, keys)[[*keys, "_c", "_len"]]
 
-    effects = rows.groupBy(*keys).applyInPandas(effect, ", ".join([*key_fields, "c array<double>", "len long"]))
+    effects = rows.groupBy(*keys).applyInPandas(effect, ", ".join([*key_fields, "_c array<double>", "_len long"]))
     seeded = effects.join(start.select(*series_cols, start_col), list(series_cols))
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
         s = np.full(len(decay), float(pdf[start_col].iloc[0]))
         begins = []
-        for c, n in zip(pdf["c"], pdf["len"], strict=True):
+        for c, n in zip(pdf["_c"], pdf["_len"], strict=True):
             begins.append(s.tolist())
             s = decay ** int(n) * s + np.asarray(c, dtype=float)
         res = pdf[keys].copy()
-        res["s"] = begins
+        res["_s"] = begins
         return res
 
-    begins = seeded.groupBy(*series_cols).applyInPandas(compose, ", ".join([*key_fields, "s array<double>"]))
+    begins = seeded.groupBy(*series_cols).applyInPandas(compose, ", ".join([*key_fields, "_s array<double>"]))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        s = np.asarray(pdf["s"].iloc[0], dtype=float)
+        s = np.asarray(pdf["_s"].iloc[0], dtype=float)
         before = np.empty((len(pdf), len(decay)))
         for i, row in enumerate(inputs(pdf)):
             before[i] = s
