@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.tails import t_p
 from tidewright.operators.ordering import attach, sorted_scan
 from tidewright.operators.risk import widen
+from tidewright.session import settle
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -47,7 +48,7 @@ def pearson(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFram
 
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with average ranks. Work is done on distinct (a, b) cells with counts."""
-    cells = df.select(*keys, a, b).na.drop().groupBy(*keys, a, b).agg(F.count("*").alias("_w"))
+    cells = settle(df.select(*keys, a, b).na.drop().groupBy(*keys, a, b).agg(F.count("*").alias("_w")))
     ranked = cells
     for c, name in ((a, "_ra"), (b, "_rb")):
         counts = cells.groupBy(*keys, c).agg(F.sum("_w").alias("_n"))
@@ -73,10 +74,10 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     each prefix and in order of ``b``, the rows with a zero bit before each row with a one bit counts
     every concordant pair once. That is n · log(n) rows and one sorted scan.
     """
-    cells = df.select(a, b).na.drop().groupBy(a, b).agg(F.count("*").alias("_w"))
+    cells = settle(df.select(a, b).na.drop().groupBy(a, b).agg(F.count("*").alias("_w")))
     margin = cells.groupBy(a).agg(F.sum("_w").alias("_n"))
-    places = sorted_scan(margin, [], [F.col(a)], row_number="_place").select(a, (F.col("_place") - 1).alias("_place"))
-    top = margin.count()
+    places = settle(sorted_scan(margin, [], [F.col(a)], row_number="_place").select(a, (F.col("_place") - 1).alias("_place")))
+    top = places.count()
     bits = max(1, (top - 1).bit_length())
     rows = cells.join(places, a).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     one = F.expr("shiftright(_place, _bit) & 1") == 1
@@ -110,7 +111,7 @@ def target_ranking(df: DataFrame, features: Sequence[str], target: str) -> DataF
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """Bias-corrected Cramér's V; 2 × 2 tables use the Yates correction of the chi-square."""
-    cells = df.select(a, b).na.drop().groupBy(a, b).agg(F.count("*").cast("double").alias("o"))
+    cells = settle(df.select(a, b).na.drop().groupBy(a, b).agg(F.count("*").cast("double").alias("o")))
     ra = cells.groupBy(a).agg(F.sum("o").alias("ra"))
     rb = cells.groupBy(b).agg(F.sum("o").alias("rb"))
     sizes = attach(attach(cells.agg(F.sum("o").alias("n")), ra.agg(F.count("*").alias("ka"))), rb.agg(F.count("*").alias("kb")))
@@ -143,7 +144,7 @@ def mutual_information(df: DataFrame, a: str | Column, b: str | Column) -> DataF
     """Mutual information (nats) of two discrete columns from their contingency table."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
-    cells = df.select(a.alias("_a"), b.alias("_b")).na.drop().groupBy("_a", "_b").agg(F.count("*").alias("o"))
+    cells = settle(df.select(a.alias("_a"), b.alias("_b")).na.drop().groupBy("_a", "_b").agg(F.count("*").alias("o")))
     ra, rb = cells.groupBy("_a").agg(F.sum("o").alias("ra")), cells.groupBy("_b").agg(F.sum("o").alias("rb"))
     rows = attach(cells.join(ra, "_a").join(rb, "_b"), cells.agg(F.sum("o").alias("n")))
     p = F.col("o") / F.col("n")

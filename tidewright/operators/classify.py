@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.columns import clip, hash_unit
 from tidewright.operators.ordering import attach, sorted_scan
+from tidewright.session import settle
 
 
 def to_grade(score: Column, lowest: int, highest: int) -> Column:
@@ -23,7 +24,7 @@ def confusion(df: DataFrame, y: str, pred: str, keys: Sequence[str] = ()) -> Dat
 
 def grade_report(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Accuracy, macro-F1, mean absolute distance and quadratic weighted kappa from a confusion table."""
-    keys = list(keys)
+    keys, cells = list(keys), settle(cells)
     a, p, n = F.col("actual").cast("double"), F.col("predicted").cast("double"), F.col("n")
     base = cells.groupBy(*keys).agg(
         F.sum(n).alias("n"), F.sum(F.when(a == p, n).otherwise(0)).alias("_hit"), F.sum(F.abs(a - p) * n).alias("_abs"),
@@ -43,8 +44,7 @@ def grade_report(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def confusion_shares(cells: DataFrame) -> DataFrame:
     """Row shares of a confusion table."""
-    rows = cells.groupBy("actual").agg(F.sum("n").alias("_row"))
-    return attach(cells, rows, ["actual"]).withColumn("share", F.col("n") / F.col("_row")).drop("_row")
+    return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("actual")))
 
 
 def within_one(cells: DataFrame) -> DataFrame:
@@ -60,14 +60,14 @@ def class_recall(cells: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight n / (classes · class size) of each class."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    counts = settle(df.groupBy(label).agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n").alias("_n"), F.count("*").alias("_k"))
     return attach(counts, total).select(label, "n", (F.col("_n") / (F.col("_k") * F.col("n"))).alias("weight"))
 
 
 def oversample(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Every class brought to the size of the largest: whole copies, then a hash-drawn remainder."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_m"))
+    counts = settle(df.groupBy(label).agg(F.count("*").alias("_m")))
     sizes = attach(counts, counts.agg(F.max("_m").alias("_top")))
     rows = attach(df, sizes, [label])
     rows = sorted_scan(rows, [label], [F.xxhash64(key, F.lit(seed)), F.col(key)], row_number="_place")

@@ -22,9 +22,14 @@ def audit(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return one.unpivot([], list(checks), "check_name", "n")
 
 
-def exact_copies(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Distinct rows with how often each occurs; combined before the shuffle, so hot rows are cheap."""
-    return df.groupBy(*(cols or df.columns)).agg(F.count("*").alias("copies"))
+def exact_copies(df: DataFrame, cols: Sequence[str] | None = None, digest: Sequence[str] = ()) -> DataFrame:
+    """Distinct rows with how often each occurs; combined before the shuffle, so hot rows are cheap.
+
+    Columns named in ``digest`` (long texts) are compared by their SHA-256 over the whole value, so the
+    shuffle carries 64 characters instead of the text.
+    """
+    keys = [F.sha2(F.col(c), 256).alias(c) if c in digest else F.col(c) for c in (cols or df.columns)]
+    return df.groupBy(*keys).agg(F.count("*").alias("copies"))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:

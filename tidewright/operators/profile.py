@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.columns import normal_quantile
@@ -130,15 +130,14 @@ def exceedance_curve(df: DataFrame, value: str, tiebreak: Sequence[str]) -> Data
 
 def frequencies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts and shares of each value."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
+    counts = settle(df.groupBy(*keys).agg(F.count("*").alias("n")))
     return attach(counts, counts.agg(F.sum("n").alias("_total"))).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """Long contingency table with the share of each cell in its row."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
-    rows = cells.groupBy(a).agg(F.sum("n").alias("_row"))
-    return attach(cells, rows, [a]).withColumn("row_pct", F.col("n") * 100.0 / F.col("_row")).drop("_row")
+    return cells.withColumn("row_pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(a)))
 
 
 def skew_table(df: DataFrame, variants: Mapping[str, Column]) -> DataFrame:

@@ -8,6 +8,7 @@ start. Only the list of blocks (one row for ``block`` slots) is ever handled ser
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -20,6 +21,16 @@ from tidewright.session import settle
 BLOCK = 4096
 
 
+def _in_blocks(df: DataFrame, pos: str, block: int | None) -> DataFrame:
+    """Stored rows with their ``_block``; blocks grow with the square root of the span, so that neither a block
+    nor the list of blocks of one series ever becomes large."""
+    rows = settle(df)
+    if block is None:
+        first, last = rows.agg(F.min(pos), F.max(pos)).first()
+        block = max(BLOCK, math.isqrt(int((last or 0) - (first or 0))))
+    return rows.withColumn("_block", F.floor(F.col(pos) / block).cast("long"))
+
+
 def beside_keys(out: pd.DataFrame, group: pd.DataFrame, keys: Sequence[str]) -> pd.DataFrame:
     """Repeat the key values of a group beside its result rows."""
     for c in keys:
@@ -37,7 +48,7 @@ def _runs(u: np.ndarray, phi: float, start: float) -> np.ndarray:
 
 
 def affine_filter(df: DataFrame, series_cols: Sequence[str], pos: str, inputs: dict[str, str],
-                  phi: float, start: dict[str, str] | None = None, block: int = BLOCK) -> DataFrame:
+                  phi: float, start: dict[str, str] | None = None, block: int | None = None) -> DataFrame:
     """Add ``out[t] = phi * out[t-1] + input[t]`` for each ``out: input`` pair.
 
     ``start`` names columns (constant in a series) holding the state before the first slot; zero otherwise.
@@ -45,7 +56,7 @@ def affine_filter(df: DataFrame, series_cols: Sequence[str], pos: str, inputs: d
     """
     start = start or {}
     keys = [*series_cols, "_block"]
-    rows = settle(df.withColumn("_block", F.floor(F.col(pos) / block).cast("long")))
+    rows = _in_blocks(df, pos, block)
     last = F.max(pos).alias("_end")
     per = rows.groupBy(*keys).agg(last, F.count("*").alias("_len"),
                                   *[F.max(start[o]).alias("_s_" + o) if o in start else F.lit(0.0).alias("_s_" + o)
@@ -92,7 +103,7 @@ def affine_filter(df: DataFrame, series_cols: Sequence[str], pos: str, inputs: d
 
 def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str, params: Sequence[dict],
                system: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]],
-               start: DataFrame, start_col: str, block: int = BLOCK) -> DataFrame:
+               start: DataFrame, start_col: str, block: int | None = None) -> DataFrame:
     """Sum of squared one-step errors of a linear state-space recursion, for every parameter set.
 
     ``system(p)`` gives ``A, b, h`` of ``s[t] = A s[t-1] + b y[t]`` with forecast ``h · s[t-1]``.
@@ -100,7 +111,7 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
     Returns (series, param, sse, n, state): ``state`` is the one after the last slot.
     """
     keys = [*series_cols, "_block"]
-    rows = settle(df.select(*series_cols, pos, value).withColumn("_block", F.floor(F.col(pos) / block).cast("long")))
+    rows = _in_blocks(df.select(*series_cols, pos, value), pos, block)
     systems = [system(p) for p in params]
     schema = rows.schema
     key_fields = [f"`{c}` {schema[c].dataType.simpleString()}" for c in keys]
@@ -161,7 +172,7 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
 
 def scalar_grid(df: DataFrame, series_cols: Sequence[str], pos: str, cols: Sequence[str], decay: np.ndarray,
                 inputs: Callable[[pd.DataFrame], np.ndarray], loss: Callable[[pd.DataFrame, np.ndarray], np.ndarray],
-                start: DataFrame, start_col: str, block: int = BLOCK) -> DataFrame:
+                start: DataFrame, start_col: str, block: int | None = None) -> DataFrame:
     """Total loss of a scalar recursion ``s[t] = decay[p] * s[t-1] + u[t, p]`` for every parameter set p.
 
     ``inputs(rows)`` gives the (slots × parameter sets) array u; ``loss(rows, before)`` the loss per slot
@@ -169,7 +180,7 @@ def scalar_grid(df: DataFrame, series_cols: Sequence[str], pos: str, cols: Seque
     """
     keys = [*series_cols, "_block"]
     decay = np.asarray(decay, dtype=float)
-    rows = settle(df.select(*series_cols, pos, *cols).withColumn("_block", F.floor(F.col(pos) / block).cast("long")))
+    rows = _in_blocks(df.select(*series_cols, pos, *cols), pos, block)
     schema = rows.schema
     key_fields = [f"`{c}` {schema[c].dataType.simpleString()}" for c in keys]
 

@@ -245,7 +245,7 @@ def p20(t):
 @query("p20_copies_summary", f"""SELECT count(*) AS distinct_rows, CAST(sum(copies - 1) AS BIGINT) AS surplus_rows, max(copies) AS most_copies
 FROM (SELECT text, lang, count(*) AS copies FROM documents GROUP BY 1, 2)""")
 def p20s(t):
-    return clean.exact_copies(t.documents, ["text", "lang"]).agg(
+    return clean.exact_copies(t.documents, ["text", "lang"], digest=["text"]).agg(
         F.count("*").alias("distinct_rows"), F.sum(F.col("copies") - 1).alias("surplus_rows"), F.max("copies").alias("most_copies"))
 
 
