@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.columns import clip, hash_normal
+from tidewright.operators.ordering import attach
 from tidewright.operators.recursion import affine_filter
 
 # Illustrative day-ahead error of temperature (C), humidity (points) and wind (km/h).
@@ -23,8 +24,7 @@ def scenarios(df: DataFrame, series_cols: Sequence[str], pos: str, sd: Mapping[s
     """
     keys = [*series_cols, "scenario"]
     rows = df.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
-    start = df.groupBy(*series_cols).agg(F.min(pos).alias("_p0"))
-    rows = rows.join(F.broadcast(start), list(series_cols)) if series_cols else rows.withColumn("_p0", start.select("_p0").scalar())
+    rows = attach(rows, df.groupBy(*series_cols).agg(F.min(pos).alias("_p0")), series_cols)
     shock = (1 - phi * phi) ** 0.5
     for i, (c, s) in enumerate(sd.items()):
         draw = hash_normal(*[F.col(k) for k in keys], F.col(pos), seed=seed * 101 + i) * (s * shock)

@@ -44,10 +44,21 @@ def d3(t):
     return dg.ljung_box(hourly_filled(t), S, "pos", "x", 24).select("series", "lag", r("q").alias("q"))
 
 
-@query("d3_ljung_box_squares")
+_SQUARES = SQL_RETURNS + """,
+dv AS (SELECT series, pos, ret * ret - avg(ret * ret) OVER (PARTITION BY series) AS e, count(*) OVER (PARTITION BY series) AS n FROM rets),
+ac AS (SELECT a.series, k, any_value(a.n) AS n, sum(a.e * b.e) AS g FROM dv a CROSS JOIN generate_series(0, 12) AS t(k) JOIN dv b ON b.series = a.series AND b.pos = a.pos - k GROUP BY 1, 2)"""
+
+
+@query("d3_ljung_box_squares", f"""WITH {_SQUARES} SELECT a.series, CAST(a.k AS INTEGER) AS lag, round(a.n * (a.n + 2) * sum(pow(a.g / z.g, 2) / (a.n - a.k)) OVER (PARTITION BY a.series ORDER BY a.k), 5) + 0.0 AS q
+FROM ac a JOIN ac z ON z.series = a.series AND z.k = 0 WHERE a.k > 0""")
 def d3s(t):
     rows = daily_returns(t).withColumn("sq", F.col("ret") * F.col("ret"))
-    return dg.ljung_box(rows, S, "pos", "sq", 12)
+    return dg.ljung_box(rows, S, "pos", "sq", 12).select("series", "lag", r("q", 5).alias("q"))
+
+
+@query("d3_ljung_box_p_values")
+def d3p(t):
+    return dg.ljung_box(hourly_filled(t), S, "pos", "x", 24)
 
 
 @query("d4_cross_correlation", f"""WITH {SQL_RETURNS}, wide AS (SELECT a.pos, a.ret AS u, b.ret AS v FROM rets a JOIN rets b ON a.pos = b.pos WHERE a.series = '1-URGENT' AND b.series = '5-LOW')
@@ -82,9 +93,18 @@ def d6(t):
     return dg.kpss(hourly_filled(t), S, "pos", "x", n_lags=12).select("series", r("stat", 7).alias("stat"))
 
 
-@query("d6_kpss_automatic")
+_KPSS_AUTO = SQL_FILLED + """,
+dev AS (SELECT series, pos, x - avg(x) OVER (PARTITION BY series) AS e, count(*) OVER (PARTITION BY series) AS n FROM filled),
+eta AS (SELECT series, any_value(n) AS n, sum(s * s) / pow(any_value(n), 2) AS eta FROM (SELECT series, n, sum(e) OVER (PARTITION BY series ORDER BY pos) AS s FROM dev) GROUP BY 1),
+ac AS (SELECT a.series, k, any_value(a.n) AS n, sum(a.e * b.e) AS g FROM dev a CROSS JOIN generate_series(0, 60) AS t(k) JOIN dev b ON b.series = a.series AND b.pos = a.pos - k GROUP BY 1, 2),
+sh AS (SELECT series, any_value(n) AS n, sum(CASE WHEN k = 0 THEN g / n ELSE 2 * g / n END) AS s0, sum(k * 2 * g / n) AS s1 FROM ac WHERE k <= floor(pow(n, 2.0 / 9)) GROUP BY 1),
+wd AS (SELECT series, CAST(floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3)) AS INTEGER) AS w FROM sh),
+lr AS (SELECT series, any_value(w) AS w, sum(CASE WHEN k = 0 THEN g ELSE 2 * g * (1 - k / (w + 1.0)) END) / any_value(n) AS v FROM ac JOIN wd USING (series) WHERE k <= w GROUP BY 1)"""
+
+
+@query("d6_kpss_automatic", f"""WITH {_KPSS_AUTO} SELECT series, w AS n_lags, round(eta / v, 7) AS stat FROM eta JOIN lr USING (series)""")
 def d6a(t):
-    return dg.kpss(hourly_filled(t), S, "pos", "x")
+    return dg.kpss(hourly_filled(t), S, "pos", "x").select("series", "n_lags", r("stat", 7).alias("stat"))
 
 
 @query("d7_stationarity_verdict")

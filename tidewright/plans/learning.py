@@ -9,7 +9,7 @@ from tidewright.functions.gridtime import slot_start
 from tidewright.operators import (classify as cl, decompose, explain as ex, features as ft, forecast as fc, learn as ln,
                                   scoring as sc, simulate as sim)
 from tidewright.operators.ordering import attach, lag_of, look_around, rolling
-from tidewright.plans.panels import S, TEST_HOURS, hourly_filled
+from tidewright.plans.panels import S, SQL_PREDICTIONS, TEST_HOURS, hourly_filled, r
 from tidewright.plans.registry import query
 from tidewright.session import settle
 
@@ -39,9 +39,19 @@ def _scored(forecast, test):
     return forecast.join(test.select("series", "pos", "x"), ["series", "pos"])
 
 
-@query("l8_simple_smoothing")
+_ALPHAS = ", ".join(f"({p['level']})" for p in fc.SMOOTHING_GRID["ses"])
+
+
+@query("l8_simple_smoothing", f"""WITH RECURSIVE {SQL_PREDICTIONS},
+tr AS (SELECT series, x, row_number() OVER (PARTITION BY series ORDER BY pos) AS i FROM preds WHERE part = 'train' AND x IS NOT NULL),
+al AS (SELECT CAST(a AS DOUBLE) AS a FROM (VALUES {_ALPHAS}) AS v(a)),
+rec AS (SELECT series, a, CAST(0 AS BIGINT) AS i, x AS lvl, CAST(0 AS DOUBLE) AS sse FROM tr, al WHERE i = 1
+        UNION ALL SELECT rec.series, a, t.i, a * t.x + (1 - a) * lvl, sse + (t.x - lvl) * (t.x - lvl) FROM rec JOIN tr t ON t.series = rec.series AND t.i = rec.i + 1),
+fin AS (SELECT series, a, lvl, sse, row_number() OVER (PARTITION BY series ORDER BY sse, a) AS k FROM (SELECT * FROM rec QUALIFY i = max(i) OVER (PARTITION BY series)))
+SELECT series, CAST(h AS INTEGER) AS step, round(lvl, 6) AS yhat, a AS level FROM fin CROSS JOIN generate_series(1, 24) AS g(h) WHERE k = 1""")
 def l8a(t):
-    return fc.smoothing_forecast(_split_x(t)[0], S, "pos", "x", "ses", 24)
+    out = fc.smoothing_forecast(_split_x(t)[0], S, "pos", "x", "ses", 24)
+    return out.select("series", "step", r("yhat").alias("yhat"), "level")
 
 
 @query("l8_holt")
@@ -96,6 +106,13 @@ def l10c(t):
     return fc.harmonic_regression(a, _harmonics(test)[0], S, "x", xs)[1]
 
 
+@query("l10_trend_regression", f"""WITH {SQL_PREDICTIONS}, f AS (SELECT series, regr_slope(x, (pos - {_ORIGIN}) / 720.0) AS b, regr_intercept(x, (pos - {_ORIGIN}) / 720.0) AS a FROM preds WHERE part = 'train' GROUP BY 1)
+SELECT series, ts, round(a + b * (pos - {_ORIGIN}) / 720.0, 6) AS yhat FROM preds JOIN f USING (series) WHERE part = 'test'""")
+def l10t(t):
+    train, test = (p.withColumn("trend", (F.col("pos") - _ORIGIN) / 720) for p in _split_x(t))
+    return fc.harmonic_regression(train, test, S, "x", ["trend"])[0].select("series", "ts", r("yhat").alias("yhat"))
+
+
 @query("l11_boosted_trees")
 def l11(t):
     train, test = _parts(t)

@@ -32,6 +32,15 @@ def m1(t):
     return mv.principal_components(_wide_returns(t), list(NAMES.values()))
 
 
+@query("m1_two_column_components", """WITH c AS (SELECT corr(l_quantity, l_tax) AS r FROM lineitem)
+SELECT 1 AS component, 'l_quantity' AS feature, round(1 / sqrt(2), 6) AS loading, round((1 + abs(r)) / 2, 7) AS explained FROM c
+UNION ALL SELECT 1, 'l_tax', round(sign(r) / sqrt(2), 6), round((1 + abs(r)) / 2, 7) FROM c
+UNION ALL SELECT 2, 'l_quantity', round(1 / sqrt(2), 6), round((1 - abs(r)) / 2, 7) FROM c UNION ALL SELECT 2, 'l_tax', round(-sign(r) / sqrt(2), 6), round((1 - abs(r)) / 2, 7) FROM c""")
+def m1b(t):
+    load = mv.principal_components(t.lineitem, ["l_quantity", "l_tax"])
+    return load.select("component", "feature", r("loading").alias("loading"), r("explained", 7).alias("explained"))
+
+
 @query("m1_component_scores")
 def m1s(t):
     wide = _wide_returns(t)
@@ -186,6 +195,14 @@ def m10s(t):
     return anomaly.segment_means(rows, S, "pos", "x", anomaly.change_points(rows, S, "pos", "x", 2, 60, penalty=0.0))
 
 
+@query("m10_segment_means_one_break", f"""WITH {_SPLIT}, b AS (SELECT series, max_by(pos, gain) + 1 AS bp FROM g GROUP BY 1)
+SELECT series, CAST(pos >= bp AS INTEGER) AS segment, min(pos) AS first_pos, max(pos) AS last_pos, round(avg(x), 3) AS mean FROM dfilled JOIN b USING (series) GROUP BY 1, 2""")
+def m10o(t):
+    rows = daily_filled(t)
+    out = anomaly.segment_means(rows, S, "pos", "x", anomaly.change_points(rows, S, "pos", "x", 1, 60))
+    return out.select("series", "segment", "first_pos", "last_pos", r("mean", 3).alias("mean"))
+
+
 @query("m11_deseasonalised", f"""WITH {SQL_RETURNS}, d AS (SELECT series, date_trunc('month', ts) AS ts, avg(x) AS m FROM dfilled GROUP BY 1, 2)
 SELECT series, ts, round(m - avg(m) OVER (PARTITION BY series, month(ts)), 4) + 0.0 AS anomaly FROM d""")
 def m11(t):
