@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import columns as C
-from tidewright.functions.gridtime import floor_to, slot_start
+from tidewright.functions.gridtime import floor_to, position, slot_start
 from tidewright.operators import grid, risk
 from tidewright.operators.ordering import attach, centred, lag_of, look_around, rolling, running, sorted_scan
-from tidewright.plans.panels import (S, SQL_FILLED, SQL_HOURLY, SQL_MONTHLY, SQL_RETURNS, daily_returns, hourly, hourly_filled, hourly_grid, monthly, r)
+from tidewright.plans.panels import (S, SQL_EWMA_PAIRS, SQL_FILLED, SQL_HOURLY, SQL_MONTHLY, SQL_RETURNS, daily_returns, hourly, hourly_filled, hourly_grid, monthly, r)
 from tidewright.plans.registry import query
 
 
@@ -49,15 +49,23 @@ def j5(t):
     return attach(rows, clim, ["series", "d", "h"], how="left").select("series", "ts", r(F.coalesce("y", "m")).alias("v"))
 
 
-@query("j7_lag_alignment", f"""WITH {SQL_RETURNS} SELECT a.ts, k, a.ret AS a_ret, b.ret AS b_ret FROM rets a, generate_series(0, 3) AS g(k)
-JOIN rets b ON b.series = '5-LOW' AND b.pos = a.pos + k WHERE a.series = '1-URGENT'""")
+_FLOWS = """a AS (SELECT o_orderdate AS ts, round(sum(o_totalprice), 2) AS ordered FROM orders GROUP BY 1),
+b AS (SELECT l_shipdate AS ts, round(sum(l_extendedprice), 2) AS shipped FROM lineitem GROUP BY 1)"""
+
+
+def _flows(t):
+    """Daily ordered and shipped amounts, each on its own day slots."""
+    a = t.orders.groupBy(position(F.col("o_orderdate"), "day").alias("pos")).agg(r(F.sum("o_totalprice"), 2).alias("ordered"))
+    b = t.lineitem.groupBy(position(F.col("l_shipdate"), "day").alias("pos")).agg(r(F.sum("l_extendedprice"), 2).alias("shipped"))
+    return a, b
+
+
+@query("j7_lag_alignment", f"""WITH {_FLOWS} SELECT a.ts, k, ordered, shipped FROM a CROSS JOIN generate_series(0, 3) AS g(k) JOIN b ON b.ts = a.ts + CAST(k AS INTEGER) * INTERVAL 1 DAY""")
 def j7(t):
-    rows = daily_returns(t)
-    a = rows.filter("series = '1-URGENT'").select("ts", "pos", F.col("ret").alias("a_ret"))
-    a = a.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
-    a = a.withColumn("pos", F.col("pos") + F.col("k"))
-    b = rows.filter("series = '5-LOW'").select("pos", F.col("ret").alias("b_ret"))
-    return a.join(b, "pos").select("ts", "k", "a_ret", "b_ret")
+    a, b = _flows(t)
+    slots = F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))
+    a = a.withColumn("ts", slot_start(F.col("pos"), "day")).withColumn("k", F.explode(slots)).withColumn("pos", F.col("pos") + F.col("k"))
+    return a.join(b, "pos").select("ts", "k", "ordered", "shipped")
 
 
 @query("j8_entity_pairs", f"""WITH {SQL_RETURNS} SELECT a.series AS a, b.series AS b, count(*) AS n,
@@ -168,16 +176,9 @@ def w13(t):
     return _rolling_z(t).select("series", "ts", "z")
 
 
-@query("w14_ewma_correlation", f"""WITH RECURSIVE {SQL_RETURNS},
-wide AS (SELECT a.pos, a.ts, a.ret AS u, b.ret AS v, row_number() OVER (ORDER BY a.pos) AS i FROM rets a JOIN rets b ON a.pos = b.pos
-         WHERE a.series = '1-URGENT' AND b.series = '5-LOW'),
-seed AS (SELECT var_samp(u) AS su, var_samp(v) AS sv, covar_samp(u, v) AS suv FROM wide),
-rec AS (SELECT CAST(0 AS BIGINT) AS i, su, sv, suv FROM seed UNION ALL
-        SELECT w.i, 0.94 * su + 0.06 * u * u, 0.94 * sv + 0.06 * v * v, 0.94 * suv + 0.06 * u * v FROM rec JOIN wide w ON w.i = rec.i + 1)
-SELECT ts, round(suv / sqrt(su * sv), 6) + 0.0 AS rho FROM rec JOIN wide USING (i)""")
+@query("w14_ewma_correlation", f"WITH {SQL_EWMA_PAIRS} SELECT ts, round(rho, 6) + 0.0 AS rho FROM rho")
 def w14(t):
-    rows = daily_returns(t).filter("series IN ('1-URGENT', '5-LOW')")
-    out = risk.ewma_correlation(rows, "series", "pos", "ret", lam=0.94)
+    out = risk.ewma_correlation(daily_returns(t), "series", "pos", "ret", lam=0.94)
     return out.select(slot_start(F.col("pos"), "day").alias("ts"), r("rho").alias("rho"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.functions.gridtime import position
 from tidewright.operators import decompose, diagnostics as dg
 from tidewright.operators.ordering import lag_of, look_around
-from tidewright.operators.risk import widen
 from tidewright.plans.panels import S, SQL_FILLED, SQL_MONTHLY, SQL_RETURNS, daily_returns, hourly_filled, monthly, r
 from tidewright.plans.registry import query
 
@@ -61,12 +61,13 @@ def d3p(t):
     return dg.ljung_box(hourly_filled(t), S, "pos", "x", 24)
 
 
-@query("d4_cross_correlation", f"""WITH {SQL_RETURNS}, wide AS (SELECT a.pos, a.ret AS u, b.ret AS v FROM rets a JOIN rets b ON a.pos = b.pos WHERE a.series = '1-URGENT' AND b.series = '5-LOW')
-SELECT CAST(k AS INTEGER) AS lag, round(corr(a.u, b.v), 7) + 0.0 AS corr FROM wide a CROSS JOIN generate_series(-6, 6) AS t(k) JOIN wide b ON b.pos = a.pos + k GROUP BY 1""")
+@query("d4_cross_correlation", """WITH a AS (SELECT o_orderdate AS ts, round(sum(o_totalprice), 2) AS u FROM orders GROUP BY 1), b AS (SELECT l_shipdate AS ts, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1),
+w AS (SELECT ts, u, v FROM a JOIN b USING (ts)) SELECT CAST(k AS INTEGER) AS lag, round(corr(a.u, b.v), 7) + 0.0 AS corr FROM w a CROSS JOIN generate_series(-6, 6) AS t(k)
+JOIN w b ON b.ts = a.ts + CAST(k AS INTEGER) * INTERVAL 1 DAY GROUP BY 1""")
 def d4(t):
-    wide, _ = widen(daily_returns(t).filter("series IN ('1-URGENT', '5-LOW')"), "series", "pos", "ret")
-    wide = wide.na.drop().withColumnsRenamed({"1-URGENT": "u", "5-LOW": "v"})
-    return dg.cross_correlation(wide, "pos", "u", "v", list(range(-6, 7))).withColumn("corr", r("corr", 7))
+    a = t.orders.groupBy(position(F.col("o_orderdate"), "day").alias("pos")).agg(r(F.sum("o_totalprice"), 2).alias("u"))
+    b = t.lineitem.groupBy(position(F.col("l_shipdate"), "day").alias("pos")).agg(r(F.sum("l_extendedprice"), 2).alias("v"))
+    return dg.cross_correlation(a.join(b, "pos"), "pos", "u", "v", list(range(-6, 7))).withColumn("corr", r("corr", 7))
 
 
 @query("d5_dickey_fuller_plain", f"""WITH {SQL_FILLED}, d AS (SELECT series, x - lag(x) OVER w AS dy, lag(x) OVER w AS y1 FROM filled WINDOW w AS (PARTITION BY series ORDER BY pos)),

@@ -9,7 +9,7 @@ from tidewright.functions.gridtime import floor_to, position, slot_start
 from tidewright.operators import anomaly, multivariate as mv, profile, risk
 from tidewright.operators.ordering import attach
 from tidewright.operators.risk import widen
-from tidewright.plans.panels import S, SQL_FILLED, SQL_RETURNS, daily_filled, daily_returns, hourly_filled, r
+from tidewright.plans.panels import S, SQL_EWMA_PAIRS, SQL_FILLED, SQL_RETURNS, daily_filled, daily_returns, hourly_filled, r
 from tidewright.plans.registry import query
 from tidewright.session import settle
 
@@ -272,20 +272,17 @@ def m15p(t):
     return risk.kupiec(_var_table(t), S, "ret", "var", 0.05)
 
 
-@query("m16_volatility_vs_reference", f"""WITH {_EWMA}, a AS (SELECT pos, sigma * sqrt(252) AS v FROM vr WHERE series = '1-URGENT'), b AS (SELECT pos, sigma * sqrt(252) AS w FROM vr WHERE series = '2-HIGH')
-SELECT count(*) AS n, round(corr(v, w), 6) + 0.0 AS corr, round(avg(v), 4) AS mean_v, round(avg(w), 4) AS mean_w FROM a JOIN b USING (pos)""")
+@query("m16_volatility_vs_reference", f"""WITH {_EWMA}, d AS (SELECT pos, avg(sigma) * sqrt(252) AS v, stddev_samp(ret) AS w FROM vr GROUP BY 1 HAVING count(*) > 1)
+SELECT count(*) AS n, round(corr(v, w), 6) + 0.0 AS corr, round(avg(v), 4) AS mean_v, round(avg(w), 4) AS mean_w FROM d""")
 def m16(t):
-    vol = settle(risk.ewma_volatility(daily_returns(t), S, "pos", "ret").withColumn("v", F.col("sigma") * 252 ** 0.5))
-    a = vol.filter("series = '1-URGENT'").select("pos", "v")
-    b = vol.filter("series = '2-HIGH'").select("pos", F.col("v").alias("w"))
-    return a.join(b, "pos").agg(F.count("*").alias("n"), r(F.corr("v", "w")).alias("corr"), r(F.avg("v"), 4).alias("mean_v"), r(F.avg("w"), 4).alias("mean_w"))
+    """Annualised model volatility, averaged over series, beside the spread of returns across series on the same day."""
+    vol = settle(risk.ewma_volatility(daily_returns(t), S, "pos", "ret"))
+    model = vol.groupBy("pos").agg((F.avg("sigma") * 252 ** 0.5).alias("v"))
+    implied = vol.groupBy("pos").agg(F.stddev_samp("ret").alias("w"), F.count("*").alias("k")).filter("k > 1")
+    return model.join(implied, "pos").agg(F.count("*").alias("n"), r(F.corr("v", "w")).alias("corr"), r(F.avg("v"), 4).alias("mean_v"), r(F.avg("w"), 4).alias("mean_w"))
 
 
-@query("m17_diversification", f"""WITH {SQL_RETURNS}, u AS (SELECT a.pos, a.ts, a.ret AS x, b.ret AS y, row_number() OVER (ORDER BY a.pos) AS i FROM rets a JOIN rets b ON a.pos = b.pos WHERE a.series = '1-URGENT' AND b.series = '5-LOW'),
-s AS (SELECT var_samp(x) AS sx, var_samp(y) AS sy, covar_samp(x, y) AS sxy FROM u),
-w AS (SELECT ts, i, sx, sy, sxy, sum(x * x * pow(0.94, -i)) OVER o AS xx, sum(y * y * pow(0.94, -i)) OVER o AS yy, sum(x * y * pow(0.94, -i)) OVER o AS xy FROM u, s WINDOW o AS (ORDER BY i))
-SELECT ts, round(sqrt(0.5 + 0.5 * greatest((sxy + 0.06 * xy) / sqrt((sx + 0.06 * xx) * (sy + 0.06 * yy)), 0)), 6) AS ratio FROM w""")
+@query("m17_diversification", f"WITH {SQL_EWMA_PAIRS} SELECT ts, round(sqrt(0.2 + 0.8 * greatest(rho, 0)), 6) AS ratio FROM rho")
 def m17(t):
-    rows = daily_returns(t).filter("series IN ('1-URGENT', '5-LOW')")
-    out = risk.ewma_correlation(rows, "series", "pos", "ret")
-    return out.select(slot_start(F.col("pos"), "day").alias("ts"), r(risk.diversification_ratio("rho", 2)).alias("ratio"))
+    out = risk.ewma_correlation(daily_returns(t), "series", "pos", "ret")
+    return out.select(slot_start(F.col("pos"), "day").alias("ts"), r(risk.diversification_ratio("rho", 5)).alias("ratio"))

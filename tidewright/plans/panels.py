@@ -104,6 +104,16 @@ rets AS (SELECT * FROM (SELECT series, ts, pos, x,
          WHERE ret IS NOT NULL)"""
 
 
+# exponentially weighted covariance of every pair on common days; the factor 0.94^i cancels in the correlation
+SQL_EWMA_PAIRS = SQL_RETURNS + """,
+al AS (SELECT *, dense_rank() OVER (ORDER BY pos) AS i FROM rets WHERE pos IN (SELECT pos FROM rets GROUP BY 1 HAVING count(*) = 5)),
+pr AS (SELECT a.series AS sa, b.series AS sb, a.ts, a.i, a.ret * b.ret AS xy, a.ret AS x, b.ret AS y FROM al a JOIN al b ON a.pos = b.pos AND a.series <= b.series),
+sd AS (SELECT sa, sb, covar_samp(x, y) AS s FROM pr GROUP BY 1, 2),
+cv AS (SELECT sa, sb, ts, s + 0.06 * sum(xy * pow(0.94, -i)) OVER (PARTITION BY sa, sb ORDER BY i) AS c FROM pr JOIN sd USING (sa, sb)),
+rho AS (SELECT o.ts, avg(o.c / sqrt(p.c * q.c)) AS rho FROM cv o JOIN cv p ON p.sa = o.sa AND p.sb = o.sa AND p.ts = o.ts
+        JOIN cv q ON q.sa = o.sb AND q.sb = o.sb AND q.ts = o.ts WHERE o.sa < o.sb GROUP BY 1)"""
+
+
 # ------------------------------------------------------------------ monthly panel
 def monthly(t) -> DataFrame:
     rows = t.lineitem.select(F.col("l_returnflag").alias("series"), position(F.col("l_shipdate"), "month").alias("pos"),
