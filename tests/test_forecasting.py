@@ -69,6 +69,8 @@ def test_garch_grid_recovers_persistence(spark):
         h = 0.05 + 0.08 * e[i] ** 2 + 0.87 * h
     fit = risk.garch_fit(_panel(spark, {"g": e}), ["s"], "p", "v").first()
     assert 0.85 < fit["persistence"] < 0.99 and fit["sigma2_next"] > 0
+    alone = risk.garch_fit(_panel(spark, {"g": e}).drop("s"), [], "p", "v").first()
+    assert alone["persistence"] == fit["persistence"]
     calm = risk.garch_fit(_panel(spark, {"w": rng.normal(size=2000)}), ["s"], "p", "v").first()
     assert calm["alpha"] <= 0.05
     path = risk.volatility_term_structure(risk.garch_fit(_panel(spark, {"g": e}), ["s"], "p", "v"), ["s"], 200, 1).orderBy("step").toPandas()

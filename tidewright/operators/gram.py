@@ -51,14 +51,15 @@ def _wide_moment_rows(df: DataFrame, keys: list[str], cols: list[str]) -> DataFr
     return row.select(*keys, n.cast("long").alias("n"), back.alias("means"), covs.alias("covs"))
 
 
-def moment_rows(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def moment_rows(df: DataFrame, keys: Sequence[str], cols: Sequence[str], few_groups: bool = False) -> DataFrame:
     """n, means and the upper triangle of population covariances of ``cols``, one row per group.
 
     Covariances are merged from centred partial sums, so large levels lose no precision. Wide sets of
-    columns take the matrix path: one product matrix per Arrow batch, summed by Spark.
+    columns without keys (or with ``few_groups`` of one key) take the matrix path: one product matrix per
+    task, summed by Spark.
     """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    if len(pairs) > WIDE and len(keys) <= 1:
+    if len(pairs) > WIDE and (not keys or (few_groups and len(keys) == 1)):
         return _wide_moment_rows(df, list(keys), list(cols))
     return df.groupBy(*keys).agg(
         F.count("*").alias("n"), F.array(*[F.avg(f"`{c}`") for c in cols]).alias("means"),

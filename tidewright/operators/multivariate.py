@@ -109,7 +109,7 @@ def granger(wide: DataFrame, pos: str, names: Sequence[str], max_lag: int) -> Da
                 out.append({"effect": effect, "cause": cause, "lag": lag, "f": float(f), "p_value": f_sf(f, lag, dof)})
         return out
 
-    return solve_rows(moment_rows(rows, ["_order"], cols), [], cols,
+    return solve_rows(moment_rows(rows, ["_order"], cols, few_groups=True), [], cols,
                       "effect string, cause string, lag int, f double, p_value double", solver)
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.ordering import attach
 from tidewright.session import settle
 
 BLOCK = 4096
@@ -83,8 +84,7 @@ def affine_filter(df: DataFrame, series_cols: Sequence[str], pos: str, inputs: d
             res["_b_" + o] = begin
         return res
 
-    group = list(series_cols) or [F.lit(0)]
-    starts = blocks.groupBy(*group).applyInPandas(compose, ", ".join(fields))
+    starts = blocks.groupBy(*series_cols).applyInPandas(compose, ", ".join(fields))
     joined = rows.join(starts, keys)
     schema = joined.schema
     out_fields = [f"`{c}` {schema[c].dataType.simpleString()}" for c in df.columns] + [f"`{o}` double" for o in outs]
@@ -130,8 +130,7 @@ def score_grid(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
 
     effects = rows.groupBy(*keys).applyInPandas(
         effect, ", ".join([*key_fields, "param int", "_c array<double>", "_len long"]))
-    seeded = effects.join(start.select(*series_cols, start_col), list(series_cols)) if series_cols else effects.withColumn(
-        start_col, start.select(start_col).scalar())
+    seeded = attach(effects, start.select(*series_cols, start_col), series_cols)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
@@ -192,7 +191,7 @@ def scalar_grid(df: DataFrame, series_cols: Sequence[str], pos: str, cols: Seque
         return beside_keys(pd.DataFrame({"_c": [s.tolist()], "_len": [len(pdf)]}), pdf, keys)[[*keys, "_c", "_len"]]
 
     effects = rows.groupBy(*keys).applyInPandas(effect, ", ".join([*key_fields, "_c array<double>", "_len long"]))
-    seeded = effects.join(start.select(*series_cols, start_col), list(series_cols))
+    seeded = attach(effects, start.select(*series_cols, start_col), series_cols)
 
     def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
