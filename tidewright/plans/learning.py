@@ -71,6 +71,17 @@ def l9(t):
     return sc.accuracy(_scored(fc.ar_forecast(train, S, "pos", "x", 6, TEST_HOURS, d=0, seasonal_d=1, m=24), test), S, "x", "yhat")
 
 
+@query("l9_first_order_forecast", f"""WITH {SQL_PREDICTIONS}, tr AS (SELECT series, pos, x, lag(x) OVER (PARTITION BY series ORDER BY pos) AS x1 FROM preds WHERE part = 'train' AND x IS NOT NULL),
+f AS (SELECT series, count(*) AS n, regr_slope(x, x1) AS phi, regr_intercept(x, x1) AS c, regr_syy(x, x1) AS s0, regr_syy(x, x1) - pow(regr_sxy(x, x1), 2) / regr_sxx(x, x1) AS s1, avg(x) AS m FROM tr WHERE x1 IS NOT NULL GROUP BY 1),
+k AS (SELECT series, CAST(n * ln(s1 / n) + 6 < n * ln(s0 / n) + 4 AS INTEGER) AS p, n, phi, c, s0, s1, m FROM f),
+g AS (SELECT series, p, CASE WHEN p = 1 THEN phi ELSE 0 END AS a, CASE WHEN p = 1 THEN c ELSE m END AS c, CASE WHEN p = 1 THEN s1 / (n - 2) ELSE s0 / (n - 1) END AS s2 FROM k),
+l AS (SELECT series, max_by(x, pos) AS y FROM tr GROUP BY 1)
+SELECT series, CAST(h AS INTEGER) AS step, p AS "order", round(c * (1 - pow(a, h)) / (1 - a) + pow(a, h) * y, 6) AS yhat, round(sqrt(s2 * (1 - pow(a * a, h)) / (1 - a * a)), 6) AS sigma FROM g JOIN l USING (series) CROSS JOIN generate_series(1, 12) AS t(h)""")
+def l9f(t):
+    out = fc.ar_forecast(_split_x(t)[0], S, "pos", "x", 1, 12)
+    return out.select("series", "step", "order", r("yhat").alias("yhat"), r("sigma").alias("sigma"))
+
+
 @query("l60_parametric_interval")
 def l60(t):
     train, test = _split_x(t)
@@ -336,6 +347,13 @@ def l55b(t):
     return ex.partial_dependence(test, {"qty": [40, 100, 160], "revenue": [50000, 200000, 350000]}, predict)
 
 
+@query("l55_dependence_of_a_formula", """SELECT CAST(d AS DOUBLE) AS l_discount, round(avg(l_extendedprice * (1 - d) * (1 + l_tax)), 3) AS mean_prediction FROM lineitem CROSS JOIN (VALUES (0.0), (0.05), (0.1)) AS g(d) GROUP BY 1""")
+def l55f(t):
+    charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    out = ex.partial_dependence(t.lineitem.select("l_extendedprice", "l_discount", "l_tax"), {"l_discount": [0.0, 0.05, 0.1]}, lambda df: df.withColumn("yhat", charge))
+    return out.select("l_discount", r("mean_prediction", 3).alias("mean_prediction"))
+
+
 @query("l56_additive_attribution")
 def l56(t):
     _, test, predict = _explained(t)

@@ -148,6 +148,23 @@ def m7s(t):
     return mv.engle_granger(_wide_prices(t), "pos", _PAIRS, 4)
 
 
+_EG = SQL_RETURNS + ", wide AS (SELECT * FROM (SELECT pos, " + ", ".join(
+    f"max(x) FILTER (series = '{p}') AS {n}" for p, n in NAMES.items()) + " FROM dfilled GROUP BY 1) WHERE " + " AND ".join(
+    f"{n} IS NOT NULL" for n in NAMES.values()) + "), pw AS (" + " UNION ALL ".join(f"SELECT '{a}|{b}' AS pair, pos, {a} AS y, {b} AS x FROM wide" for a, b in _PAIRS) + """),
+fb AS (SELECT pair, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM pw GROUP BY 1),
+sp AS (SELECT pair, pos, y - b * x AS s, y - b * x - a AS e FROM pw JOIN fb USING (pair)),
+df AS (SELECT pair, s - lag(s) OVER w AS ds, lag(s) OVER w AS s1, e - lag(e) OVER w AS de, lag(e) OVER w AS e1 FROM sp WINDOW w AS (PARTITION BY pair ORDER BY pos)),
+ns AS (SELECT pair, count(*) AS n, sum(de * e1) / sum(e1 * e1) AS g, sum(e1 * e1) AS ee, sum(de * de) AS dd FROM df WHERE de IS NOT NULL GROUP BY 1),
+cs AS (SELECT pair, count(*) AS n, regr_slope(ds, s1) AS g, regr_sxx(ds, s1) AS sxx, regr_syy(ds, s1) - pow(regr_sxy(ds, s1), 2) / regr_sxx(ds, s1) AS ssr FROM df WHERE ds IS NOT NULL GROUP BY 1)"""
+
+
+@query("m7_cointegration_plain", f"""WITH {_EG} SELECT ns.pair, round(ns.g / sqrt((dd - ns.g * ns.g * ee) / (ns.n - 1) / ee), 5) + 0.0 AS coint_stat,
+round(cs.g / sqrt(ssr / (cs.n - 2) / sxx), 5) + 0.0 AS spread_stat FROM ns JOIN cs USING (pair)""")
+def m7p(t):
+    out = mv.engle_granger(_wide_prices(t), "pos", _PAIRS, 0)
+    return out.select("pair", r("coint_stat", 5).alias("coint_stat"), r("spread_stat", 5).alias("spread_stat"))
+
+
 _ANOM = SQL_FILLED + """, res AS (SELECT series, ts, pos, x - avg(x) OVER (PARTITION BY series, isodow(ts) >= 6, hour(ts)) AS resid FROM filled),
 zs AS (SELECT series, ts, pos, resid, resid / stddev_samp(resid) OVER (PARTITION BY series) AS z FROM res)"""
 
@@ -218,6 +235,14 @@ def m12(t):
     return risk.arch_lm(daily_returns(t), S, "pos", "ret", 1).select("series", "n", r("lm_stat", 5).alias("lm_stat"))
 
 
+@query("m12_arch_lm_two_lags", f"""WITH {SQL_RETURNS}, q AS (SELECT series, pos, pow(ret - avg(ret) OVER (PARTITION BY series), 2) AS q FROM rets),
+p AS (SELECT series, q, lag(q) OVER w AS q1, lag(q, 2) OVER w AS q2 FROM q WINDOW w AS (PARTITION BY series ORDER BY pos)),
+c AS (SELECT series, count(*) AS n, corr(q, q1) AS a, corr(q, q2) AS b, corr(q1, q2) AS g FROM p WHERE q2 IS NOT NULL GROUP BY 1)
+SELECT series, n, round(n * (a * a + b * b - 2 * a * b * g) / (1 - g * g), 5) + 0.0 AS lm_stat FROM c""")
+def m12b(t):
+    return risk.arch_lm(daily_returns(t), S, "pos", "ret", 2).select("series", "n", r("lm_stat", 5).alias("lm_stat"))
+
+
 @query("m12_arch_lm")
 def m12a(t):
     return risk.arch_lm(daily_returns(t), S, "pos", "ret", 12)
@@ -243,6 +268,27 @@ def m13t(t):
     return risk.volatility_term_structure(risk.garch_fit(daily_returns(t), S, "pos", "ret"), S, 20, 252)
 
 
+def _stated_fits(t):
+    """Stated asymmetric parameters with each series' own long-run variance."""
+    v = daily_returns(t).groupBy("series").agg(F.var_samp("ret").alias("v"), F.max_by("ret", "pos").alias("last"))
+    return v.select("series", F.lit(0.08).alias("alpha"), F.lit(0.05).alias("gamma"), F.lit(0.85).alias("beta"), (F.col("v") * 0.045).alias("omega"),
+                    F.lit(0.955).alias("persistence"), F.sqrt("v").alias("long_run_vol"), (F.col("last") ** 2).alias("sigma2_next"))
+
+
+@query("m13_news_impact_stated", f"""WITH {SQL_RETURNS}, v AS (SELECT series, var_samp(ret) AS v FROM rets GROUP BY 1)
+SELECT series, CAST(e AS DOUBLE) AS shock, round(v * 0.045 + (0.08 + CASE WHEN e < 0 THEN 0.05 ELSE 0 END) * e * e + 0.85 * v, 4) AS variance FROM v CROSS JOIN (VALUES (-30.0), (-10.0), (0.0), (10.0), (30.0)) AS s(e)""")
+def m13ns(t):
+    out = risk.news_impact(_stated_fits(t), S, [-30, -10, 0, 10, 30])
+    return out.select("series", "shock", r("variance", 4).alias("variance"))
+
+
+@query("m13_term_structure_stated", f"""WITH {SQL_RETURNS}, v AS (SELECT series, var_samp(ret) AS v, max_by(ret, pos) AS l FROM rets GROUP BY 1)
+SELECT series, CAST(k AS INTEGER) AS step, round(sqrt((v + pow(0.955, k - 1) * (l * l - v)) * 252), 4) AS annual_vol FROM v CROSS JOIN generate_series(1, 20) AS g(k)""")
+def m13ts(t):
+    out = risk.volatility_term_structure(_stated_fits(t), S, 20, 252)
+    return out.select("series", "step", r("annual_vol", 4).alias("annual_vol"))
+
+
 _EWMA = SQL_RETURNS + """, st AS (SELECT series, avg(ret) AS mu, var_samp(ret) AS v0 FROM rets GROUP BY 1),
 ix AS (SELECT series, pos, ts, ret, mu, v0, row_number() OVER (PARTITION BY series ORDER BY pos) - 1 AS i FROM rets JOIN st USING (series)),
 sg AS (SELECT series, ts, pos, ret, mu, sqrt(pow(0.94, i) * (v0 + 0.06 * coalesce(sum(pow(ret - mu, 2) * pow(0.94, -(i + 1))) OVER (PARTITION BY series ORDER BY pos
