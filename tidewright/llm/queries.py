@@ -49,6 +49,21 @@ def winnowing(spark, folder):
     return fingerprints(table(spark, folder, "documents"))
 
 
+@query("op7_jaccard_join", r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, coalesce(k.k, 0) AS n_links FROM w LEFT JOIN n USING (doc_id)
+JOIN (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY 1) m USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM l GROUP BY 1) k USING (doc_id)""")
+def jaccard_join(spark, folder):
+    from tidewright.llm.jaccard_join import jaccard_components
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 @query("op8_extendible_shards", r"""
 WITH RECURSIVE d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 15) AS BIGINT) AS h
                      FROM documents),
