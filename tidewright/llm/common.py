@@ -53,7 +53,7 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
             for batch in pieces(whole, "__text"):
                 made = fn(batch.column("__text").to_pylist())
                 cols = [batch.column(f"__keep{i}").cast(arrow.field(i).type) for i in range(len(keep))]
-                cols += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type, from_pandas=False)
+                cols += [x.cast(arrow.field(n).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type, from_pandas=False)
                          for n, x in zip(own, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 

@@ -49,6 +49,19 @@ def winnowing(spark, folder):
     return fingerprints(table(spark, folder, "documents"))
 
 
+@query("op4_nbest_pieces")
+def nbest_pieces(spark, folder):
+    from tidewright.llm.nbest import nbest_digests
+    return nbest_digests(table(spark, folder, "documents"))
+
+
+@query("op5_ordinal_quality")
+def ordinal_quality(spark, folder):
+    from tidewright.llm.ordinal import fit, quality_grades, score
+    docs = table(spark, folder, "documents")
+    return score(docs, fit(docs, quality_grades(table(spark, folder, "labels"))), ["doc_id"])
+
+
 @query("op7_jaccard_join", r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sh AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
