@@ -61,26 +61,32 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
     return thin.mapInArrow(run, schema)
 
 
-def id_blocks(df: DataFrame, key: str, ahead: bool = False) -> tuple[DataFrame, int]:
-    """Deal rows out by ascending ranges of the long ``key``, every range one partition, in one shuffle.
-
-    Adds ``_block`` (0, 1, ...) and ``_ahead``. With ``ahead``, the rows of the smallest key of a block are also
-    copied to the block before it (the first block's to the last) with ``_ahead`` 1: each block then knows what follows it.
-    Ranges come from quantiles of the key, so a skewed id space is no matter; what meets in a partition is streamed.
-    """
+def _edges(df: DataFrame, key: str) -> np.ndarray:
+    """Ascending cuts of the long ``key`` into ranges of about as many rows each, one per shuffle partition at most."""
     n = partitions_of(df.sparkSession)
     probs = [i / n for i in range(1, n)]
-    cuts = sorted({int(x) for x in (df.approxQuantile(key, probs, min(0.01, 0.1 / n)) if n > 1 else [])})
-    edges = np.array(cuts, dtype=np.int64)
+    return np.array(sorted({int(x) for x in (df.approxQuantile(key, probs, min(0.01, 0.1 / n)) if n > 1 else [])}), np.int64)
+
+
+def id_ranges(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Add ``_block``, the number of the range of ``key`` that a row lies in, and say how many there are. Nothing is moved."""
+    edges = _edges(df, key)
 
     @F.pandas_udf("int")
     def cell(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, k.to_numpy(np.int64), side="right").astype(np.int32))
 
-    if not ahead:
-        dealt = df.withColumn("_block", cell(key)).withColumn("_ahead", F.lit(0))
-        return dealt.repartitionById(len(cuts) + 1, "_block"), len(cuts) + 1
-    firsts = df.select(key).groupBy(cell(key).alias("_block")).agg(F.min(key).alias("k")).collect()  # a row per block
+    return df.withColumn("_block", cell(key)), len(edges) + 1
+
+
+def id_blocks_ahead(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Deal rows out by ascending ranges of the long ``key``, each range one partition, so that each range knows what follows it.
+
+    Rows of the smallest key of a range are copied to the range before it (the first one's to the last), with ``_ahead`` 1. One shuffle;
+    ranges come from quantiles of the key, so a skewed id space is no matter; what meets in a partition is streamed.
+    """
+    ranged, _ = id_ranges(df.select(key), key)
+    firsts = ranged.groupBy("_block").agg(F.min(key).alias("k")).collect()  # a row per range
     starts = np.array(sorted(r["k"] for r in firsts), dtype=np.int64)
     blocks = max(1, len(starts))
 

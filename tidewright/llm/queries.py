@@ -102,6 +102,12 @@ def extendible_shards(spark, folder):
     return shard(table(spark, folder, "documents"))
 
 
+@query("op9_token_files")
+def token_files(spark, folder):
+    from tidewright.llm.token_files import token_round_trip
+    return token_round_trip(table(spark, folder, "documents"))
+
+
 @query("op10_licence_scan")
 def licence_scan(spark, folder):
     from tidewright.llm.licences import scan

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LOWEST, id_blocks
+from tidewright.llm.common import LOWEST, id_blocks_ahead
 
 #: Code points in a gram and grams in a window: any common run of GRAM + WINDOW - 1 = 47 code points is noticed.
 GRAM, WINDOW = 16, 32
@@ -107,7 +107,7 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("_key", F.coalesce("doc_id", F.lit(LOWEST)))
-    dealt, _ = id_blocks(rows, "_key", ahead=True)
+    dealt, _ = id_blocks_ahead(rows, "_key")
     dealt = dealt.sortWithinPartitions("_ahead", "_key", "text").select("doc_id", "text", "_ahead")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
