@@ -43,6 +43,12 @@ def source_mix(spark, folder):
                             (F.col("_copies") * F.col("size")).alias("taken"), F.col("_copies").alias("copies"))
 
 
+@query("op2_html_text")
+def html_text(spark, folder):
+    from tidewright.llm.html_text import extract
+    return extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 @query("op3_winnowing")
 def winnowing(spark, folder):
     from tidewright.llm.winnowing import fingerprints
