@@ -12,6 +12,7 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -24,8 +25,8 @@ SPACE = "▁"
 #: Stands for a SPACE mark that a text itself holds; no text can hold this code point.
 MARK = "\udbff"
 #: Words whose segmentations a worker keeps, twice: those met since the last change and those before.
-CACHE = 300_000
-_WORDS = re.compile(rf"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+CACHE = 450_000
+_WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -59,8 +60,9 @@ class Segmenter:
             self.as_bytes[i] = bytes([b])
         if any(SPACE in p.strip(SPACE) or "\n" in p or p.endswith(SPACE) and p.strip(SPACE) for p in self.pieces):
             raise ValueError("a piece of this model crosses words")
-        self.table: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
-        self.typed = np.uint16 if size <= 1 << 16 else np.uint32
+        # pieces, and with () whatever a longer piece begins with
+        self.table: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self.typed, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
         self.known: dict[str, tuple] = {}
         self.aged: dict[str, tuple] = {}
 
@@ -68,41 +70,49 @@ class Segmenter:
         """The parts of a text that no piece crosses: a word with the spaces before it, a line end."""
         if SPACE in text:
             text = text.replace(SPACE, MARK)
-        if "  " in text or text[:1] == " ":
-            return _WORDS.findall(SPACE + text.replace(" ", SPACE))
-        return [w for w in (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ") if w]
+        if "  " in text or text[:1] == " " or "\0" in text:
+            return _WORDS.findall(" " + text)
+        words = (" " + text.replace(" ", "\0 ").replace("\n", "\0\n\0")).split("\0")
+        return [w for w in words if w] if "\n" in text else words
 
     def lattice(self, word: str) -> tuple[list[list[tuple]], list[int]]:
-        """Edges (start, ids, cost) by the position where they end, and the least cost from the start to every position (Viterbi)."""
-        n, table, miss = len(word), self.table, self
+        """Edges (start, (ids, cost)) by the position where they end, and the least cost from the start to every position (Viterbi)."""
+        n, get = len(word), self.table.get
         edges: list[list[tuple]] = [[] for _ in range(n + 1)]
         best = [0] + [1 << 60] * n
         for start in range(n):
-            base, first = best[start], True
-            for end in range(start + 1, n + 1):
-                hit = table.get(word[start:end], miss)
-                if hit is miss or hit is None and first:
-                    if first:  # no piece for this character; longer ones that begin with it are still tried
-                        raw = (SPACE if word[start] == MARK else word[start]).encode()
-                        cost = 12_000_000 * len(raw)
-                        edges[end].append((start, tuple(self.byte_ids[b] for b in raw), cost))
-                        best[end] = min(best[end], base + cost)
-                    if hit is miss:
-                        break
-                elif hit is not None:
-                    edges[end].append((start, *hit))
+            base = best[start]
+            hit = known = get(word[start])
+            if not hit:  # no piece for this character
+                raw = (SPACE if word[start] == MARK else word[start]).encode()
+                hit = (tuple([self.byte_ids[b] for b in raw]), 12_000_000 * len(raw))
+            edges[start + 1].append((start, hit))
+            if base + hit[1] < best[start + 1]:
+                best[start + 1] = base + hit[1]
+            if known is None:  # nor one that begins with it
+                continue
+            for end in range(start + 2, n + 1):
+                hit = get(word[start:end])
+                if hit:
+                    edges[end].append((start, hit))
                     cost = base + hit[1]
                     if cost < best[end]:
                         best[end] = cost
-                first = False
+                elif hit is None:
+                    break
         return edges, best
 
     def paths(self, word: str, n: int) -> list[tuple[int, tuple]]:
-        """The n cheapest (cost, ids) of a word, cheapest first: A* from the end, with the exact rest of the way as its estimate."""
+        """The n cheapest (cost, ids) of a word, cheapest first: A* from the end, with the exact rest of the way as its estimate.
+
+        Among equal totals the path nearest to the start goes on, so each of the n takes no more steps than the word has characters, even
+        where very many paths cost the same.
+        """
+        word = word.replace(" ", SPACE)
         edges, best = self.lattice(word)
-        heap, count, found = [(best[-1], 0, len(word), 0, None)], 0, []
+        heap, count, found = [(best[-1], len(word), 0, 0, None)], 0, []
         while heap and len(found) < n:
-            _, _, at, g, path = heapq.heappop(heap)
+            _, at, _, g, path = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while path:
@@ -110,9 +120,9 @@ class Segmenter:
                     ids += x if type(x) is tuple else (x,)
                 found.append((g, tuple(ids)))
                 continue
-            for start, x, cost in edges[at]:
+            for start, (x, cost) in edges[at]:
                 count += 1
-                heapq.heappush(heap, (g + cost + best[start], count, start, g + cost, (x, path)))
+                heapq.heappush(heap, (g + cost + best[start], start, count, g + cost, (x, path)))
         return found
 
     def _entry(self, word: str) -> tuple:
@@ -122,20 +132,23 @@ class Segmenter:
         """
         entry = self.aged.pop(word, None)
         if entry is None:
-            edges, best = self.lattice(word)
+            edges, best = self.lattice(word.replace(" ", SPACE))
             ids, at, gap = [], len(word), 1 << 60
             while at:
-                took = None
+                took, here = None, best[at]
                 for edge in edges[at]:
-                    over = best[edge[0]] + edge[2] - best[at]
+                    over = best[edge[0]] + edge[1][1] - here
                     if over == 0 and took is None:
                         took = edge
                     elif over < gap:
                         gap = over
-                x = took[1]
-                ids += x[::-1] if type(x) is tuple else (x,)
-                at = took[0]
-            entry = best[-1], np.array(ids[::-1], self.typed).tobytes(), gap
+                at, (x, _) = took
+                if type(x) is tuple:
+                    ids += x[::-1]
+                else:
+                    ids.append(x)
+            ids.reverse()
+            entry = best[-1], array(self.code, ids).tobytes(), gap
         if len(self.known) >= CACHE:  # words not met again since the last change leave
             self.known, self.aged = {}, self.known
         self.known[word] = entry
