@@ -22,6 +22,12 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python 1,000 rows at a time, unless the session has a number of its own: Spark's 10,000 are 100 MB and more of long texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most PIECE_BYTES in ``column``, one row at least."""
     sizes = batch.column(column).nbytes
@@ -43,6 +49,7 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
 
     ``make`` runs once per task; ``texts`` is a list of str or None. Only ``keep`` and ``text`` leave the scan.
     """
+    small_batches(df.sparkSession)
     added = StructType.fromDDL(adds)
     schema = StructType([df.schema[c] for c in keep] + list(added))
     arrow, own = to_arrow_schema(schema), [f.name for f in added]
@@ -85,6 +92,7 @@ def id_blocks_ahead(df: DataFrame, key: str) -> tuple[DataFrame, int]:
     Rows of the smallest key of a range are copied to the range before it (the first one's to the last), with ``_ahead`` 1. One shuffle;
     ranges come from quantiles of the key, so a skewed id space is no matter; what meets in a partition is streamed.
     """
+    small_batches(df.sparkSession)
     ranged, _ = id_ranges(df.select(key), key)
     firsts = ranged.groupBy("_block").agg(F.min(key).alias("k")).collect()  # a row per range
     starts = np.array(sorted(r["k"] for r in firsts), dtype=np.int64)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import small_batches
 from tidewright.session import settle
 
 #: Ratio of lengths within a bucket; vectors and queries of a block; longest vectors from which first thresholds come.
@@ -95,6 +96,7 @@ def top_k(df: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str
 
     Blocks of candidates meet blocks of queries by their bucket's number, only where the bucket's longest vector could reach a query's threshold.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"), queries.alias("asks")).where(
         F.col("id").isNotNull() & F.col("v").isNotNull() & F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"))
     length = F.sqrt(F.expr(f"aggregate(v, 0D, (a, x) -> a + pow(cast(floor({scale}D * x) as double), 2D))"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_texts
+from tidewright.llm.common import map_texts, small_batches
 
 #: Hash cells, and what is fitted at most: labelled rows (the bound of the sample), rounds.
 CELLS, SAMPLE, ROUNDS = 1 << 15, 8000, 200
@@ -171,6 +171,7 @@ def _probabilities(model, x, tail):
 
 def accepted(spark, model: OrdinalModel | None, text: str = "text", tail: int = 2, least: float = 0.5) -> Column:
     """The decision of ``score`` as a column, for filtering rows as they are."""
+    small_batches(spark)
     shared, state = spark.sparkContext.broadcast(model), {}
 
     @F.pandas_udf("boolean")
