@@ -6,6 +6,7 @@ with many stop words, or long ones inside an article, are main text. Pass 2: sho
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from dataclasses import dataclass
@@ -163,11 +164,17 @@ def classify(blocks: list[Block]) -> None:
             if not b.area:
                 b.label = "bad"
     first = [b.label for b in blocks]
+    # what menus, adverts and the like hold says nothing about the text around it
+    decided: dict[int, list[int]] = {}
+    for i, b in enumerate(blocks):
+        if first[i] in ("good", "bad") and not b.boiler:
+            decided.setdefault(b.area, []).append(i)
     for i, b in enumerate(blocks):  # pass 2
         if first[i] in ("good", "bad"):
             continue
-        before = next((first[j] for j in range(i - 1, -1, -1) if blocks[j].area == b.area and first[j] in ("good", "bad")), None)
-        after = next((first[j] for j in range(i + 1, len(blocks)) if blocks[j].area == b.area and first[j] in ("good", "bad")), None)
+        near = decided.get(b.area, [])
+        at = bisect.bisect(near, i)
+        before, after = first[near[at - 1]] if at else None, first[near[at]] if at < len(near) else None
         if b.heading and after:
             b.label = after
         elif before == after or before is None or after is None:

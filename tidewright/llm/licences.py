@@ -42,6 +42,8 @@ FORMS = (
     (4, 0.8, r"(?:{n}) (?:public |software )?licen[sc]es?(?: version \d(?: \d)?)?", ("licen",)),
     (5, 0.6, r"licen[sc]e (?:is |type )?(?:the )?(?:{n})", ("licen",)),
 )
+# Names that mean a licence wherever they stand: (priority, confidence) and beginnings of their labels.
+ALONE = (6, 0.5, ("apache", "bsd-", "gpl-", "lgpl-", "agpl-", "mpl-", "epl-", "cc0", "cc-by", "odc-by", "mulan"))
 # Sentences that give a licence away without its name: label, pattern, word that must stand in the text.
 SENTENCES = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby"),
@@ -61,6 +63,11 @@ SENTENCES = (
 )
 
 
+def _heads(name: str) -> list[str]:
+    """The plain words that the alternatives of a name begin with."""
+    return [re.match(r"[a-z0-9]+", alt)[0] for alt in re.split(r"\|(?![^(]*\))", name)]
+
+
 @functools.cache
 def rules():
     """All rules, strongest first: (priority, confidence, label, compiled pattern), and an automaton from keywords to rules.
@@ -71,8 +78,11 @@ def rules():
     for priority, confidence, form, words in FORMS:
         for label, name in NAMES.items():
             made.append((priority, confidence, label, re.compile(r"(?<!\S)" + form.replace("{n}", name) + r"(?!\S)")))
-            heads = [re.match(r"[a-z0-9]+", alt)[0] for alt in re.split(r"\|(?![^(]*\))", name)]
-            wants.append((words, heads))
+            wants.append((words, _heads(name)))
+    for label, name in NAMES.items():
+        if label.startswith(ALONE[2]):
+            made.append((*ALONE[:2], label, re.compile(rf"(?<!\S)(?:{name})(?!\S)")))
+            wants.append((_heads(name), _heads(name)))
     for label, pattern, word in SENTENCES:
         made.append((2, 0.9, label, re.compile(r"(?<!\S)(?:" + pattern + r")(?!\S)")))
         wants.append(((word,), [word]))

@@ -113,7 +113,7 @@ class TokenFileWriter:
 
     def _flush(self, close: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.empty(0, self.typed)
-        full = -(-len(ids) // self.length) if close else len(ids) // self.length
+        full = -(-len(ids) // self.length) if close else len(ids) // self.length // BATCH * BATCH
         start, size = self.total - len(ids), full * self.length
         mask, ends = np.zeros(size, bool), np.zeros(size, bool)
         mask[: min(size, len(ids))] = True
