@@ -218,3 +218,52 @@ def test_scores_with_tied_probabilities(spark):
     assert classify.roc_auc(df, "y", "p").first()["auc"] == pytest.approx((2 * 2 + 1.5) / 6)
     assert classify.reliability(df, "y", "p").filter("band = 9").first()["n"] == 2  # the closed last band holds 1.0
     assert classify.average_precision(classify.pr_curve(df, "y", "p")).first()[0] == pytest.approx(2 / 3 + 3 / 4 / 3)
+
+
+# ------------------------------------------------------------------ faults once found
+def test_yates_counts_cells_that_never_occur(spark):
+    from tidewright.operators import assoc
+    rows = spark.createDataFrame([("x", "u")] * 12 + [("x", "v")] * 8 + [("y", "u")] * 10, "a string, b string")
+    assert abs(assoc.cramers_v(rows, "a", "b").first()["chi2"] - 3.600852) < 1e-5
+    rows = spark.createDataFrame([("x", "u")] * 6 + [("y", "v")] * 4, "a string, b string")
+    assert abs(assoc.cramers_v(rows, "a", "b").first()["chi2"] - 6.267361) < 1e-5
+
+
+def test_large_keys_hash_without_overflow(spark):
+    from tidewright.functions.columns import portable_hash
+    rows = spark.createDataFrame([(10**12,), (4 * 10**9,), (2**62,)], "k long")
+    got = [r[0] for r in rows.select(portable_hash(F.col("k"))).collect()]
+    assert got == [k * 2654435761 % 1_000_003 for k in (10**12, 4 * 10**9, 2**62)]
+
+
+def test_every_gap_length_has_a_band(spark):
+    from tidewright.operators.impute import gap_band
+    rows = spark.createDataFrame([(1,), (12,), (48,), (49,), (12_000,)], "k int")
+    assert [r[0] for r in rows.select(gap_band("k")).collect()] == ["1-3h", "4-12h", "13-48h", "49h+", "49h+"]
+
+
+def test_pairs_of_three_hundred_entities(spark):
+    import numpy as np
+    from tidewright.operators.assoc import pair_correlations
+    x = np.random.default_rng(3).normal(size=(300, 9))
+    rows = spark.createDataFrame([(f"e{i:03d}", p, float(x[i, p])) for i in range(300) for p in range(9) if (i + p) % 7], "e string, p long, v double")
+    got = {(r["a"], r["b"]): (r["n"], r["c"]) for r in pair_correlations(rows, "e", "p", "v", block=4, chunk=64).collect()}
+    assert len(got) == 300 * 299 // 2
+    for i, j in ((0, 1), (5, 250), (298, 299)):
+        both = [p for p in range(9) if (i + p) % 7 and (j + p) % 7]
+        n, c = got[f"e{i:03d}", f"e{j:03d}"]
+        assert n == len(both) and abs(c - np.corrcoef(x[i, both], x[j, both])[0, 1]) < 1e-9
+
+
+def test_nan_is_missing_at_the_source(spark, tmp_path):
+    from tidewright.plans.registry import Tables
+    spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 1.5)], "k long, v double").write.parquet(str(tmp_path / "t.parquet"))
+    assert [r["v"] for r in Tables(spark, str(tmp_path)).t.orderBy("k").collect()] == [None, None, 1.5]
+
+
+def test_backtest_ratio_without_breaches(spark):
+    import math
+    from tidewright.operators.risk import kupiec
+    rows = spark.createDataFrame([("s", 0.1, 1.0)] * 50, "s string, r double, var double")
+    got = kupiec(rows, ["s"], "r", "var", 0.05).first()
+    assert got["breaches"] == 0 and abs(got["kupiec_lr"] + 100 * math.log(0.95)) < 1e-9

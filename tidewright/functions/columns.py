@@ -100,8 +100,8 @@ def hash_normal(*keys: Column, seed: int = 0) -> Column:
 
 
 def portable_hash(key: Column, modulus: int = 1_000_003) -> Column:
-    """Multiplicative hash of a whole-number key that plain SQL can repeat."""
-    return F.pmod(key * 2654435761, F.lit(modulus))
+    """Multiplicative hash of a whole-number key that plain SQL can repeat; the key is reduced first, so none overflows."""
+    return F.pmod(F.pmod(key, F.lit(modulus)) * 2654435761, F.lit(modulus))
 
 
 def normal_quantile(p: Column) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.tails import t_p
 from tidewright.operators.ordering import attach, sorted_scan
-from tidewright.operators.risk import widen
 from tidewright.session import settle
 
 
@@ -25,18 +24,40 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*cells)))
 
 
-def pair_correlations(df: DataFrame, entity: str, pos: str, value: str) -> DataFrame:
-    """Correlation of every entity pair over their common slots, from a wide pivot and one aggregate."""
-    wide, names = widen(df, entity, pos, value)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        both = F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()
-        aggs += [F.count_if(both).alias(f"n{i}"), F.corr(f"`{a}`", f"`{b}`").alias(f"c{i}")]
-    one = wide.agg(*aggs)
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"c{i}").alias("c"))
-        for i, (a, b) in enumerate(pairs)])))
+def pair_correlations(df: DataFrame, entity: str, pos: str, value: str, block: int = 4096, chunk: int = 256) -> DataFrame:
+    """Correlation of every entity pair over their common slots: (``a``, ``b``, ``n``, ``c``) with a < b, for any number of entities.
+
+    Blocks of slots times pairs of entity chunks give sums of products as matrix products, so a task holds two block × chunk matrices, and a
+    row leaves it for each pair and block rather than for each pair and slot. Values are centred by the entity's mean first. Several rows of a slot: the first.
+    """
+    rows = df.select(F.col(entity).alias("e"), F.col(pos).cast("long").alias("p"), F.col(value).cast("double").alias("v")).na.drop()
+    rows = settle(rows.groupBy("e", "p").agg(F.first("v").alias("v")))
+    means = rows.groupBy("e").agg(F.avg("v").alias("m"))
+    n_chunks = -(-means.count() // chunk) or 1
+    rows = rows.join(means, "e").select("e", "p", (F.col("v") - F.col("m")).alias("v"), F.pmod(F.xxhash64("e"), F.lit(n_chunks)).alias("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))).select(
+        "e", "p", "v", "own", F.floor(F.col("p") / block).alias("block"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    kind = rows.schema["e"].dataType.simpleString()
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf["e"].to_numpy(), return_inverse=True)
+        x, seen = np.zeros((block, len(names))), np.zeros((block, len(names)))
+        slot = (pdf["p"].to_numpy() % block).astype(int)
+        x[slot, at], seen[slot, at] = pdf["v"].to_numpy(), 1.0
+        side = np.zeros(len(names), int)
+        side[at] = pdf["own"].to_numpy()
+        n, s, q, xy = seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x
+        i, j = np.triu_indices(len(names), 1)
+        mine = (n[i, j] > 0) & ((pdf["lo"].iloc[0] == pdf["hi"].iloc[0]) | (side[i] != side[j]))
+        i, j = i[mine], j[mine]
+        return pd.DataFrame({"a": names[i], "b": names[j], "n": n[i, j], "sa": s[i, j], "sb": s[j, i], "qa": q[i, j], "qb": q[j, i], "ab": xy[i, j]})
+
+    sums = ["n", "sa", "sb", "qa", "qb", "ab"]
+    found = rows.groupBy("block", "lo", "hi").applyInPandas(products, f"a {kind}, b {kind}, " + ", ".join(f"{c} double" for c in sums))
+    one = found.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums])
+    spread = (F.col("n") * F.col("qa") - F.col("sa") * F.col("sa")) * (F.col("n") * F.col("qb") - F.col("sb") * F.col("sb"))
+    c = (F.col("n") * F.col("ab") - F.col("sa") * F.col("sb")) / F.sqrt(F.when(spread > 0, spread))
+    return one.select("a", "b", F.col("n").cast("bigint").alias("n"), c.alias("c"))
 
 
 def pearson(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -120,9 +141,13 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     gap = F.abs(F.col("o") - e)
     small = (F.col("ka") == 2) & (F.col("kb") == 2)
     gap = F.when(small, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    # cells that never occur each add their expected count; all expected counts add up to n
-    one = rows.groupBy("n", "ka", "kb").agg(F.sum(gap * gap / e).alias("seen"), F.sum(e).alias("covered"), F.min(e).alias("_e"))
-    missing = F.when(small, F.lit(0.0)).otherwise(F.col("n") - F.col("covered"))
+    # cells that never occur each add their expected count; all expected counts add up to n. In a 2 × 2 table the empty cells
+    # (one, or the two of a diagonal, which expect the same) are corrected like the others
+    one = rows.groupBy("n", "ka", "kb").agg(F.sum(gap * gap / e).alias("seen"), F.sum(e).alias("covered"), F.count("*").alias("met"))
+    spare = F.col("n") - F.col("covered")
+    each = spare / F.nullif(4 - F.col("met"), F.lit(0))
+    lacking = each - F.least(F.lit(0.5), each)
+    missing = F.when(~small, spare).when(F.col("met") < 4, (4 - F.col("met")) * lacking * lacking / each).otherwise(F.lit(0.0))
     n, r, k = F.col("n"), F.col("ka"), F.col("kb")
     chi2 = F.col("seen") + missing
     phi2 = F.greatest(F.lit(0.0), chi2 / n - (k - 1) * (r - 1) / (n - 1))

@@ -313,16 +313,19 @@ def band_power(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
             .groupBy(*series_cols, "segment").agg(F.avg("power").alias("power")))
 
 
-def hurst(df: DataFrame, series_cols: Sequence[str], pos: str, value: str, sizes: Sequence[int]) -> DataFrame:
+def hurst(df: DataFrame, series_cols: Sequence[str], pos: str, value: str, first: int = 10, growth: float = 1.5) -> DataFrame:
     """Rescaled-range exponent: slope of log mean R/S on log segment length.
 
+    Segment lengths are the whole parts of first · growth^k up to a quarter of each series' length.
+
     Ranges of cumulative deviations come from one running total of the series, so a segment of any
     length is an aggregate and never a single task's window.
     """
     keys = list(series_cols)
     start = df.groupBy(*keys).agg(F.min(pos).alias("_p0"), F.count(value).alias("_n"))
     rows = attach(running(df.select(*keys, pos, value), keys, pos, sums={"_cum": value}), start, keys)
-    rows = rows.withColumn("_t", F.col(pos) - F.col("_p0")).withColumn("_size", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
+    rows = rows.withColumn("_t", F.col(pos) - F.col("_p0")).withColumn("_size", F.explode(F.expr(
+        f"filter(transform(sequence(0, greatest(0, int(ceil(ln(_n / {4 * first}) / ln({growth}))))), k -> int(floor({float(first)}D * pow({growth}D, k)))), z -> z <= _n / 4)")))
     rows = rows.withColumn("_seg", F.floor(F.col("_t") / F.col("_size"))).filter(F.col("_seg") < F.floor(F.col("_n") / F.col("_size")))
     rows = settle(rows.select(*keys, "_size", "_seg", "_t", value, "_cum"))
     stats = rows.groupBy(*keys, "_size", "_seg").agg(

@@ -116,7 +116,7 @@ def inject_gaps(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
 
 
 # Gap-length bands of the score table.
-GAP_EDGES = (0, 3, 12, 48, 10000)
+GAP_EDGES = (0, 3, 12, 48, float("inf"))
 GAP_BANDS = ("1-3h", "4-12h", "13-48h", "49h+")
 
 

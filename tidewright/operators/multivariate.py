@@ -59,7 +59,7 @@ def component_scores(df: DataFrame, cols: Sequence[str], loadings: DataFrame, n_
 
 
 # ------------------------------------------------------------------ regimes
-def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = (0, 1, 2), max_iter: int = 30):
+def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = tuple(range(10)), max_iter: int = 30):
     """Best of several k-means starts by training cost; ``features`` is an array column."""
     rows = df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
     fits = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(rows) for s in seeds]
@@ -71,7 +71,7 @@ def assign(df: DataFrame, model, features: str) -> DataFrame:
     return model.transform(rows).drop("_v")
 
 
-def silhouette_by_k(df: DataFrame, features: str, ks: Sequence[int], seeds: Sequence[int] = (0, 1)) -> DataFrame:
+def silhouette_by_k(df: DataFrame, features: str, ks: Sequence[int], seeds: Sequence[int] = tuple(range(10))) -> DataFrame:
     """Mean silhouette (squared Euclidean) for each number of clusters, over all rows."""
     judge = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster")
     rows = df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))

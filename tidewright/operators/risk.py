@@ -37,11 +37,9 @@ def _quoted(pairs):
     return [(f"`{a}`", f"`{b}`") for a, b in pairs]
 
 
-def widen(df: DataFrame, entity: str, pos: str, value: str, limit: int = 200) -> tuple[DataFrame, list[str]]:
-    """One column per entity; the entity list is read first and must stay below ``limit``."""
-    names = [row[0] for row in df.select(entity).distinct().orderBy(entity).limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} entities: choose a subset for a pairwise study")
+def widen(df: DataFrame, entity: str, pos: str, value: str) -> tuple[DataFrame, list[str]]:
+    """One column per entity; the entity list is read first. For many entities use the long forms (``pair_correlations``)."""
+    names = [row[0] for row in df.select(entity).distinct().orderBy(entity).collect()]
     return df.groupBy(pos).pivot(entity, names).agg(F.first(value)), names
 
 
@@ -150,11 +148,14 @@ def value_at_risk(df: DataFrame, series_cols: Sequence[str], value: str, sigma:
 def kupiec(df: DataFrame, series_cols: Sequence[str], value: str, var: str, alpha: float) -> DataFrame:
     """VaR backtest: breaches and the proportion-of-failures likelihood ratio."""
     one = df.groupBy(*series_cols).agg(F.count("*").alias("n"), F.count_if(F.col(value) < -F.col(var)).alias("breaches"))
-    n, x = F.col("n"), F.col("breaches")
-    rate = x / n
-    pi = F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
-    lr = -2 * ((n - x) * F.log(F.lit(1 - alpha)) + x * F.log(F.lit(alpha)) - ((n - x) * F.log(1 - pi) + x * F.log(pi)))
-    return one.select(*series_cols, "n", "breaches", rate.alias("rate"), lr.alias("kupiec_lr")).withColumn(
+    total, hits = F.col("n"), F.col("breaches")
+
+    def surprise(seen, expected):
+        """Observed · ln(observed / expected); nothing observed adds nothing."""
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    lr = 2 * (surprise(hits, total * alpha) + surprise(total - hits, total * (1 - alpha)))
+    return one.select(*series_cols, "n", "breaches", (hits / total).alias("rate"), lr.alias("kupiec_lr")).withColumn(
         "kupiec_p", normal_two_sided_p(F.sqrt(F.greatest("kupiec_lr", F.lit(0.0)))))
 
 

@@ -11,9 +11,6 @@ from tidewright.functions.columns import clip, hash_normal
 from tidewright.operators.ordering import attach
 from tidewright.operators.recursion import affine_filter
 
-# Illustrative day-ahead error of temperature (C), humidity (points) and wind (km/h).
-FORECAST_SD = {"temp_C": 1.5, "hum_pct": 8.0, "wind_kmh": 3.0}
-
 
 def scenarios(df: DataFrame, series_cols: Sequence[str], pos: str, sd: Mapping[str, float], n_scenarios: int,
               phi: float = 0.8, seed: int = 0) -> DataFrame:

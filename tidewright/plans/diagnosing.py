@@ -196,17 +196,15 @@ def d14(t):
     return dg.spectral_entropy(hourly_filled(t), S, "pos", "x", 168).withColumn("entropy", r("entropy", 7))
 
 
-_SIZES = (10, 15, 22, 33, 49, 72, 107, 160)
-
-
 @query("d15_hurst", f"""WITH {SQL_FILLED}, b AS (SELECT series, pos - min(pos) OVER (PARTITION BY series) AS t, x, count(*) OVER (PARTITION BY series) AS n FROM filled),
-s AS (SELECT series, CAST(z AS BIGINT) AS z, t // z AS seg, t, x FROM b CROSS JOIN (VALUES {', '.join(f'({z})' for z in _SIZES)}) AS v(z) WHERE t // z < n // z),
+s AS (SELECT series, CAST(z AS BIGINT) AS z, t // z AS seg, t, x FROM b CROSS JOIN (SELECT CAST(floor(10.0::DOUBLE * pow(1.5::DOUBLE, k)) AS BIGINT) AS z FROM range(60) AS g(k)) AS v
+      WHERE z <= n / 4 AND t // z < n // z),
 d AS (SELECT series, z, seg, t, x - avg(x) OVER w AS e, stddev_pop(x) OVER w AS sd FROM s WINDOW w AS (PARTITION BY series, z, seg)),
 c AS (SELECT series, z, seg, sd, sum(e) OVER (PARTITION BY series, z, seg ORDER BY t) AS cum FROM d),
 rs AS (SELECT series, z, avg(v) AS rs FROM (SELECT series, z, seg, (max(cum) - min(cum)) / any_value(sd) AS v FROM c WHERE sd > 0 GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT series, round(regr_slope(ln(rs), ln(z)), 7) AS hurst FROM rs GROUP BY 1""")
 def d15(t):
-    return dg.hurst(hourly_filled(t), S, "pos", "x", _SIZES).withColumn("hurst", r("hurst", 7))
+    return dg.hurst(hourly_filled(t), S, "pos", "x").withColumn("hurst", r("hurst", 7))
 
 
 @query("d16_month_seasonality", f"""WITH {SQL_MONTHLY}, g AS (SELECT series, ts, x / lag(x) OVER (PARTITION BY series ORDER BY ts) - 1 AS chg FROM monthly)

@@ -36,7 +36,7 @@ def l36(t):
     return both.agg(F.count("*").alias("n"), r(F.avg((F.col("label") == F.col("near_label")).cast("int")), 8).alias("accuracy"))
 
 
-@query("l36_duplicate_leak", """WITH d AS (SELECT text, lang, doc_id, doc_id * 2654435761 % 1000003 % 4 = 0 AS test FROM documents),
+@query("l36_duplicate_leak", """WITH d AS (SELECT text, lang, doc_id, (doc_id % 1000003) * 2654435761 % 1000003 % 4 = 0 AS test FROM documents),
 g AS (SELECT text, lang, count(*) FILTER (test) AS in_test, count(*) FILTER (NOT test) AS in_train FROM d GROUP BY 1, 2)
 SELECT CAST(sum(in_test) AS BIGINT) AS n_test, CAST(sum(in_test) FILTER (in_train > 0) AS BIGINT) AS leaked, count(*) FILTER (in_test > 0) AS n_distinct FROM g""")
 def l36d(t):
@@ -47,7 +47,7 @@ def l36d(t):
 
 
 # One slot in five blocks of six hours is hidden by hash, on top of the real gaps.
-_MASK = "(pos // 6) * 2654435761 % 1000003 % 5 = 0"
+_MASK = "((pos // 6) % 1000003) * 2654435761 % 1000003 % 5 = 0"
 _MASKED = SQL_HOURLY + f""",
 mk AS (SELECT series, ts, pos, y AS truth, CASE WHEN {_MASK} THEN NULL ELSE y END AS y, y IS NOT NULL AND {_MASK} AS hidden, isodow(ts) >= 6 AS we, hour(ts) AS h FROM hgrid)"""
 

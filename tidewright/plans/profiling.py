@@ -287,7 +287,7 @@ def t9(t):
 
 @query("t9_cramers_v_yates", """WITH d AS (SELECT o_orderstatus = 'F' AS a, o_totalprice > 250000 AS b FROM orders), c AS (SELECT a, b, count(*)::DOUBLE AS o FROM d GROUP BY 1, 2),
 n AS (SELECT sum(o) AS n FROM c), ra AS (SELECT a, sum(o) AS ra FROM c GROUP BY 1), rb AS (SELECT b, sum(o) AS rb FROM c GROUP BY 1)
-SELECT round(sum(pow(greatest(abs(o - ra * rb / n) - 0.5, 0), 2) / (ra * rb / n)), 6) + 0.0 AS chi2 FROM c JOIN ra USING (a) JOIN rb USING (b), n""")
+SELECT round(sum(pow(greatest(abs(coalesce(o, 0) - ra * rb / n) - 0.5, 0), 2) / (ra * rb / n)), 6) + 0.0 AS chi2 FROM ra CROSS JOIN rb CROSS JOIN n LEFT JOIN c ON c.a = ra.a AND c.b = rb.b""")
 def t9y(t):
     rows = t.orders.select((F.col("o_orderstatus") == "F").alias("a"), (F.col("o_totalprice") > 250000).alias("b"))
     return assoc.cramers_v(rows, "a", "b").select(r("chi2").alias("chi2"))

@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.functions.columns import finite_or_null
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 class Tables:
-    """Lazy readers of the supplied tables: ``t.orders`` reads ``orders.parquet``."""
+    """Lazy readers of the supplied tables: ``t.orders`` reads ``orders.parquet``. NaN and infinities are missing values, so NULL."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return rows.withColumns({c: finite_or_null(F.col(c)) for c, kind in rows.dtypes if kind in ("float", "double")})
 
 
 def query(name: str, sql: str | None = None):

@@ -243,7 +243,7 @@ def l34(t):
 
 
 # ------------------------------------------------------------------ classification scores
-@query("l35_stratified_split", """WITH k AS (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY (id * 2654435761) % 1000003, id) AS p, count(*) OVER (PARTITION BY l_returnflag) AS m
+@query("l35_stratified_split", """WITH k AS (SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY ((id % 1000003) * 2654435761) % 1000003, id) AS p, count(*) OVER (PARTITION BY l_returnflag) AS m
 FROM (SELECT l_returnflag, o_orderkey * 8 + 1 AS id FROM orders JOIN (SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey))
 SELECT l_returnflag, CAST((p - 1) % 5 AS INTEGER) AS fold, count(*) AS n, count(*) FILTER (p <= floor(m * 0.25 + 0.5)) AS n_test FROM k GROUP BY 1, 2""")
 def l35(t):
