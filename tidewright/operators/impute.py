@@ -86,32 +86,41 @@ def hybrid_fill(df: DataFrame, series_cols: Sequence[str], pos: str, value: str,
 
 def inject_gaps(df: DataFrame, series_cols: Sequence[str], pos: str, value: str, n_gaps: int, seed: int = 0,
                 spare: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Hide observed values in gaps whose lengths are drawn from the real ones.
+    """Hide observed values in gaps whose lengths are drawn from the real ones of all series.
 
-    Returns the rows with ``masked`` and ``gap_len``, and a report of asked and placed gaps per series.
-    Candidates are drawn by hash; one is kept when all its slots are observed and no earlier candidate
-    touches them. ``spare`` candidates are drawn for each gap asked for, in place of retries.
+    Returns the rows with ``masked`` and ``gap_len``, and a report of asked and placed gaps, with every series in it.
+    Candidates are drawn by hash, ``spare`` for each gap asked for in place of retries. In the order of their numbers one is kept when all its
+    slots are observed and no kept one touches them: each round keeps those that come first at all their slots and drops what they touch.
     """
     keys = list(series_cols)
     rows = settle(df)
     runs = run_table(rows.select(*keys, pos, value), keys, pos, F.col(value).isNull())
-    runs = sorted_scan(runs, keys, [F.col("run_start")], row_number="_i").select(*keys, "_i", F.col("run_length").alias("_len"))
-    many = runs.groupBy(*keys).agg(F.count("*").alias("_runs"))
+    runs = settle(sorted_scan(runs, [], [*map(F.col, keys), F.col("run_start")], row_number="_i").select("_i", F.col("run_length").alias("_len")))
+    n_runs = runs.count()
     ends = rows.groupBy(*keys).agg(F.min(pos).alias("_p0"), (F.max(pos) - F.min(pos) + 1).alias("_n"))
-    cand = attach(ends, many, keys).withColumn("_id", F.explode(F.sequence(F.lit(1), F.lit(n_gaps * spare))))
-    cand = cand.withColumn("_i", (F.floor(hash_unit(*keys, F.col("_id"), seed=2 * seed + 11) * F.col("_runs")) + 1).cast("bigint"))
-    cand = cand.join(runs, [*keys, "_i"]).filter(F.col("_len") < F.col("_n"))
+    cand = ends.withColumn("_id", F.explode(F.sequence(F.lit(1), F.lit(n_gaps * spare))))
+    cand = cand.withColumn("_i", (F.floor(hash_unit(*keys, F.col("_id"), seed=2 * seed + 11) * F.lit(n_runs)) + 1).cast("bigint"))
+    cand = cand.join(runs, "_i").filter(F.col("_len") < F.col("_n"))
     begin = F.col("_p0") + F.floor(hash_unit(*keys, F.col("_id"), seed=2 * seed + 12) * (F.col("_n") - F.col("_len")))
     slots = cand.withColumn("_b", begin.cast("bigint")).withColumn(pos, F.explode(F.sequence("_b", F.col("_b") + F.col("_len") - 1)))
-    slots = slots.select(*keys, "_id", "_len", pos)
-    owner = slots.groupBy(*keys, pos).agg(F.min("_id").alias("_owner"))
-    seen = slots.join(owner, [*keys, pos]).join(rows.filter(F.col(value).isNotNull()).select(*keys, pos), [*keys, pos])
-    whole = seen.filter("_owner = _id").groupBy(*keys, "_id", "_len").agg(F.count("*").alias("_k")).filter("_k = _len")
-    ranked = sorted_scan(whole, keys, [F.col("_id")], row_number="_place", bounded=True).filter(F.col("_place") <= n_gaps)
+    slots = settle(slots.select(*keys, "_id", "_len", pos).join(rows.filter(F.col(value).isNotNull()).select(*keys, pos), [*keys, pos]))
+    whole = slots.groupBy(*keys, "_id", "_len").agg(F.count("*").alias("_k")).filter("_k = _len").select(*keys, "_id")
+    slots = settle(slots.join(whole, [*keys, "_id"], "left_semi"))
+    left, kept = slots, slots.select(*keys, "_id").limit(0)
+    while not left.isEmpty():
+        owner = left.groupBy(*keys, pos).agg(F.min("_id").alias("_owner"))
+        first = left.join(owner, [*keys, pos]).filter("_owner = _id").groupBy(*keys, "_id", "_len").agg(F.count("*").alias("_k"))
+        first = settle(first.filter("_k = _len").select(*keys, "_id"))
+        kept = kept.unionByName(first)
+        taken = left.join(first, [*keys, "_id"], "left_semi").select(*keys, pos)
+        hit = left.join(taken, [*keys, pos], "left_semi").select(*keys, "_id").distinct()
+        left = settle(left.join(hit, [*keys, "_id"], "left_anti"))
+    ranked = sorted_scan(kept, keys, [F.col("_id")], row_number="_place", bounded=True).filter(F.col("_place") <= n_gaps)
     kept = settle(ranked.select(*keys, "_id"))
     mask = slots.join(kept, [*keys, "_id"]).select(*keys, pos, F.col("_len").alias("gap_len"))
     marked = rows.join(mask, [*keys, pos], "left").withColumn("masked", F.col("gap_len").isNotNull())
-    report = kept.groupBy(*keys).agg(F.count("*").alias("placed")).withColumn("asked", F.lit(n_gaps))
+    report = ends.select(*keys).join(kept.groupBy(*keys).agg(F.count("*").alias("placed")), keys, "left").select(
+        *keys, F.coalesce("placed", F.lit(0)).alias("placed"), F.lit(n_gaps).alias("asked"))
     return marked, report
 
 

@@ -119,13 +119,13 @@ def i6(t):
 
 @query("i7_injected_gaps")
 def i7(t):
-    marked, _ = impute.inject_gaps(hourly_grid(t).select("series", "pos", "y"), S, "pos", "y", 40, seed=1)
+    marked, _ = impute.inject_gaps(hourly_grid(t).select("series", "pos", "y"), S, "pos", "y", 150, seed=1)
     return marked.groupBy("series").agg(F.count_if("masked").alias("n_masked"), F.max("gap_len").alias("longest"))
 
 
 @query("i7_injection_report")
 def i7r(t):
-    return impute.inject_gaps(hourly_grid(t).select("series", "pos", "y"), S, "pos", "y", 40, seed=1)[1]
+    return impute.inject_gaps(hourly_grid(t).select("series", "pos", "y"), S, "pos", "y", 150, seed=1)[1]
 
 
 def _filled_three(t):

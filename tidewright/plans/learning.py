@@ -136,7 +136,7 @@ def l12(t):
     rows, _ = _split_x(t)
     feats = ["lag1", "lag2", "lag3", "rmean3", "rstd3"]
     model = fc.boosted(ft.supervised(rows, S, "pos", "x", n_lags=3, windows=(3,)), feats, "x", rounds=8, depth=3)
-    return fc.recursive_forecast(model, rows, S, "pos", "x", 6, 3, (3,), feats)
+    return fc.recursive_forecast(model, rows, S, "pos", "x", 24, 3, (3,), feats)
 
 
 @query("l13_difference_forecast_rebuild")
@@ -154,7 +154,7 @@ def l13(t):
 @query("l14_direct_horizons")
 def l14(t):
     rows = settle(hourly_filled(t).filter("x IS NOT NULL"))
-    return fc.direct_horizons(rows, S, "pos", "x", [1, 24, 72], [0, 1, 2, 24], TEST_HOURS, rounds=6, depth=3)
+    return fc.direct_horizons(rows, S, "pos", "x", [1, 6, 24, 48, 72], [0, 1, 2, 24], TEST_HOURS, rounds=6, depth=3)
 
 
 def _walk(t, slots):
@@ -194,7 +194,7 @@ def l27(t):
     feats = [*LAGS, "hour"]
     out = None
     for family in ("poisson", "tweedie"):
-        model = ln.count_model(train.filter("x > 0"), feats, "x", family)
+        model = ln.count_model(train, feats, "x", family)
         part = sc.accuracy(fc.predict(model, test, feats).withColumn("model", F.lit(family)), ["model"], "x", "yhat")
         out = part if out is None else out.unionByName(part)
     return out
@@ -227,7 +227,7 @@ def _orders(t):
         F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("revenue"), F.avg("l_discount").alias("discount"),
         F.avg("l_tax").alias("tax"), F.least(F.count("*") + 2, F.lit(9)).cast("int").alias("grade"))
     rows = rows.withColumn("high", (F.col("grade") >= 7).cast("double")).withColumn("code", (F.col("grade") - 3).cast("double"))
-    return settle(ft.stratified(rows, "grade", "l_orderkey", test_share=0.25, n_folds=3))
+    return settle(ft.stratified(rows, "grade", "l_orderkey", test_share=0.25, n_folds=5))
 
 
 def _order_parts(t):
@@ -241,7 +241,7 @@ def _graded(rows, pred):
 
 @query("l39_fold_scores")
 def l39(t):
-    return ln.mean_and_spread(ln.folds_report(_orders(t), ORDER_FEATURES, "grade", "fold", lambda: ln.classifier("forest", "grade", trees=8, depth=4), 3, 9, 3),
+    return ln.mean_and_spread(ln.folds_report(_orders(t), ORDER_FEATURES, "grade", "fold", lambda: ln.classifier("forest", "grade", trees=8, depth=4), 3, 9, 5),
                               ["accuracy", "macro_f1", "mae", "kappa"])
 
 
@@ -308,10 +308,10 @@ def l49(t):
 @query("l51_calibration")
 def l51(t):
     rows = _orders(t)
-    scored = ln.cross_fitted_scores(rows, ORDER_FEATURES, "high", "fold", 3, lambda: ln.classifier("boosted", "high", rounds=4, depth=3))
+    scored = ln.cross_fitted_scores(rows, ORDER_FEATURES, "high", "fold", 5, lambda: ln.classifier("boosted", "high", rounds=4, depth=3))
     out = cl.calibration_error(cl.reliability(scored, "high", "raw")).withColumn("method", F.lit("raw"))
     for method in ("platt", "isotonic"):
-        fitted = ln.calibrate(scored, "high", "fold", 3, method)
+        fitted = ln.calibrate(scored, "high", "fold", 5, method)
         out = out.unionByName(cl.calibration_error(cl.reliability(fitted, "high", "calibrated")).withColumn("method", F.lit(method)))
     return out
 
@@ -379,13 +379,13 @@ def _scenario_setup(t, n):
 
 @query("l32_perturbed_inputs")
 def l32(t):
-    _, _, test, rows = _scenario_setup(t, 20)
+    _, _, test, rows = _scenario_setup(t, 200)
     base = test.select("series", "pos", F.col("lag_24").alias("base"))
     return rows.join(base, ["series", "pos"]).groupBy("series").agg(F.count("*").alias("n"), F.stddev_pop(F.col("lag_24") - F.col("base")).alias("noise_sd"))
 
 
 @query("l33_scenario_fan")
 def l33(t):
-    model, _, _, rows = _scenario_setup(t, 20)
+    model, _, _, rows = _scenario_setup(t, 200)
     out = sim.fan(rows, lambda df: fc.predict(model, df, LAGS + CALENDAR, floor=0.0), S, "pos", "yhat", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
     return out.select("series", slot_start(F.col("pos"), "hour").alias("ts"), "n_scenarios", "spread", "p05", "p50", "p95")
