@@ -30,7 +30,7 @@ def test_paths_are_the_cheapest_of_all(seg):
         for n in (1, 2, 5, 50):
             got = seg.paths(w, n)
             assert [c for c, _ in got] == costs[:n] and len({p for _, p in got}) == len(got)
-        cost, ids, gap = seg._entry(w)
+        cost, ids, gap = seg.best_of(w)
         assert cost == costs[0] and (gap == costs[1] - costs[0] if len(costs) > 1 else gap == 1 << 60)
         assert np.frombuffer(ids, seg.typed).tolist() == list(seg.paths(w, 1)[0][1]) or every_cost(seg, w).count(cost) > 1
 

@@ -44,6 +44,22 @@ def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     yield batch.slice(start)
 
 
+class _Worker:
+    """What a Python worker keeps from task to task: the state of one operator, so that stages don't pile up in its memory."""
+
+    key, value, used = None, None, False
+
+
+def worker_state(key, build: Callable):
+    """The state under ``key`` that earlier tasks of this worker left, or a new one in place of any other."""
+    _Worker.used = True
+    if _Worker.key != key:
+        _Worker.key, _Worker.value = None, None
+        _Worker.value = build()
+        _Worker.key = key
+    return _Worker.value
+
+
 def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[], Callable], adds: str) -> DataFrame:
     """``keep`` as it is, beside the columns ``adds`` (DDL) that ``make()(texts)`` returns as lists or arrays.
 
@@ -55,7 +71,10 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
     arrow, own = to_arrow_schema(schema), [f.name for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _Worker.used = False
         fn = make()
+        if not _Worker.used:
+            _Worker.key, _Worker.value = None, None
         for whole in batches:
             for batch in pieces(whole, "__text"):
                 made = fn(batch.column("__text").to_pylist())
@@ -63,6 +82,7 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
                 cols += [x.cast(arrow.field(n).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type, from_pandas=False)
                          for n, x in zip(own, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     thin = df.select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     return thin.mapInArrow(run, schema)

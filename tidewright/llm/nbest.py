@@ -7,10 +7,10 @@ N - 1 words leave their best path, those whose second best path is nearest to it
 
 from __future__ import annotations
 
-import functools
 import heapq
 import math
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Callable
@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import map_texts
+from tidewright.llm.common import map_texts, worker_state
 
 SPACE = "▁"
 #: Stands for a SPACE mark that a text itself holds; no text can hold this code point.
 MARK = "\udbff"
 #: Words whose segmentations a worker keeps, twice: those met since the last change and those before.
-CACHE = 450_000
+CACHE = 300_000
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
@@ -60,11 +61,15 @@ class Segmenter:
             self.as_bytes[i] = bytes([b])
         if any(SPACE in p.strip(SPACE) or "\n" in p or p.endswith(SPACE) and p.strip(SPACE) for p in self.pieces):
             raise ValueError("a piece of this model crosses words")
+        # marks that no piece holds behind a letter: words end before them, so that they are met again whatever follows them
+        marks = "".join(c for c in string.punctuation if not any(re.search(rf"[{_LETTERS}]{re.escape(c)}", p) for p in self.pieces))
+        self.cut = re.compile(rf"[{re.escape(marks)}](?<=[{_LETTERS}].)" if marks else r"(?!)")
         # pieces, and with () whatever a longer piece begins with
         self.table: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.typed, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
-        self.known: dict[str, tuple] = {}
-        self.aged: dict[str, tuple] = {}
+        self.known: dict[str, int] = {}  # word: place in costs, ids and gaps
+        self.costs, self.ids, self.gaps = array("q"), [], array("q")
+        self.aged: tuple = ({}, self.costs, self.ids, self.gaps)
 
     def words(self, text: str) -> list[str]:
         """The parts of a text that no piece crosses: a word with the spaces before it, a line end."""
@@ -72,7 +77,7 @@ class Segmenter:
             text = text.replace(SPACE, MARK)
         if "  " in text or text[:1] == " " or "\0" in text:
             return _WORDS.findall(" " + text)
-        words = (" " + text.replace(" ", "\0 ").replace("\n", "\0\n\0")).split("\0")
+        words = (" " + self.cut.sub("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0")).split("\0")
         return [w for w in words if w] if "\n" in text else words
 
     def lattice(self, word: str) -> tuple[list[list[tuple]], list[int]]:
@@ -125,48 +130,60 @@ class Segmenter:
                 heapq.heappush(heap, (g + cost + best[start], start, count, g + cost, (x, path)))
         return found
 
-    def _entry(self, word: str) -> tuple:
+    def best_of(self, word: str) -> tuple[int, bytes, int]:
         """(cost of the best path, its ids as bytes, excess of the second best) of a word.
 
         The search without its heap: as estimates are exact, it first follows the best path, and what it leaves aside on the way holds the second best.
         """
-        entry = self.aged.pop(word, None)
-        if entry is None:
-            edges, best = self.lattice(word.replace(" ", SPACE))
-            ids, at, gap = [], len(word), 1 << 60
-            while at:
-                took, here = None, best[at]
-                for edge in edges[at]:
-                    over = best[edge[0]] + edge[1][1] - here
-                    if over == 0 and took is None:
-                        took = edge
-                    elif over < gap:
-                        gap = over
-                at, (x, _) = took
-                if type(x) is tuple:
-                    ids += x[::-1]
-                else:
-                    ids.append(x)
-            ids.reverse()
-            entry = best[-1], array(self.code, ids).tobytes(), gap
-        if len(self.known) >= CACHE:  # words not met again since the last change leave
-            self.known, self.aged = {}, self.known
-        self.known[word] = entry
-        return entry
+        edges, best = self.lattice(word.replace(" ", SPACE))
+        ids, at, gap = [], len(word), 1 << 60
+        while at:
+            took, here = None, best[at]
+            for edge in edges[at]:
+                over = best[edge[0]] + edge[1][1] - here
+                if over == 0 and took is None:
+                    took = edge
+                elif over < gap:
+                    gap = over
+            at, (x, _) = took
+            if type(x) is tuple:
+                ids += x[::-1]
+            else:
+                ids.append(x)
+        ids.reverse()
+        return best[-1], array(self.code, ids).tobytes(), gap
+
+    def _learn(self, word: str) -> int:
+        """The place of a word's entry, which is made, or taken over from those before the last change."""
+        at = self.known.get(word)
+        if at is None:
+            old = self.aged[0].get(word)
+            cost, ids, gap = self.best_of(word) if old is None else (self.aged[1][old], self.aged[2][old], self.aged[3][old])
+            at = self.known[word] = len(self.ids)
+            self.costs.append(cost)
+            self.ids.append(ids)
+            self.gaps.append(gap)
+        return at
 
     def ways(self, text: str, n: int) -> tuple[int, list[bytes], list[tuple[int, tuple]]]:
         """Cost and ids by word of the best segmentation, and the n best ones as (excess cost, changes), a change being (word number, ids, ids before)."""
-        words, known = self.words(text), self.known
-        entries = [known.get(w) or self._entry(w) for w in words]
+        if len(self.known) >= CACHE:  # words not met again since the last change leave
+            self.aged = (self.known, self.costs, self.ids, self.gaps)
+            self.known, self.costs, self.ids, self.gaps = {}, array("q"), [], array("q")
+        words = self.words(text)
+        places = list(map(self.known.get, words))
+        if None in places:
+            places = [self._learn(w) if p is None else p for w, p in zip(words, places)]
+        at, ids = np.array(places), self.ids
         ways = [(0, ())]
         if n > 1:
-            gaps = np.array([e[2] for e in entries])
+            gaps = np.array(self.gaps, copy=False)[at]
             near = np.argpartition(gaps, n - 2)[: n - 1] if len(gaps) > n - 1 else np.arange(len(gaps))
             for k in sorted(near.tolist()):
                 base, *more = self.paths(words[k], n)
-                choices = [(0, None)] + [(c - base[0], (k, ids, base[1])) for c, ids in more]
+                choices = [(0, None)] + [(c - base[0], (k, new, base[1])) for c, new in more]
                 ways = sorted(((d + e, (*chosen, alt) if alt else chosen) for d, chosen in ways for e, alt in choices), key=lambda x: x[0])[:n]
-        return sum([e[0] for e in entries]), [e[1] for e in entries], ways
+        return int(np.array(self.costs, copy=False)[at].sum()), [ids[p] for p in places], ways
 
     def encode(self, text: str | None, n: int = 4) -> list[tuple[int, np.ndarray]]:
         """The n cheapest (cost in millionths, ids) of a text, cheapest first; fewer if it has fewer. No text: one without ids."""
@@ -193,17 +210,12 @@ class Segmenter:
 def _pass(df: DataFrame, keep: list[str], text: str, model: bytes, adds: str, rows: Callable) -> DataFrame:
     """``rows(segmenter, texts)`` over all texts, with one segmenter per Python worker, which knows the words of earlier tasks."""
     def make():
-        own = _shared(model)
+        own = worker_state(("pieces", model), lambda: Segmenter(model))
         return lambda texts: rows(own, texts)
 
     return map_texts(df, keep, text, make, adds)
 
 
-@functools.lru_cache(1)
-def _shared(model: bytes) -> Segmenter:
-    return Segmenter(model)
-
-
 def encode_nbest(df: DataFrame, keep: list[str], text: str = "text", n: int = 4, model: bytes | None = None) -> DataFrame:
     """``keep`` with ``ids`` (the best segmentation), its ``score`` and ``alternatives``, the others of the n best.
 

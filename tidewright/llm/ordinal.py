@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_texts, small_batches
+from tidewright.llm.common import map_texts, small_batches, worker_state
 
 #: Hash cells, and what is fitted at most: labelled rows (the bound of the sample), rounds.
 CELLS, SAMPLE, ROUNDS = 1 << 15, 8000, 200
 #: Words whose cells a worker keeps.
-CACHE = 200_000
+CACHE = 100_000
 _SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
 _EDGE = b".,;:!?\"'()[]{}<>*$%&#|-_/\\"
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     rows = known.join(F.broadcast(chosen), "_id")  # ``sample`` rows at most
 
     def make():
-        own = Features()
+        own = worker_state("features", Features)
         def fn(texts):
             got = [own(t) for t in texts]
             return ([g and g[0].astype("<u2").tobytes() for g in got], [g and g[1].tobytes() for g in got])
@@ -153,7 +153,7 @@ def score(df: DataFrame, model: OrdinalModel | None, keep: list[str], text: str
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own, m = Features(), shared.value
+        own, m = worker_state("features", Features), shared.value
         def fn(texts):
             ps = [_probabilities(m, own(t), tail) for t in texts]
             tails = [float(p[tail:].sum()) for p in ps]
@@ -172,11 +172,11 @@ def _probabilities(model, x, tail):
 def accepted(spark, model: OrdinalModel | None, text: str = "text", tail: int = 2, least: float = 0.5) -> Column:
     """The decision of ``score`` as a column, for filtering rows as they are."""
     small_batches(spark)
-    shared, state = spark.sparkContext.broadcast(model), {}
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def decide(texts: pd.Series) -> pd.Series:
-        own = state.setdefault("features", Features())
+        own = worker_state("features", Features)
         return pd.Series([bool(_probabilities(shared.value, own(t), tail)[tail:].sum() >= least) for t in texts], dtype=bool)
 
     return decide(F.col(text))

@@ -7,7 +7,6 @@ mapped file. Files hold whole documents in ascending id order, and ascend by nam
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import uuid
@@ -19,7 +18,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LOWEST, id_ranges, map_texts, partitions_of
+from tidewright.llm.common import LOWEST, id_ranges, map_texts, partitions_of, worker_state
 from tidewright.session import checkpoint_dir, settle
 
 #: Ids of a sequence, sequences of a batch, ids after which a file ends with the document at hand.
@@ -73,11 +72,6 @@ class WordEncoder:
         return [b"".join([known[w] for w in words]) + last for words in split]
 
 
-@functools.lru_cache(1)
-def _shared(spec: str) -> WordEncoder:
-    return WordEncoder(spec)
-
-
 def _storage(folder: str) -> tuple[pa.fs.FileSystem, str]:
     """File system and path of a folder that all executors share: local paths and whatever pyarrow knows (s3, gs, hdfs, ...)."""
     local = re.fullmatch(r"(?:file:/*)?(/.*|[^/:]+/.*)", folder)
@@ -180,17 +174,18 @@ def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", text:
     rows of one id follow by their tokens, repeats are rows like others; a null or empty text has the end id only. No rows: no files.
     """
     spec = spec or tokenizer_json()
+    typed = WordEncoder(spec).typed
     keyed, n = id_ranges(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("_key"), F.col(text).alias("_text")), "_key")
 
     def make():
-        own = _shared(spec)
+        own = worker_state(("words", spec), lambda: WordEncoder(spec))
         return lambda texts: [own(texts)]
 
     dealt = map_texts(keyed, ["doc_id", "_key", "_block"], "_text", make, "ids binary").repartitionById(n, "_block")
     dealt = dealt.sortWithinPartitions("_key", "ids").select("_block", "doc_id", "ids")
 
     def write(batches):
-        typed, file, part, out = _shared(spec).typed, None, 0, []
+        file, part, out = None, 0, []
         for b in batches:
             for block, d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if file is None:
