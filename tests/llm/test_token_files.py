@@ -24,7 +24,7 @@ def test_round_trip(spark, small, odd, nothing):
 
 def test_words_by_themselves_encode_as_whole_texts():
     encoder = T.WordEncoder(T.tokenizer_json())
-    for t in ["á ́b c̈\x0b\x1cD", "ΑΣ Σ.", "x　y\xa0z <|endoftext|>", "'s it's 12.5%", "ﬁ ½ İstanbul", "\x85 a", None, "", "  "]:
+    for t in ["á ́b c̈\x0b\x1cD", "ΑΣ Σ.", "x　y\xa0z <|endoftext|>", "'s it's 12.5%", "ﬁ ½ İstanbul", "\x85 a", "Don't stop: IT'S x² a.b,c É,é' ÷! a<|endoftext|>.b <|ENDOFTEXT|>", "K\u0301. \u212a! e\u0301, ...a... ***b***", None, "", "  "]:
         want = encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
         assert np.frombuffer(encoder([t])[0], encoder.typed).tolist() == want
 

@@ -11,6 +11,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,27 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+# A mark behind a letter (ASCII, or À to ÿ in UTF-8): the pre-tokenizer parts them.
+_MARK = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+
+
 class WordEncoder:
-    """Ids of texts from a tokenizer that drops white space, so that the words between ASCII white space can be encoded one by one and kept."""
+    """Ids of texts from a tokenizer that lowers case, drops white space and parts letters from marks, so that words can be encoded one by one and kept.
+
+    Words stand between ASCII white space, end before a mark, and have A-Z lowered. Texts in which a special token may stand are parted at white space only.
+    """
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.typed = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.typed, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
         self.known: dict[bytes, bytes] = {}
         self.aged: dict[bytes, bytes] = {}
 
+    def words(self, text: bytes) -> list[bytes]:
+        return text.split() if b"<|" in text else _MARK.sub(rb" \g<0>", text).lower().split()
+
     def _learn(self, words: set[bytes]) -> None:
         new = []
         for w in words:
@@ -60,11 +71,11 @@ class WordEncoder:
         for at in range(0, len(new), 4096):
             some = new[at: at + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.typed).tobytes()
+                self.known[w] = array(self.code, e.ids).tobytes()
 
     def __call__(self, texts: list[str | None], end: int = END) -> list[bytes]:
         """The ids of each text with the end id behind them, as bytes."""
-        split = [(t or "").encode("utf-8").split() for t in texts]
+        split = [self.words((t or "").encode("utf-8")) for t in texts]
         if len(self.known) >= CACHE:
             self.known, self.aged = {}, self.known
         known, last = self.known, np.array([end], self.typed).tobytes()
