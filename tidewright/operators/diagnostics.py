@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.tails import chi2_p
 from tidewright.operators.gram import Moments, moment_rows, solve_rows
-from tidewright.operators.ordering import attach, lag_of, look_around, running
+from tidewright.operators.ordering import BLOCK, attach, lag_of, look_around, running
 from tidewright.operators.recursion import beside_keys
 from tidewright.session import settle
 
@@ -23,15 +23,32 @@ def _centred(df, series_cols, value):
 
 
 def autocovariance(df: DataFrame, series_cols: Sequence[str], pos: str, value: str, lags: Sequence[int]) -> DataFrame:
-    """Sums of products of deviations at each lag: (series, lag, gamma, n), lag 0 included."""
-    lags = list(lags)
-    rows = look_around(_centred(df, series_cols, value).select(*series_cols, pos, "_e", "_n"), series_cols, pos,
-                       {f"_l{k}": lag_of("_e", k) for k in lags})
-    one = rows.groupBy(*series_cols).agg(
-        F.max("_n").alias("n"), F.sum(F.col("_e") * F.col("_e")).alias("_g0"),
-        *[F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0)).alias(f"_g{k}") for k in lags])
-    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_g{k}").alias("gamma")) for k in [0, *lags]])
-    return one.select(*series_cols, "n", F.inline(cells))
+    """Sums of products of deviations at each lag: (series, n, lag, gamma), lag 0 included.
+
+    Blocks of slots carry the slots just before them, as many as the longest lag; each block gives one row per lag. The plan is the same
+    for any number of lags and the work of a task is bounded by the block. Missing values and slots add nothing.
+    """
+    keys, wanted = list(series_cols), [0, *lags]
+    reach = max(wanted)
+    size = max(BLOCK, reach)
+    rows = _centred(df, keys, value).select(*keys, F.col(pos).cast("bigint").alias("_p"), "_e", "_n").filter("_e IS NOT NULL")
+    home = F.floor(F.col("_p") / size)
+    later = F.when(F.col("_p") - home * size >= size - reach, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = rows.withColumn("_block", F.explode(later))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["_block"].iloc[0]) * size - reach
+        e = np.zeros(size + reach)
+        e[pdf["_p"].to_numpy() - first] = pdf["_e"].to_numpy()
+        own = e[reach:]
+        out = pd.DataFrame({"n": pdf["_n"].iloc[0], "lag": wanted, "gamma": [own @ e[reach - k: reach - k + size] for k in wanted]})
+        for i, c in enumerate(keys):
+            out.insert(i, c, pdf[c].iloc[0])
+        return out
+
+    fields = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys] + ["n bigint", "lag int", "gamma double"])
+    found = rows.groupBy(*keys, "_block").applyInPandas(products, fields)
+    return found.groupBy(*keys, "lag").agg(F.max("n").alias("n"), F.sum("gamma").alias("gamma")).select(*keys, "n", "lag", "gamma")
 
 
 def acf(df: DataFrame, series_cols: Sequence[str], pos: str, value: str, lags: Sequence[int]) -> DataFrame:
