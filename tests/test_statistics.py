@@ -267,3 +267,21 @@ def test_backtest_ratio_without_breaches(spark):
     rows = spark.createDataFrame([("s", 0.1, 1.0)] * 50, "s string, r double, var double")
     got = kupiec(rows, ["s"], "r", "var", 0.05).first()
     assert got["breaches"] == 0 and abs(got["kupiec_lr"] + 100 * math.log(0.95)) < 1e-9
+
+
+def test_neighbours_of_rows_with_missing_features(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 4))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    rows = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in x[i]]) for i in range(400)], "id long, a double, b double, c double, d double")
+    got = {}
+    for r in neighbours.nearest(rows, rows, "id", "id", ["a", "b", "c", "d"], 3, exclude_same_id=True, n_cuts=3).collect():
+        got.setdefault(r["id"], {})[r["place"]] = r["id_near"]
+    for i in range(400):
+        apart = (x - x[i]) ** 2
+        both = (~np.isnan(apart)).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            dist = np.where(both > 0, np.nansum(apart, axis=1) * 4 / both, np.inf)
+        dist[i] = np.inf
+        want = [int(j) for j in np.lexsort((np.arange(400), dist))[:3] if np.isfinite(dist[j])]
+        assert [got.get(i, {}).get(p) for p in range(1, len(want) + 1)] == want

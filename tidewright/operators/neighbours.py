@@ -3,6 +3,9 @@
 Data rows are put into cells by quantile cuts of a few columns. The table of cells (bounded: at most
 ``MAX_CELLS`` rows of bounds and counts) tells, for each query, a radius that surely holds k rows and hence
 which cells can matter. Only those (query, cell) pairs are joined, in chunks of bounded size on both sides.
+
+Missing features: a distance is taken over the features that both rows have and scaled up to all of them, as gap-filling needs it.
+Data rows with a missing feature form a cell of their own which every query looks at; queries with one look at all cells.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from tidewright.session import settle
 
 MAX_CELLS = 8192
 CHUNK = 4096
+#: The cell of data rows with a missing feature.
+GAPPY = -1
 
 
 def _cell_column(df: DataFrame, features: Sequence[str], n_cuts: int, n_dims: int):
@@ -46,7 +51,8 @@ def nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, fe
         n_cuts -= 1
     pruned = groups * n_cuts ** n_dims <= MAX_CELLS
     d = data.select(*within, F.col(data_id).alias("_d"), *[F.col(f).cast("double").alias(f) for f in features])
-    d = settle(d.withColumn("_cell", _cell_column(d, features, n_cuts, n_dims) if pruned else F.lit(0)))
+    gappy = F.greatest(*[(F.col(f).isNull() | F.isnan(f)).cast("int") for f in features], F.lit(0)) == 1
+    d = settle(d.withColumn("_cell", F.when(gappy, F.lit(GAPPY)).otherwise(_cell_column(d, features, n_cuts, n_dims)) if pruned else F.lit(0)))
     cells = d.groupBy(*within, "_cell").agg(F.count("*").alias("_m"), F.array(*[F.min(f) for f in features]).alias("_lo"),
                                             F.array(*[F.max(f) for f in features]).alias("_hi"))
     q = queries.select(*within, F.col(query_id).alias("_q"), *[F.col(f).cast("double").alias(f) for f in features])
@@ -65,20 +71,32 @@ def nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, fe
                     known = table.get(tuple(key))
                     if not known:
                         continue
-                    ids, m = np.array([c[0] for c in known]), np.array([c[1] for c in known])
-                    lo, hi = np.array([c[2] for c in known]), np.array([c[3] for c in known])
+                    whole = [c for c in known if c[0] != GAPPY]
+                    ids, m = np.array([c[0] for c in whole], dtype=int), np.array([c[1] for c in whole], dtype=int)
+                    lo, hi = (np.array([c[i] for c in whole], dtype=float).reshape(len(whole), len(features)) for i in (2, 3))
+                    extra = [GAPPY] if len(whole) < len(known) else []
                     for at in range(0, len(part), 512):
                         some = part.iloc[at:at + 512]
-                        x = some[features].to_numpy(dtype=float)[:, None, :]
-                        near = (np.maximum(np.maximum(lo - x, x - hi), 0) ** 2).sum(axis=2)
-                        far = (np.maximum(np.abs(x - lo), np.abs(hi - x)) ** 2).sum(axis=2)
-                        order = np.argsort(far, axis=1)
-                        enough = np.cumsum(m[order], axis=1) >= need
-                        first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
-                        radius = np.take_along_axis(far, order, axis=1)[np.arange(len(x)), first]
-                        i, j = np.nonzero(near <= radius[:, None] * (1 + 1e-9) + 1e-12)
+                        x = some[features].to_numpy(dtype=float)
+                        near, far = np.zeros((len(x), len(ids))), np.zeros((len(x), len(ids)))
+                        for f in range(len(features)):
+                            own = x[:, f, None]
+                            near += np.maximum(np.maximum(lo[:, f] - own, own - hi[:, f]), 0) ** 2
+                            far += np.maximum(np.abs(own - lo[:, f]), np.abs(hi[:, f] - own)) ** 2
+                        reach = np.full(len(x), np.inf)
+                        if len(ids):
+                            order = np.argsort(far, axis=1)
+                            enough = np.cumsum(m[order], axis=1) >= need
+                            first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
+                            reach = np.take_along_axis(far, order, axis=1)[np.arange(len(x)), first]
+                        asks = near <= reach[:, None] * (1 + 1e-9) + 1e-12
+                        asks[np.isnan(x).any(axis=1)] = True
+                        i, j = np.nonzero(asks)
+                        cells_of = ids[j]
+                        for c in extra:
+                            i, cells_of = np.concatenate([i, np.arange(len(x))]), np.concatenate([cells_of, np.full(len(x), c)])
                         out = some[names].iloc[i].reset_index(drop=True)
-                        out["_cell"] = ids[j]
+                        out["_cell"] = cells_of.astype("int32")
                         if len(out):
                             yield out
 
@@ -105,8 +123,17 @@ def nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, fe
         row, near, far = [], [], []
         for at in range(0, len(x), 256):
             dist = np.zeros((len(x[at:at + 256]), len(y)))
+            lacks = np.zeros(dist.shape)
             for f in range(len(features)):
-                dist += (x[at:at + 256, f, None] - y[None, :, f]) ** 2
+                apart = x[at:at + 256, f, None] - y[None, :, f]
+                absent = np.isnan(apart)
+                if absent.any():
+                    lacks += absent
+                    apart[absent] = 0.0
+                dist += apart ** 2
+            if lacks.any():
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = np.where(lacks < len(features), dist * len(features) / (len(features) - lacks), np.inf)
             dist = np.sqrt(dist)
             if exclude_same_id:
                 dist[own[at:at + 256, None] == ids[None, :]] = np.inf
