@@ -38,10 +38,16 @@ def horizon_safe(df: DataFrame, series_cols: Sequence[str], pos: str, value: str
 
 
 def forecast_features(df: DataFrame, series_cols: Sequence[str], pos: str, ts: str, value: str, horizon: int, origin: int,
-                      year: float = 8766) -> DataFrame:
-    """The hourly feature set: safe lags, day and week means, calendar columns, annual harmonics."""
+                      year: float = 8766, holidays: DataFrame | None = None) -> DataFrame:
+    """The hourly feature set: safe lags, day and week means, calendar columns, annual harmonics.
+
+    ``holidays`` (a column ``day``, a dozen rows a year) adds ``is_holiday``.
+    """
     lags = [k for k in {horizon, horizon + 1, horizon + 2, horizon + 24, 168, 168 + horizon} if k >= horizon]
     rows = horizon_safe(df, series_cols, pos, value, horizon, lags, [("roll24", 24, horizon), ("roll168", 168, horizon)])
+    if holidays is not None:
+        named = holidays.select(F.col("day").alias("_day"), F.lit(1).alias("_off")).distinct()
+        rows = rows.withColumn("_day", F.to_date(ts)).join(named, "_day", "left").withColumn("is_holiday", F.coalesce("_off", F.lit(0))).drop("_day", "_off")
     return rows.select("*", F.hour(ts).alias("hour"), F.weekday(ts).alias("dow"), F.month(ts).alias("month"),
                        *[c.alias(n) for n, c in fourier(F.col(pos), origin, [(year, 3)]).items()])
 

@@ -94,6 +94,15 @@ def d6(t):
     return dg.kpss(hourly_filled(t), S, "pos", "x", n_lags=12).select("series", r("stat", 7).alias("stat"))
 
 
+_KPSS_TREND = _KPSS.replace("x - avg(x) OVER (PARTITION BY series) AS e",
+    "x - regr_intercept(x, pos) OVER (PARTITION BY series) - regr_slope(x, pos) OVER (PARTITION BY series) * pos AS e")
+
+
+@query("d6_kpss_trend", f"WITH {_KPSS_TREND} SELECT series, round(eta / (v / n), 5) AS stat FROM eta JOIN lr USING (series)")
+def d6t(t):
+    return dg.kpss(hourly_filled(t), S, "pos", "x", regression="ct", n_lags=12).select("series", r("stat", 5).alias("stat"))
+
+
 _KPSS_AUTO = SQL_FILLED + """,
 dev AS (SELECT series, pos, x - avg(x) OVER (PARTITION BY series) AS e, count(*) OVER (PARTITION BY series) AS n FROM filled),
 eta AS (SELECT series, any_value(n) AS n, sum(s * s) / pow(any_value(n), 2) AS eta FROM (SELECT series, n, sum(e) OVER (PARTITION BY series ORDER BY pos) AS s FROM dev) GROUP BY 1),

@@ -293,6 +293,19 @@ def t9y(t):
     return assoc.cramers_v(rows, "a", "b").select(r("chi2").alias("chi2"))
 
 
+_PAIRS = (("l_returnflag", "l_linestatus"), ("l_returnflag", "line"), ("l_linestatus", "line"))
+
+
+@query("t9_cramers_matrix", "WITH d AS (SELECT l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR) AS line FROM lineitem) " + " UNION ALL ".join(f"""
+SELECT '{a}' AS a, '{b}' AS b, round(sqrt(greatest(0, chi2 / n - (k - 1) * (q - 1) / (n - 1)) / (least(k - pow(k - 1, 2) / (n - 1), q - pow(q - 1, 2) / (n - 1)) - 1)), 7) + 0.0 AS v FROM (
+SELECT sum(pow(coalesce(o, 0) - ra * rb / n, 2) / (ra * rb / n)) AS chi2, any_value(n) AS n, count(DISTINCT x)::DOUBLE AS q, count(DISTINCT y)::DOUBLE AS k
+FROM (SELECT {a} AS x, count(*)::DOUBLE AS ra FROM d GROUP BY 1) CROSS JOIN (SELECT {b} AS y, count(*)::DOUBLE AS rb FROM d GROUP BY 1) CROSS JOIN (SELECT count(*)::DOUBLE AS n FROM d)
+LEFT JOIN (SELECT {a} AS x, {b} AS y, count(*)::DOUBLE AS o FROM d GROUP BY 1, 2) USING (x, y))""" for a, b in _PAIRS))
+def t9m(t):
+    rows = t.lineitem.select("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string").alias("line"))
+    return assoc.cramers_v_matrix(rows, ["l_returnflag", "l_linestatus", "line"]).select("a", "b", r("v", 7).alias("v"))
+
+
 @query("t10_vif", """WITH c AS (SELECT corr(l_quantity, charge) AS a, corr(l_quantity, l_discount) AS b, corr(charge, l_discount) AS c FROM
 (SELECT l_quantity, l_discount, l_extendedprice * (1 - l_discount) AS charge FROM lineitem)), d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM c)
 SELECT 'l_quantity' AS feature, round((1 - c * c) / det, 6) AS vif FROM d UNION ALL SELECT 'charge', round((1 - b * b) / det, 6) FROM d
@@ -322,6 +335,16 @@ def t13(t):
     return profile.ks_two_sample(rows, "value", "is_click").select(r("ks", 8).alias("ks"))
 
 
+@query("t13_ks_p_value", """WITH c AS (SELECT value AS v, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type <> 'click') AS b FROM events GROUP BY 1),
+s AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY v) / sum(b) OVER () AS fb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c),
+l AS (SELECT sqrt(any_value(na) * any_value(nb) / (any_value(na) + any_value(nb))) * max(abs(fa - fb)) AS lam FROM s)
+SELECT round(CASE WHEN lam < 0.2 THEN 1.0 ELSE least(greatest((SELECT sum(2.0::DOUBLE * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0::DOUBLE * k * k * lam * lam)) FROM range(1, 51) g(k)), 0), 1) END, 8) AS p FROM l""")
+def t13p(t):
+    rows = t.events.select("value", (F.col("event_type") == "click").alias("is_click"))
+    one = profile.ks_two_sample(rows, "value", "is_click")
+    return one.select(r(profile.ks_p_value(F.col("ks"), F.col("n_flagged"), F.col("n_rest")), 8).alias("p"))
+
+
 @query("t14_missingness_by_calendar", f"""WITH {SQL_HOURLY} SELECT series, CAST(hour(ts) AS INTEGER) AS hour, count(*) AS slots, round(avg((y IS NULL)::INTEGER), 8) AS rate FROM hgrid GROUP BY 1, 2""")
 def t14(t):
     return hourly_grid(t).groupBy("series", F.hour("ts").alias("hour")).agg(
@@ -346,8 +369,8 @@ def t16(t):
     return profile.skew_table(t.events, {"raw": v, "log1p": F.log1p(v), "sqrt": F.sqrt(v)}).withColumn("skew", r("skew"))
 
 
-@query("t17_exceedance_by_year", f"""SELECT CAST(week(ts) AS INTEGER) AS week, {SQL_BAND} AS band, count(*) AS n,
-round(count(*) / sum(count(*)) OVER (PARTITION BY week(ts)), 8) AS share FROM events GROUP BY 1, 2, week(ts)""")
+@query("t17_exceedance_by_year", f"""WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice / 1000 AS value FROM orders)
+SELECT year, {SQL_BAND} AS band, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY year), 8) AS share FROM o GROUP BY 1, 2""")
 def t17(t):
-    rows = t.events.select(F.weekofyear("ts").alias("week"), C.bins(F.col("value"), AQI_EDGES, AQI_BANDS).alias("band"))
-    return profile.crosstab(rows, "week", "band").select("week", "band", "n", r(F.col("row_pct") / 100, 8).alias("share"))
+    rows = t.orders.select(F.year("o_orderdate").alias("year"), C.bins(F.col("o_totalprice") / 1000, AQI_EDGES, AQI_BANDS).alias("band"))
+    return profile.crosstab(rows, "year", "band").select("year", "band", "n", r(F.col("row_pct") / 100, 8).alias("share"))

@@ -9,6 +9,7 @@ from tidewright.functions.gridtime import floor_to
 from tidewright.operators import classify as cl, features as ft, grid, scoring as sc
 from tidewright.operators.ordering import attach, lag_of, look_around, rolling, sorted_scan
 from tidewright.plans.panels import S, SQL_FILLED, SQL_PREDICTIONS, TEST_HOURS, hourly_filled, predictions, r
+from tidewright.functions.holidays import holiday_table, us_holidays
 from tidewright.plans.registry import query
 from tidewright.session import settle
 
@@ -35,10 +36,14 @@ _O = 473352
 
 
 @query("l2_forecast_features", f"""WITH {SQL_FILLED} SELECT series, ts, lag(x, 24) OVER w AS lag_24, lag(x, 25) OVER w AS lag_25, lag(x, 48) OVER w AS lag_48, lag(x, 192) OVER w AS lag_192,
-CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dow, round(sin(2 * pi() * (pos - {_O}) / 8766), 7) + 0.0 AS s1, round(cos(6 * pi() * (pos - {_O}) / 8766), 7) + 0.0 AS c3 FROM filled {_W}""")
+CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS dow, round(sin(2 * pi() * (pos - {_O}) / 8766), 7) + 0.0 AS s1, round(cos(6 * pi() * (pos - {_O}) / 8766), 7) + 0.0 AS c3,
+CAST(CAST(ts AS DATE) IN ({", ".join(f"DATE '{d}'" for d in sorted({d for d, _ in us_holidays(1980, 2040)}))}) AS INTEGER) AS is_holiday FROM filled {_W}""")
 def l2f(t):
-    rows = ft.forecast_features(hourly_filled(t), S, "pos", "ts", "x", 24, _O)
-    return rows.select("series", "ts", "lag_24", "lag_25", "lag_48", "lag_192", "hour", "dow", r("sin_8766_1", 7).alias("s1"), r("cos_8766_3", 7).alias("c3"))
+    rows = hourly_filled(t)
+    span = rows.agg(F.year(F.min("ts")).alias("a"), F.year(F.max("ts")).alias("b")).first()
+    days = holiday_table(t.spark, span["a"] or 2000, span["b"] or 2000)
+    rows = ft.forecast_features(rows, S, "pos", "ts", "x", 24, _O, holidays=days)
+    return rows.select("series", "ts", "lag_24", "lag_25", "lag_48", "lag_192", "hour", "dow", r("sin_8766_1", 7).alias("s1"), r("cos_8766_3", 7).alias("c3"), "is_holiday")
 
 
 @query("l3_leak_demonstration", f"""WITH {SQL_FILLED}, f AS (SELECT series, x, avg(x) OVER a AS leaky, count(x) OVER a AS ka, avg(x) OVER b AS safe, count(x) OVER b AS kb FROM filled
