@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -60,6 +61,19 @@ def worker_state(key, build: Callable):
     return _Worker.value
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over the batches of a task, which at its end gives freed memory back to the system: workers live on for other stages."""
+    def whole(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # large buffers then go back as soon as they are freed
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+    return whole
+
+
 def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[], Callable], adds: str) -> DataFrame:
     """``keep`` as it is, beside the columns ``adds`` (DDL) that ``make()(texts)`` returns as lists or arrays.
 
@@ -82,10 +96,9 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
                 cols += [x.cast(arrow.field(n).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type, from_pandas=False)
                          for n, x in zip(own, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
-        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     thin = df.select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
-    return thin.mapInArrow(run, schema)
+    return thin.mapInArrow(tidy(run), schema)
 
 
 def _edges(df: DataFrame, key: str) -> np.ndarray:

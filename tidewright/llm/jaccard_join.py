@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewright.llm.common import LOWEST, map_texts, partitions_of
+from tidewright.llm.common import LOWEST, map_texts, partitions_of, tidy
 from tidewright.llm.components import components
 from tidewright.session import settle
 
@@ -118,7 +118,7 @@ def _frequent(rows: DataFrame, n_docs: int) -> np.ndarray:
         if held:
             yield flush()
 
-    found = rows.select("zone").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    found = rows.select("zone").mapInArrow(tidy(run), "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     found = found.where(F.col("c") >= max(64, n_docs // 2048)).orderBy(F.desc("c"), "token").limit(SMALL_TABLE).select("token")
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64) ^ _FLIP)
 
@@ -182,8 +182,8 @@ def _shared_tokens(rows: DataFrame, frequent) -> DataFrame:
         for a in range(0, len(t), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[a: a + (1 << 16)]) for x in (c, t, df)], ["cls", "token", "df"])
 
-    dealt = rows.select("zone", "cls").mapInArrow(deal, "cell int, tokens binary, classes binary").repartitionById(n, "cell")
-    return dealt.mapInArrow(count, "cls long, token long, df long")
+    dealt = rows.select("zone", "cls").mapInArrow(tidy(deal), "cell int, tokens binary, classes binary").repartitionById(n, "cell")
+    return dealt.mapInArrow(tidy(count), "cls long, token long, df long")
 
 
 def _tails(rows: DataFrame, frequent, percent: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _tails(rows: DataFrame, frequent, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(zn, pa.int64()), pa.array(tail, pa.list_(pa.int64()))],
                                              ["cls", "n", "zn", "tail"])
 
-    return rows.select("n", "cls", "zone", "rest").mapInArrow(run, "cls long, n long, zn long, tail array<long>")
+    return rows.select("n", "cls", "zone", "rest").mapInArrow(tidy(run), "cls long, n long, zn long, tail array<long>")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -354,7 +354,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         tokens = settle(tokens.dropDuplicates(["cls"]))
     tiles = _tiles(index, classes).join(classes.select("cls", "copies"), "cls").join(tokens, "cls")
     tiles = tiles.select("tile", "side", "within", "cls", "copies", "tokens").repartition("tile").sortWithinPartitions("tile")
-    found = settle(tiles.mapInArrow(lambda batches: _compare(batches, percent), "cls long, root long, links long"))
+    found = settle(tiles.mapInArrow(tidy(lambda batches: _compare(batches, percent)), "cls long, root long, links long"))
 
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import small_batches
+from tidewright.llm.common import small_batches, tidy
 from tidewright.session import settle
 
 #: Ratio of lengths within a bucket; vectors and queries of a block; longest vectors from which first thresholds come.
@@ -157,6 +157,6 @@ def top_k(df: DataFrame, queries: Column, vec_id: str = "vec_id", embedding: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])),
                                                   pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
-    hits = met.mapInArrow(run, "query_id long, vec_id long, score long")
+    hits = met.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

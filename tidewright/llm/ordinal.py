@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_texts, small_batches, worker_state
+from tidewright.llm.common import map_texts, small_batches, tidy, worker_state
 
 #: Hash cells, and what is fitted at most: labelled rows (the bound of the sample), rounds.
 CELLS, SAMPLE, ROUNDS = 1 << 15, 8000, 200
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.thresholds.tobytes()])], ["weights", "thresholds"])
 
     one = map_texts(rows, ["_grade"], "_text", make, "cells binary, vals binary").repartition(1)
-    got = one.mapInArrow(solve, "weights binary, thresholds binary").collect()
+    got = one.mapInArrow(tidy(solve), "weights binary, thresholds binary").collect()
     return OrdinalModel(np.frombuffer(got[0][0]), np.frombuffer(got[0][1])) if got else None
 
 

@@ -19,7 +19,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LOWEST, id_ranges, map_texts, partitions_of, worker_state
+from tidewright.llm.common import LOWEST, id_ranges, map_texts, partitions_of, tidy, worker_state
 from tidewright.session import checkpoint_dir, settle
 
 #: Ids of a sequence, sequences of a batch, ids after which a file ends with the document at hand.
@@ -213,7 +213,7 @@ def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))],
                                              ["block", "part", "name", "n_docs", "n_ids"])
 
-    files = settle(dealt.mapInArrow(write, "block int, part int, name string, n_docs long, n_ids long"))
+    files = settle(dealt.mapInArrow(tidy(write), "block int, part int, name string, n_docs long, n_ids long"))
     before = Window.orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return settle(files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))))
 
@@ -237,7 +237,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = files.select("name", "start").repartition(partitions_of(files.sparkSession))
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_round_trip(df: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: str | None = None) -> DataFrame:

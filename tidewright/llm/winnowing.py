@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LOWEST, id_blocks_ahead
+from tidewright.llm.common import LOWEST, id_blocks_ahead, tidy
 
 #: Code points in a gram and grams in a window: any common run of GRAM + WINDOW - 1 = 47 code points is noticed.
 GRAM, WINDOW = 16, 32
@@ -142,5 +142,5 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         if out:
             yield flush()
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    return dealt.mapInArrow(tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                                  "near_edited double, near_next double")
