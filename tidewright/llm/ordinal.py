@@ -125,14 +125,10 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
         return fn
 
     def solve(batches):
-        vectors, grades = [], []
-        for b in batches:
-            for y, at, val in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if at is not None:
-                    vectors.append((np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(val, np.float32)))
-                    grades.append(y)
-        if grades:
-            m = fit_rows(vectors, np.array(grades), n_grades)
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))) if r[1] is not None)  # reruns sum alike
+        if rows:
+            vectors = [(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(val, np.float32)) for _, at, val in rows]
+            m = fit_rows(vectors, np.array([r[0] for r in rows]), n_grades)
             yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.thresholds.tobytes()])], ["weights", "thresholds"])
 
     one = map_texts(rows, ["_grade"], "_text", make, "cells binary, vals binary").repartition(1)
