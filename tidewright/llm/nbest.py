@@ -24,8 +24,8 @@ from tidewright.llm.common import map_texts, worker_state
 SPACE = "▁"
 #: Stands for a SPACE mark that a text itself holds; no text can hold this code point.
 MARK = "\udbff"
-#: Words whose segmentations a worker keeps, twice: those met since the last change and those before.
-CACHE = 300_000
+#: Words whose segmentations a worker keeps (about 220 bytes each), twice: those met since the last change and those before.
+CACHE = 150_000
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
@@ -46,7 +46,8 @@ class Segmenter:
     as integers: sums are exact, and ties are ties. A character without a piece falls back to its bytes, 12 each.
     """
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, cache: int = CACHE):
+        self.cache = cache
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         size = sp.get_piece_size()
@@ -167,7 +168,7 @@ class Segmenter:
 
     def ways(self, text: str, n: int) -> tuple[int, list[bytes], list[tuple[int, tuple]]]:
         """Cost and ids by word of the best segmentation, and the n best ones as (excess cost, changes), a change being (word number, ids, ids before)."""
-        if len(self.known) >= CACHE:  # words not met again since the last change leave
+        if len(self.known) >= self.cache:  # words not met again since the last change leave
             self.aged = (self.known, self.costs, self.ids, self.gaps)
             self.known, self.costs, self.ids, self.gaps = {}, array("q"), [], array("q")
         words = self.words(text)
@@ -207,16 +208,16 @@ class Segmenter:
         return self.raw(ids).decode("utf-8", "surrogatepass")[1:]
 
 
-def _pass(df: DataFrame, keep: list[str], text: str, model: bytes, adds: str, rows: Callable) -> DataFrame:
+def _pass(df: DataFrame, keep: list[str], text: str, model: bytes, cache: int, adds: str, rows: Callable) -> DataFrame:
     """``rows(segmenter, texts)`` over all texts, with one segmenter per Python worker, which knows the words of earlier tasks."""
     def make():
-        own = worker_state(("pieces", model), lambda: Segmenter(model))
+        own = worker_state(("pieces", model, cache), lambda: Segmenter(model, cache))
         return lambda texts: rows(own, texts)
 
     return map_texts(df, keep, text, make, adds)
 
 
-def encode_nbest(df: DataFrame, keep: list[str], text: str = "text", n: int = 4, model: bytes | None = None) -> DataFrame:
+def encode_nbest(df: DataFrame, keep: list[str], text: str = "text", n: int = 4, model: bytes | None = None, cache: int = CACHE) -> DataFrame:
     """``keep`` with ``ids`` (the best segmentation), its ``score`` and ``alternatives``, the others of the n best.
 
     An alternative has its ``score`` and ``changes``: from token ``at`` on, ``n`` ids give way to ``ids``. Scores are log-probabilities.
@@ -240,11 +241,11 @@ def encode_nbest(df: DataFrame, keep: list[str], text: str = "text", n: int = 4,
         ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))), scores, others]
 
-    return _pass(df, keep, text, model or model_bytes(),
+    return _pass(df, keep, text, model or model_bytes(), cache,
                  "ids array<int>, score double, alternatives array<struct<score:double,changes:array<struct<at:int,n:int,ids:array<int>>>>>", rows)
 
 
-def nbest_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, model: bytes | None = None) -> DataFrame:
+def nbest_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 4, model: bytes | None = None, cache: int = CACHE) -> DataFrame:
     """What is needed to check segmentations without moving them: a row per row of ``df``.
 
     ``n_chars``, ``n_tokens`` and ``ids_crc32`` (ids as little-endian unsigned 32-bit) of the best one, ``scores`` and ``lengths`` of the n best, ``exact``: all of
@@ -259,6 +260,6 @@ def nbest_digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         return (len(t), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), [-(cost + d) / 1e6 for d, _ in ways],
                 [len(ids) + sum(len(new) - len(old) for _, new, old in chosen) for _, chosen in ways], exact)
 
-    return _pass(df.withColumnRenamed(doc_id, "doc_id"), ["doc_id"], text, model or model_bytes(),
+    return _pass(df.withColumnRenamed(doc_id, "doc_id"), ["doc_id"], text, model or model_bytes(), cache,
                  "n_chars long, n_tokens long, ids_crc32 long, scores array<double>, lengths array<int>, exact boolean",
                  lambda own, texts: list(zip(*[one(own, t) for t in texts])) if texts else [[]] * 6)

@@ -58,7 +58,7 @@ def winnowing(spark, folder):
 @query("op4_nbest_pieces")
 def nbest_pieces(spark, folder):
     from tidewright.llm.nbest import nbest_digests
-    return nbest_digests(table(spark, folder, "documents"))
+    return nbest_digests(table(spark, folder, "documents"), cache=600_000)
 
 
 @query("op5_ordinal_quality")
