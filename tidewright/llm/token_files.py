@@ -26,8 +26,8 @@ from tidewright.session import checkpoint_dir, settle
 LENGTH, BATCH, FILE_IDS = 1024, 512, 16 << 20
 #: Put behind each document.
 END = 1
-#: Words whose ids a worker keeps, twice: those met since the last change and those before.
-CACHE = 300_000
+#: Words whose ids a worker keeps (about 190 bytes each), twice: those met since the last change and those before.
+CACHE = 500_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -70,7 +70,7 @@ class WordEncoder:
                 self.known[w] = ids
         for at in range(0, len(new), 4096):
             some = new[at: at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8") for w in some], add_special_tokens=False)):
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
                 self.known[w] = array(self.code, e.ids).tobytes()
 
     def __call__(self, texts: list[str | None], end: int = END) -> list[bytes]:
@@ -79,8 +79,13 @@ class WordEncoder:
         if len(self.known) >= CACHE:
             self.known, self.aged = {}, self.known
         known, last = self.known, np.array([end], self.typed).tobytes()
-        self._learn({w for words in split for w in words if w not in known})
-        return [b"".join([known[w] for w in words]) + last for words in split]
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [(words, ids, [i for i, x in enumerate(ids) if x is None]) for words, ids in zip(split, found) if None in ids]
+        self._learn({words[i] for words, _, lacks in gaps for i in lacks})
+        for words, ids, lacks in gaps:
+            for i in lacks:
+                ids[i] = known[words[i]]
+        return [b"".join(ids) + last for ids in found]
 
 
 def _storage(folder: str) -> tuple[pa.fs.FileSystem, str]:
