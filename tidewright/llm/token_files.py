@@ -68,6 +68,16 @@ class WordEncoder:
                 new.append(w)
             else:
                 self.known[w] = ids
+        plain = [w for w in new if w.isascii() and b"<|" not in w]
+        for at in range(0, len(plain), 4096):  # ASCII words in one go: their ids are told apart by where they start
+            some = plain[at: at + 4096]
+            e = self.tokenizer.encode(b" ".join(some).decode("ascii"), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(w) + 1 for w in some])
+            cuts = np.searchsorted(np.array([a for a, _ in e.offsets]), starts).tolist()
+            ids = np.array(e.ids, self.typed)
+            for w, a, b in zip(some, cuts, cuts[1:]):
+                self.known[w] = ids[a:b].tobytes()
+        new = [w for w in new if not w.isascii() or b"<|" in w]
         for at in range(0, len(new), 4096):
             some = new[at: at + 4096]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
