@@ -42,3 +42,12 @@ def test_odd_rows(spark, odd, nothing):
     assert out.count() == odd.count()
     assert {r["text"] for r in out.where("doc_id in (2, 3, 4)").collect()} == {""}
     assert extract(nothing, ["doc_id"], "text").count() == 0
+
+
+def test_only_hidden_elements_are_hidden():
+    for shown in ('style="overflow:hidden"', 'class="overflow-hidden"', 'class="md:hidden"', 'title="The hidden city"', "style='backface-visibility:hidden'", "data-hidden=x",
+                  'aria-hidden=false', 'alt="display:none"', 'hidden=false', "title='a \"hidden\" door'"):
+        for page in (f"<article {shown}><p>{RUN}</p></article>", f"<div {shown}><div><article><p>{RUN}</p></article></div></div>", f"<div {shown}><p>{RUN}</p></div>"):
+            assert main_text(page)[0] == RUN, page
+    for unseen in ("hidden", 'hidden=""', "class=x HIDDEN", 'aria-hidden="true"', 'style="color:red; display : none"', "style='visibility:hidden !important;'", "hidden/"):
+        assert main_text(f"<article><p>{RUN}</p><div {unseen}>{RUN}</div></article>")[0] == RUN, unseen

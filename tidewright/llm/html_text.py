@@ -29,8 +29,9 @@ SHORT, STOP_LOW, STOP_HIGH, LINKS = 70, 0.10, 0.18, 0.5
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|head|textarea|select|datalist)\b"
                    r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>")
-_NAMED = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+_NAMED = ("class", "id", "role", "itemprop", "aria-label")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Names, or parts of names, of classes, ids and roles around text that isn't the article's.
 _BOILER = frozenset("""
@@ -61,20 +62,35 @@ class Block:
     label: str = ""
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; of a name given twice the first counts, as in browsers."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        if m[1]:
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _hidden(given: dict[str, str]) -> bool:
+    """Whether attributes hide an element: ``hidden`` itself, aria-hidden=true, or display:none or visibility:hidden as a whole declaration of its style."""
+    return (given.get("hidden", "false").strip().lower() != "false" or given.get("aria-hidden", "").strip().lower() == "true"
+            or "style" in given and bool(_UNSEEN.search(html.unescape(given["style"]))))
+
+
 def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     """(boilerplate, article) that an opening tag says of what it holds."""
     boiler, main = tag in _SKIPPED or tag == "header" and not inside, tag in ("article", "main")
     if attributes:
-        if _HIDDEN.search(attributes):
+        given = _attributes(attributes)
+        if _hidden(given):
             boiler = True
-        for m in _NAMED.finditer(attributes):
-            for name in (m[1] or m[2] or m[3] or "").split():
-                parts = [p.lower() for p in _PARTS.findall(name)]
-                whole = "".join(parts)
-                if whole in _MAIN:
-                    main = True
-                elif whole in _BOILER or tag != "article" and _STATES.isdisjoint(parts) and not _BOILER.isdisjoint(parts):
-                    boiler = True
+        for name in (n for k in _NAMED for n in given.get(k, "").split()):
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            whole = "".join(parts)
+            if whole in _MAIN:
+                main = True
+            elif whole in _BOILER or tag != "article" and _STATES.isdisjoint(parts) and not _BOILER.isdisjoint(parts):
+                boiler = True
     return boiler and tag not in ("html", "body", "main"), main and not boiler
 
 
