@@ -74,6 +74,30 @@ def test_odd_rows(spark, odd, nothing):
     assert J.jaccard_components(nothing).count() == 0
 
 
+@pytest.mark.parametrize("small_table", [J.SMALL_TABLE, 0])
+def test_null_and_repeated_ids_read_each_text_once_more(spark, monkeypatch, small_table):
+    """Texts of classes without an id of their own are found by digest, not by pairing all rows of one id with all such classes."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(120):
+        base = [word() for _ in range(40)]
+        ids = [(None, None), (None, 7), (7, 7), (1000 + i, None), (2000 + i, 3000 + i)][i % 5]
+        rows += [(ids[0], " ".join(base)), (ids[1], " ".join([*base, word()]))] + [(ids[0], " ".join(base))] * (i % 10 == 0)
+    read, inner = [], J.map_texts
+
+    def counted(df, keep, *a):
+        read.append(df.count())
+        return inner(df, keep, *a)
+    monkeypatch.setattr(J, "map_texts", counted)
+    monkeypatch.setattr(J, "SMALL_TABLE", small_table)
+    if not small_table:
+        monkeypatch.setattr(J, "_frequent", lambda *a: J.np.empty(0, J.np.uint64))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, J.jaccard_components(df).collect()), key=str) == by_hand(rows)
+    assert sum(read) <= 3 * len(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (300, 200), (200, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

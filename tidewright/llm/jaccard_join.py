@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidewright.llm.common import LOWEST, map_texts, partitions_of, tidy
+from tidewright.llm.common import map_texts, partitions_of, tidy
 from tidewright.llm.components import components
 from tidewright.session import settle
 
@@ -305,6 +305,26 @@ def _tiles(index: DataFrame, classes: DataFrame) -> DataFrame:
     return small.unionByName(large.join(ends, ["grp", "block"]).select("tile", "side", "within", "cls"))
 
 
+def _tokens_by_digest(df: DataFrame, text: str, wanted: DataFrame, n_wanted: int, width: int) -> DataFrame:
+    """``cls tokens`` of the ``wanted`` classes, found by the digests of all texts in one pass: at most one row per class and task."""
+    few = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64))) if n_wanted <= SMALL_TABLE else None
+
+    def make():
+        seen = set()
+
+        def one(t):
+            s = shingles(t, width)
+            own = digest(s) if len(s) else None
+            if own is None or own in seen or few is not None and few.value[np.searchsorted(few.value[:-1], own)] != own:
+                return None, None
+            seen.add(own)
+            return own, s.tobytes()
+        return lambda values: list(zip(*map(one, values))) if values else ([], [])
+
+    found = map_texts(df, [], text, make, "cls long, tokens binary").where("cls is not null")
+    return found if few is not None else found.join(wanted, "cls", "left_semi")
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``n_shingles`` (set size), ``component_id`` (smallest id reachable by links) and
     ``n_links`` (documents linked with it directly, copies included).
@@ -335,13 +355,13 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     classes = settle(index.select("cls").distinct().join(groups.withColumnRenamed("node", "cls"), "cls", "left").join(sized, "cls").select(
         "cls", F.coalesce("root", "cls").alias("grp"), "n", "copies"))
 
-    # tokens of the classes left, from the text of one document each
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
-    chosen = settle(some.join(classes.select("cls"), "cls").groupBy("cls").agg(
-        F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))).alias("_key")))
-    texts = df.select(key.alias("_key"), F.col(text).alias("text"))
-    n_chosen = chosen.count()
-    texts = texts.join(F.broadcast(chosen) if n_chosen <= SMALL_TABLE else chosen, "_key").select("cls", "text")
+    # tokens of the classes left, from the text of one document each: one whose id stands on no other row, if there is one
+    alone = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).where("c = 1 and cls is not null")
+    chosen = settle(classes.select("cls").join(alone.groupBy("cls").agg(F.min(F.col("doc_id").cast("long")).alias("_key")), "cls", "left"))
+    n_chosen, n_named = chosen.agg(F.count("*"), F.count("_key")).first()
+    named = chosen.where("_key is not null")
+    texts = df.select(F.col(doc_id).cast("long").alias("_key"), F.col(text).alias("text"))
+    texts = texts.join(F.broadcast(named) if n_named <= SMALL_TABLE else named, "_key").select("cls", "text")
 
     def make():
         def fn(values):
@@ -349,8 +369,11 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
             return [digest(s) for s in sets], [s.tobytes() for s in sets]
         return fn
 
-    tokens = settle(map_texts(texts, ["cls"], "text", make, "own long, tokens binary").where("own = cls").drop("own"))
-    if tokens.count() > n_chosen:  # rows of one id and text
+    tokens = map_texts(texts, ["cls"], "text", make, "own long, tokens binary").where("own = cls").drop("own")
+    if n_named < n_chosen:
+        tokens = tokens.unionByName(_tokens_by_digest(df, text, chosen.where("_key is null").select("cls"), n_chosen - n_named, width))
+    tokens = settle(tokens)
+    if tokens.count() > n_chosen:  # copies met in several tasks
         tokens = settle(tokens.dropDuplicates(["cls"]))
     tiles = _tiles(index, classes).join(classes.select("cls", "copies"), "cls").join(tokens, "cls")
     tiles = tiles.select("tile", "side", "within", "cls", "copies", "tokens").repartition("tile").sortWithinPartitions("tile")
