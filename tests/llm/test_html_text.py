@@ -51,3 +51,25 @@ def test_only_hidden_elements_are_hidden():
             assert main_text(page)[0] == RUN, page
     for unseen in ("hidden", 'hidden=""', "class=x HIDDEN", 'aria-hidden="true"', 'style="color:red; display : none"', "style='visibility:hidden !important;'", "hidden/"):
         assert main_text(f"<article><p>{RUN}</p><div {unseen}>{RUN}</div></article>")[0] == RUN, unseen
+
+
+def test_unclosed_and_self_closed_elements_take_nothing_else():
+    for head in ("<head><title>t</title><meta charset=utf-8>", "<html><head><title>t</title><script>'<p>'</script><body>", "<head><style>p {}</style><link href=x></head>",
+                 "<head><title>t</title></head><body>", "<HEAD lang=en><title>a <b> c</title>"):
+        assert main_text(f"{head}<article><p>{RUN}</p></article>")[0] == RUN, head
+        assert main_text(f"{head}<p>{RUN}</p>")[0] == RUN, head
+    assert main_text(f"<head><title>t</title><meta charset=utf-8>{RUN}")[0] == RUN
+    for empty in ('<svg class="x" />', "<svg/>", "<math/>", '<svg width=1 viewBox="0 0 1 1"/>', "<iframe src='x'/>", "<canvas />", "<object data='a/b'/>", "<svg-icon>", "<video-player>",
+                  '<script src="x" /></script>', "<script src=/a/></script>"):
+        got = main_text(f"<article><p>{RUN} {empty} {RUN}</p><p>{RUN}</p><svg><text>drawn</text></svg></article>")[0]
+        assert got == f"{RUN} {RUN}\n{RUN}", empty
+    for unclosed in ("<svg><path d=x>", "<video src=x>", "<select><option>a"):
+        assert main_text(f"<article><p>{RUN}</p>{unclosed}<p>{RUN}</p></article>")[0] == f"{RUN}\n{RUN}", unclosed
+    assert main_text(f"<article><p>{RUN}</p><script>if (a < b) x")[0] == RUN
+
+
+def test_formulas_and_the_tail_behind_a_bare_angle_stay():
+    formula = "<math><mi>x</mi> <mo>=</mo> <mn>2</mn></math>"
+    assert main_text(f"<article><p>{RUN} {formula} {RUN}</p></article>")[0] == f"{RUN} x = 2 {RUN}"
+    assert main_text(f"<article><p>{RUN} 1 < 2, {RUN}")[0] == f"{RUN} 1 < 2, {RUN}"
+    assert main_text(f"<article><p>{RUN} 1 < 2 <a href='x")[0] == f"{RUN} 1 < 2"

@@ -26,9 +26,16 @@ el los las y que en un una por con para es del se no al lo como más su sus o es
 #: Characters of a short block, share of stop words in doubtful and in running text, share of link text that makes a block boilerplate.
 SHORT, STOP_LOW, STOP_HIGH, LINKS = 70, 0.10, 0.18, 0.5
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|object|svg|math|canvas|audio|video|head|textarea|select|datalist)\b"
-                   r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|audio|video|textarea|select|datalist|annotation|annotation-xml)"
+                   rf"(?=[\s/>])({_INSIDE})>", re.I | re.S)
+# Elements whose content is no markup: without an end tag they go on to the end of the page.
+_RAW = frozenset("script style textarea iframe".split())
+_OPEN_VALUE = re.compile(r"=\s*[^\s\"'>]*\Z")  # a slash after it belongs to an unquoted value
+_IN_HEAD = re.compile(rf"(?:\s+|</?(?:meta|link|base|basefont|bgsound)(?=[\s/>]){_INSIDE}>|<title(?=[\s/>]){_INSIDE}>.*?(?:</title\s*>|\Z))*+", re.I | re.S)
+_HEAD = re.compile(rf"<head(?=[\s/>]){_INSIDE}>", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>")
+_CUT_OFF = re.compile(r"<[a-zA-Z/!?]")  # a tag that the page ends in
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 _NAMED = ("class", "id", "role", "itemprop", "aria-label")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
@@ -50,6 +57,11 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 # A new one of these ends an open one of the same kind.
 _SELF = frozenset("p li dt dd option tr td th".split())
 _EDGES = re.compile(r"[^\w]+|_+")
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in
+         "script style noscript template iframe object svg canvas audio video textarea select datalist annotation annotation-xml".split()}
+# What unclosed elements end at: an opening block.
+_OPENS_BLOCK = re.compile(rf"<(?:{'|'.join(sorted(_BLOCKS - {'html', 'option', 'optgroup'}))})(?=[\s/>])", re.I)
+_HEAD_END = re.compile(rf"</head\s*>|{_OPENS_BLOCK.pattern}", re.I)
 
 
 @dataclass
@@ -94,9 +106,47 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return boiler and tag not in ("html", "body", "main"), main and not boiler
 
 
+def _self_closed(attributes: str) -> bool:
+    return attributes.endswith("/") and not _OPEN_VALUE.search(attributes)
+
+
+def _gone(page: str) -> str:
+    """``page`` without comments, scripts, drawings, media and the like, and without its head.
+
+    Self-closed elements are empty. Without an end tag, elements of raw text go on to the end of the page, others to the next block.
+    A head without one ends at the first thing that can't stand in a head.
+    """
+    out, at = [], 0
+    never: set[str] = set()  # names without an end tag from here on
+    while m := _GONE.search(page, at):
+        out += page[at: m.start()], " "
+        at, tag = m.end(), (m[1] or "").lower()
+        if not tag or _self_closed(m[2]) and not (tag in _RAW and _ENDS[tag].match(page, at)):
+            continue
+        end = None if tag in never else _ENDS[tag].search(page, at)
+        if end:
+            at = end.end()
+        elif tag in _RAW:
+            at = len(page)
+        else:
+            never.add(tag)
+            block = _OPENS_BLOCK.search(page, at)
+            at = block.start() if block else len(page)
+    out.append(page[at:])
+    page = "".join(out)
+    head = _HEAD.search(page)
+    if head:
+        cut = _IN_HEAD.match(page, head.end()).end()
+        end = _HEAD_END.search(page, cut)
+        if end and end[0][1] == "/":
+            cut = end.end()
+        page = page[: head.start()] + " " + page[cut:]
+    return page
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order, with what the elements around them say."""
-    page = _GONE.sub(" ", page)
+    page = _gone(page)
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
     text: list[str] = []
@@ -150,7 +200,8 @@ def blocks_of(page: str) -> list[Block]:
                 stack.append((tag, held[1] or boiler, areas if main else held[2]))
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = True
-    say(page[at:].partition("<")[0] if "<" in page[at:] and ">" not in page[at:] else page[at:])
+    cut = _CUT_OFF.search(page, max(at, page.rfind(">") + 1))
+    say(page[at: cut.start() if cut else len(page)])
     flush()
     return out
 
