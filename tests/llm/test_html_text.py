@@ -73,3 +73,18 @@ def test_formulas_and_the_tail_behind_a_bare_angle_stay():
     assert main_text(f"<article><p>{RUN} {formula} {RUN}</p></article>")[0] == f"{RUN} x = 2 {RUN}"
     assert main_text(f"<article><p>{RUN} 1 < 2, {RUN}")[0] == f"{RUN} 1 < 2, {RUN}"
     assert main_text(f"<article><p>{RUN} 1 < 2 <a href='x")[0] == f"{RUN} 1 < 2"
+
+
+def test_names_in_an_article_need_few_stop_words_or_many_links_as_well():
+    for section, want in ((f'<section id="discussion"><h2>Discussion</h2><p>{RUN}</p></section>', ["Discussion", RUN]),
+                          (f'<section id="social-impact"><h2>Impact</h2><p>{RUN}</p><p>1843.</p></section>', ["Impact", RUN, "1843."]),
+                          (f'<h2 id="legal-status">Legal status</h2><p>{RUN}</p>', ["Legal status", RUN]), (f'<p id="search-results">{RUN}</p>', [RUN]),
+                          (f'<h2 id="related-work" class="section-header">Related work</h2><p>{RUN}</p>', ["Related work", RUN]),
+                          (f'<div class="entry-header"><h2>A title</h2></div><p>{RUN}</p>', ["A title", RUN]),
+                          (f'<figure aria-label="Form of the shell"><figcaption>{RUN}</figcaption></figure>', [RUN]),
+                          (f'<p>{RUN} See <span class="toc-target">this</span>.</p>', [f"{RUN} See this."])):
+        assert main_text(f"<article><p>{RUN}</p>{section}<p>{RUN}</p></article>")[0].split("\n") == [RUN, *want, RUN], section
+    for other in ('<div class="related-posts"><h3>Read on</h3><ul><li><a href=x>What the fox says</a></li></ul></div>', '<div class="share-bar">Facebook Pinterest</div>',
+                  f'<p class="ad">{RUN}</p>', f'<div role="search">{RUN}</div>', '<section id="related"><a href=x>The best of times, the worst of times</a></section>'):
+        assert main_text(f"<article><p>{RUN}</p>{other}<p>{RUN}</p></article>")[0] == f"{RUN}\n{RUN}", other
+    assert main_text(f'<div><h2 id="legal-status">Legal status</h2><p>{RUN}</p></div>')[0] == f"Legal status\n{RUN}"

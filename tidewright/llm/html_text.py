@@ -37,7 +37,7 @@ _HEAD = re.compile(rf"<head(?=[\s/>]){_INSIDE}>", re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*>")
 _CUT_OFF = re.compile(r"<[a-zA-Z/!?]")  # a tag that the page ends in
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
-_NAMED = ("class", "id", "role", "itemprop", "aria-label")
+_NAMED = ("class", "id", "role", "itemprop")  # aria-label is free text
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Names, or parts of names, of classes, ids and roles around text that isn't the article's.
@@ -54,6 +54,8 @@ _STATES = frozenset("with has no without open closed".split())
 _BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html
 legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button label""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Whole class names that may as well name what an article's section is about.
+_TOPICS = frozenset("alert discussion disclaimer form legal notice notices popular related search social tags trending".split())
 # A new one of these ends an open one of the same kind.
 _SELF = frozenset("p li dt dd option tr td th".split())
 _EDGES = re.compile(r"[^\w]+|_+")
@@ -71,6 +73,7 @@ class Block:
     heading: bool
     boiler: bool
     area: int  # number of the article it stands in; 0: none
+    doubts: tuple = ()  # numbers of the elements of an article around it whose names only suggest boilerplate
     label: str = ""
 
 
@@ -89,21 +92,32 @@ def _hidden(given: dict[str, str]) -> bool:
             or "style" in given and bool(_UNSEEN.search(html.unescape(given["style"]))))
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(boilerplate, article) that an opening tag says of what it holds."""
-    boiler, main = tag in _SKIPPED or tag == "header" and not inside, tag in ("article", "main")
+def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """(boilerplate, article, doubtful) that an opening tag says of what it holds.
+
+    In an article (``inside``) parts of names, ids and names that may be topics only make doubtful; a heading's id says nothing anywhere.
+    """
+    boiler, main, doubt = tag in _SKIPPED or tag == "header" and not inside, tag in ("article", "main"), False
     if attributes:
         given = _attributes(attributes)
         if _hidden(given):
             boiler = True
-        for name in (n for k in _NAMED for n in given.get(k, "").split()):
-            parts = [p.lower() for p in _PARTS.findall(name)]
-            whole = "".join(parts)
-            if whole in _MAIN:
-                main = True
-            elif whole in _BOILER or tag != "article" and _STATES.isdisjoint(parts) and not _BOILER.isdisjoint(parts):
-                boiler = True
-    return boiler and tag not in ("html", "body", "main"), main and not boiler
+        heading = tag[0] == "h" and tag[1:].isdigit()
+        for k in _NAMED:
+            for name in given.get(k, "").split():
+                parts = [p.lower() for p in _PARTS.findall(name)]
+                whole = "".join(parts)
+                if whole in _MAIN:
+                    main = True
+                elif heading and (k == "id" or inside and whole not in _BOILER):
+                    continue
+                elif whole in _BOILER or tag != "article" and _STATES.isdisjoint(parts) and not _BOILER.isdisjoint(parts):
+                    if inside and (k == "id" or whole not in _BOILER or k != "role" and whole in _TOPICS):
+                        doubt = True
+                    else:
+                        boiler = True
+    holder = tag in ("html", "body", "main")
+    return boiler and not holder, main and not boiler, doubt and not boiler and not holder
 
 
 def _self_closed(attributes: str) -> bool:
@@ -148,17 +162,17 @@ def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order, with what the elements around them say."""
     page = _gone(page)
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
+    stack: list[tuple[str, bool, int, tuple]] = []  # tag, boilerplate, article, doubts
     text: list[str] = []
-    links = areas = in_link = 0
+    links = areas = in_link = doubtful = 0
     heading = False
 
     def flush():
         nonlocal links, heading
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            boiler, area = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            out.append(Block(joined, links, heading, boiler, area))
+            boiler, area, doubts = stack[-1][1:] if stack else (False, 0, ())
+            out.append(Block(joined, links, heading, boiler, area, doubts))
         text.clear()
         links, heading = 0, False
 
@@ -191,13 +205,15 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
                 if tag in _SELF and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
                     stack.pop()
-            boiler, main = _kind(tag, m[3] or "", bool(stack and stack[-1][2]))
-            if tag in _BLOCKS and tag not in _VOID or boiler:
-                if boiler and tag not in _BLOCKS:
+            boiler, main, doubt = _kind(tag, m[3] or "", bool(stack and stack[-1][2]))
+            doubt = doubt and (tag in _BLOCKS or not any(map(str.strip, text)))  # words within a sentence stay in it
+            if tag in _BLOCKS and tag not in _VOID or boiler or doubt:
+                if (boiler or doubt) and tag not in _BLOCKS:
                     flush()
                 areas += main
-                held = stack[-1] if stack else ("", False, 0)
-                stack.append((tag, held[1] or boiler, areas if main else held[2]))
+                doubtful += doubt
+                held = stack[-1] if stack else ("", False, 0, ())
+                stack.append((tag, held[1] or boiler, areas if main else held[2], (*held[3], doubtful) if doubt else held[3]))
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = True
     cut = _CUT_OFF.search(page, max(at, page.rfind(">") + 1))
@@ -206,17 +222,40 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def stop_share(text: str) -> float:
+def _stops(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text."""
     words = [w for w in (_EDGES.sub("", x) for x in text.lower().split()) if w]
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def stop_share(text: str) -> float:
+    hits, words = _stops(text)
+    return hits / words if words else 0.0
+
+
+def _solid(text: str) -> int:
+    return max(1, len(text.replace(" ", "")))
+
+
+def _unwanted(blocks: list[Block]) -> set[int]:
+    """Doubtful elements that, as a whole and without headings, have few stop words or many links."""
+    sums: dict[int, list[int]] = {}
+    for b in blocks:
+        if b.doubts and not b.boiler and not b.heading:
+            hits, words = _stops(b.text)
+            for d in b.doubts:
+                held = sums.setdefault(d, [0, 0, 0, 0])
+                for i, x in enumerate((hits, words, b.link_chars, _solid(b.text))):
+                    held[i] += x
+    return {d for d, (hits, words, links, solid) in sums.items() if hits < STOP_LOW * words or links > LINKS / 2 * solid}
 
 
 def classify(blocks: list[Block]) -> None:
     """Set ``label`` of each block to good or bad."""
+    unwanted = _unwanted(blocks)
     for b in blocks:  # pass 1: good, bad, near (looks like text) or short
         size = len(b.text)
-        solid = max(1, len(b.text.replace(" ", "")))
-        if b.boiler or b.link_chars / solid > LINKS or b.text[0] in "©®" and size < 3 * SHORT:
+        if b.boiler or not unwanted.isdisjoint(b.doubts) or b.link_chars / _solid(b.text) > LINKS or b.text[0] in "©®" and size < 3 * SHORT:
             b.label = "bad"
             continue
         share = stop_share(b.text)
@@ -234,7 +273,7 @@ def classify(blocks: list[Block]) -> None:
     # what menus, adverts and the like hold says nothing about the text around it
     decided: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
-        if first[i] in ("good", "bad") and not b.boiler:
+        if first[i] in ("good", "bad") and not b.boiler and unwanted.isdisjoint(b.doubts):
             decided.setdefault(b.area, []).append(i)
     for i, b in enumerate(blocks):  # pass 2
         if first[i] in ("good", "bad"):
