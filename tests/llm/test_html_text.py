@@ -88,3 +88,22 @@ def test_names_in_an_article_need_few_stop_words_or_many_links_as_well():
                   f'<p class="ad">{RUN}</p>', f'<div role="search">{RUN}</div>', '<section id="related"><a href=x>The best of times, the worst of times</a></section>'):
         assert main_text(f"<article><p>{RUN}</p>{other}<p>{RUN}</p></article>")[0] == f"{RUN}\n{RUN}", other
     assert main_text(f'<div><h2 id="legal-status">Legal status</h2><p>{RUN}</p></div>')[0] == f"Legal status\n{RUN}"
+
+
+def test_languages_without_stop_words_tables_and_teasers_outside_articles():
+    italian = "Questo libro racconta ogni anno vicende straordinarie: uomini, donne, bambini, tutti insieme dentro piccole citta lontane."
+    russian = "Это было лучшее из всех времён, это было худшее из всех времён; это был век мудрости, это был век глупости."
+    chinese = "那是最美好的时代,那是最糟糕的时代;那是智慧的年头,那是愚昧的年头。"
+    links = "<div>" + " ".join('<a href="x">some link</a>' for _ in range(9)) + "</div>"
+    for run in (italian, russian, chinese):
+        assert main_text(f"{links}<div><h1>{run[:9]}</h1><p>{run}</p><p>{run}</p></div>{links}")[0].split("\n")[-2:] == [run, run], run
+        assert main_text(f'<article><section id="social-impact"><p>{run}</p></section></article>')[0] == run
+    code = "for (i = 0; i < 10; i++) { total += prices[i] * amounts[i]; printf(total); } " * 2
+    table = "<table><tr><td>Width 1200 mm, height 700 mm, depth 450 mm, weight 31 kg, colours: black, white, silver</td></tr></table>"
+    for block in (f"<pre>{html.escape(code)}</pre>", table):
+        got = main_text(f"{links}<p>{RUN}</p>{block}<p>{RUN}</p>")[0].split("\n")
+        assert got == [RUN, " ".join(html.unescape(re.sub("<[^>]*>", "", block)).split()), RUN], block
+        assert main_text(f"{links}{block}{links}<p>{RUN}</p>")[0] == RUN
+    teaser = "<article><h3>Teaser</h3><p>Apples, pears, plums, cherries, oranges, lemons, melons, berries, grapes, figs</p></article>"
+    assert main_text(f"<div><p>{RUN}</p><p>{RUN}</p></div>{teaser}")[0].startswith(f"{RUN}\n{RUN}")
+    assert main_text(f"<p>{RUN}</p><article><p>{RUN}</p><p>{RUN}</p></article>")[0] == f"{RUN}\n{RUN}"

@@ -2,6 +2,7 @@
 
 Pass 1 judges a block by itself: text in menus, forms, notices and the like is boilerplate, so is text of mostly links; long blocks
 with many stop words, or long ones inside an article, are main text. Pass 2: short or doubtful blocks take the label of their nearest decided neighbours.
+Where a page's long blocks have few known stop words, length and links decide. Articles set the bounds of main text if most running text is in them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import bisect
 import html
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ el los las y que en un una por con para es del se no al lo como más su sus o es
 """.split())
 #: Characters of a short block, share of stop words in doubtful and in running text, share of link text that makes a block boilerplate.
 SHORT, STOP_LOW, STOP_HIGH, LINKS = 70, 0.10, 0.18, 0.5
+# Ideographs, syllables and kana, which say as much as three letters.
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 _INSIDE = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|audio|video|textarea|select|datalist|annotation|annotation-xml)"
@@ -76,6 +80,20 @@ class Block:
     doubts: tuple = ()  # numbers of the elements of an article around it whose names only suggest boilerplate
     label: str = ""
 
+    @cached_property
+    def stops(self) -> tuple[int, int]:
+        """(stop words, words)"""
+        words = [w for w in (_EDGES.sub("", x) for x in self.text.lower().split()) if w]
+        return sum(w in STOP_WORDS for w in words), len(words)
+
+    @cached_property
+    def solid(self) -> int:
+        return max(1, len(self.text.replace(" ", "")))
+
+    @cached_property
+    def size(self) -> int:
+        return len(self.text) if self.text.isascii() else len(self.text) + 2 * len(_WIDE.findall(self.text))
+
 
 def _attributes(raw: str) -> dict[str, str]:
     """Names in lower case and values of a tag's attributes; of a name given twice the first counts, as in browsers."""
@@ -222,52 +240,57 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _stops(text: str) -> tuple[int, int]:
-    """(stop words, words) of a text."""
-    words = [w for w in (_EDGES.sub("", x) for x in text.lower().split()) if w]
-    return sum(w in STOP_WORDS for w in words), len(words)
-
-
-def stop_share(text: str) -> float:
-    hits, words = _stops(text)
-    return hits / words if words else 0.0
-
-
-def _solid(text: str) -> int:
-    return max(1, len(text.replace(" ", "")))
-
-
-def _unwanted(blocks: list[Block]) -> set[int]:
-    """Doubtful elements that, as a whole and without headings, have few stop words or many links."""
+def _unwanted(blocks: list[Block], served: bool) -> set[int]:
+    """Doubtful elements that, as a whole and without headings, have few stop words (of a language ``served``) or many links."""
     sums: dict[int, list[int]] = {}
     for b in blocks:
         if b.doubts and not b.boiler and not b.heading:
-            hits, words = _stops(b.text)
+            hits, words = b.stops
             for d in b.doubts:
                 held = sums.setdefault(d, [0, 0, 0, 0])
-                for i, x in enumerate((hits, words, b.link_chars, _solid(b.text))):
+                for i, x in enumerate((hits, words, b.link_chars, b.solid)):
                     held[i] += x
-    return {d for d, (hits, words, links, solid) in sums.items() if hits < STOP_LOW * words or links > LINKS / 2 * solid}
+    return {d for d, (hits, words, links, solid) in sums.items() if served and hits < STOP_LOW * words or links > LINKS / 2 * solid}
+
+
+def _served(blocks: list[Block]) -> bool:
+    """Whether the long blocks of few links have as many stop words as running text of the known languages; also without any such block."""
+    hits = words = 0
+    for b in blocks:
+        if not b.boiler and b.size >= SHORT and b.link_chars <= LINKS / 2 * b.solid:
+            h, w = b.stops
+            hits, words = hits + h, words + w
+    return not words or hits >= STOP_HIGH * words
+
+
+def _judge(b: Block, unwanted: set[int], served: bool, area: bool) -> str:
+    """Pass 1: good, bad, near (looks like text), low (long, few links, few stop words) or short."""
+    if b.boiler or not unwanted.isdisjoint(b.doubts) or b.link_chars / b.solid > LINKS or b.text[0] in "©®" and b.size < 3 * SHORT:
+        return "bad"
+    size, solid, (hits, words) = b.size, b.solid, b.stops
+    share = hits / words if words else 0.0
+    if size >= SHORT and (area or share >= STOP_HIGH or not served and b.link_chars <= LINKS / 2 * solid):
+        return "good"
+    if area or size < SHORT and not b.link_chars:
+        return "near" if share >= STOP_LOW else "short"
+    if share >= STOP_LOW:
+        return "near"
+    return "low" if size >= SHORT and b.link_chars <= LINKS / 2 * solid else "bad"
 
 
 def classify(blocks: list[Block]) -> None:
     """Set ``label`` of each block to good or bad."""
-    unwanted = _unwanted(blocks)
-    for b in blocks:  # pass 1: good, bad, near (looks like text) or short
-        size = len(b.text)
-        if b.boiler or not unwanted.isdisjoint(b.doubts) or b.link_chars / _solid(b.text) > LINKS or b.text[0] in "©®" and size < 3 * SHORT:
-            b.label = "bad"
-            continue
-        share = stop_share(b.text)
-        if size >= SHORT and (b.area or share >= STOP_HIGH):
-            b.label = "good"
-        elif b.area or size < SHORT and not b.link_chars:
-            b.label = "near" if share >= STOP_LOW else "short"
-        else:
-            b.label = "near" if share >= STOP_LOW else "bad"
-    if any(b.area and b.label != "bad" for b in blocks):  # the page says where its article is
+    served = _served(blocks)
+    unwanted = _unwanted(blocks, served)
+    for b in blocks:
+        b.label = _judge(b, unwanted, served, bool(b.area))
+    if any(b.area and b.label != "bad" for b in blocks):  # the page says where its article is, if most running text is there
+        inside = sum(b.size for b in blocks if b.area and b.label != "bad")
+        outside = sum(b.size for b in blocks if not b.area and b.label == "good")
         for b in blocks:
-            if not b.area:
+            if inside < outside:
+                b.label, b.area = _judge(b, unwanted, served, False), 0
+            elif not b.area:
                 b.label = "bad"
     first = [b.label for b in blocks]
     # what menus, adverts and the like hold says nothing about the text around it
@@ -281,7 +304,9 @@ def classify(blocks: list[Block]) -> None:
         near = decided.get(b.area, [])
         at = bisect.bisect(near, i)
         before, after = first[near[at - 1]] if at else None, first[near[at]] if at < len(near) else None
-        if b.heading and after:
+        if first[i] == "low":  # a table, list or piece of code belongs to the text on both of its sides
+            b.label = "good" if before == after == "good" else "bad"
+        elif b.heading and after:
             b.label = after
         elif before == after or before is None or after is None:
             b.label = before or after or ("good" if b.area or first[i] == "near" else "bad")
