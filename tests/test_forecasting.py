@@ -221,3 +221,25 @@ def test_shapley_adds_up(spark):
     rows = df.withColumn("y", 3 * F.col("a") + F.col("b") * F.col("b"))
     imp = permutation_importance(rows, "id", ["a", "b", "c"], predict, (F.col("y") - F.col("yhat")) ** 2).toPandas().set_index("feature")["rise"]
     assert imp["a"] > imp["b"] > imp["c"] == 0.0
+
+
+def test_smote_brings_every_class_to_the_largest(spark):
+    from tidewright.operators.learn import smote_balanced
+    rows = [(i, 1, float(i), 2.0 * i) for i in range(40)] + [(100 + i, 2, 100.0 + i, 50.0 - i) for i in range(9)] + [(200, 3, -1.0, -2.0)]
+    out = smote_balanced(spark.createDataFrame(rows, "id long, grade int, a double, b double"), "grade", "id", ["a", "b"]).toPandas()
+    assert out.groupby("grade").size().to_dict() == {1: 40, 2: 40, 3: 40}
+    made = out[out.new_id.notna()]
+    assert len(made) == 70 and made[made.grade == 2].a.between(100, 108).all() and (made[made.grade == 3].a == -1).all()
+
+
+def test_importance_is_the_mean_of_shuffles_and_attribution_takes_every_order(spark):
+    from tidewright.operators.explain import permutation_importance, sampled_shapley
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), float((i % 7) * (i % 3))) for i in range(60)], "id long, a double, b double, y double").cache()
+    predict = lambda d: d.withColumn("yhat", F.col("a") * F.col("b"))
+    loss = (F.col("y") - F.col("yhat")) ** 2
+    rise = lambda **k: {r["feature"]: r["rise"] for r in permutation_importance(df, "id", ["a", "b"], predict, loss, **k).collect()}
+    single = [rise(seed=s) for s in range(3)]
+    for f, v in rise(n_repeats=3).items():
+        assert abs(v - sum(s[f] for s in single) / 3) < 1e-9
+    two = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 1.0)], "id long, a double, b double")  # both orders meet both background rows
+    assert {r["feature"]: r["attribution"] for r in sampled_shapley(two, "id", ["a", "b"], predict, 4).filter("id = 2").collect()} == {"a": 0.25, "b": 0.25}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -19,17 +21,21 @@ def gain_importance(model, features: Sequence[str], df: DataFrame) -> DataFrame:
 
 
 def permutation_importance(df: DataFrame, key: str, features: Sequence[str], predict: Callable[[DataFrame], DataFrame],
-                           loss: Column, seed: int = 0) -> DataFrame:
-    """Rise of the mean loss when one column is shuffled: (feature, base_loss, loss, rise).
+                           loss: Column, seed: int = 0, n_repeats: int = 1) -> DataFrame:
+    """Rise of the mean loss when one column is shuffled, as a mean over ``n_repeats`` shuffles: (feature, base_loss, loss, rise).
 
     The shuffle pairs the row at each place in key order with the row at the same place in hash order, so
     no task sees all rows. ``predict`` adds ``yhat``; ``loss`` is a column over its result.
     """
     rows = settle(df)
     here = sorted_scan(rows, [], [F.col(key)], row_number="_place")
-    there = sorted_scan(rows.select(key, *features), [], [F.xxhash64(key, F.lit(seed)), F.col(key)], row_number="_place")
-    other = there.select("_place", *[F.col(f).alias(f"_o_{f}") for f in features])
-    both = here.join(other, "_place").withColumn("_shuffled", F.explode(F.array(F.lit("-"), *[F.lit(f) for f in features])))
+    other = None
+    for i in range(n_repeats):
+        there = sorted_scan(rows.select(key, *features), [], [F.xxhash64(key, F.lit(seed + i)), F.col(key)], row_number="_place")
+        there = there.select("_place", F.lit(i).alias("_repeat"), *[F.col(f).alias(f"_o_{f}") for f in features])
+        other = there if other is None else other.unionByName(there)
+    names = [F.lit(f) for f in features]
+    both = here.join(other, "_place").withColumn("_shuffled", F.explode(F.when(F.col("_repeat") == 0, F.array(F.lit("-"), *names)).otherwise(F.array(*names))))
     moved = both.select(*[c for c in rows.columns if c not in features], "_shuffled",
                         *[F.when(F.col("_shuffled") == f, F.col(f"_o_{f}")).otherwise(F.col(f)).alias(f) for f in features])
     scores = settle(predict(moved).groupBy("_shuffled").agg(F.avg(loss).alias("loss")))
@@ -50,15 +56,20 @@ def sampled_shapley(df: DataFrame, key: str, features: Sequence[str], predict: C
                     seed: int = 0) -> DataFrame:
     """Additive attribution of every row: (key, feature, value, attribution, yhat, base).
 
-    Each permutation adds the row's features one by one to a background row. All rows, permutations and
+    Each permutation adds the row's features one by one to a background row of its own, drawn by hash; with as many permutations as there are
+    orders of the features, every order is taken. All rows, permutations and
     stages are scored in one pass; attributions of a row add up to its prediction minus its base.
     """
     features, rng = list(features), np.random.default_rng(seed)
     k = len(features)
-    orders = [list(map(int, rng.permutation(k))) for _ in range(n_permutations)]
+    n_orders = math.factorial(k)
+    if n_orders <= n_permutations:  # all orders in turn
+        orders = list(itertools.islice(itertools.cycle(map(list, itertools.permutations(range(k)))), n_permutations))
+    else:
+        orders = [list(map(int, rng.permutation(k))) for _ in range(n_permutations)]
     backs = (df.select(*features).withColumn("_h", F.xxhash64(*features, F.lit(seed))).orderBy("_h", *features).limit(n_permutations).drop("_h").collect())
     plan = df.sparkSession.createDataFrame(
-        [(i, orders[i], [float(v) for v in backs[i % len(backs)]]) for i in range(n_permutations)], "_perm int, _order array<int>, _back array<double>")
+        [(i, orders[i], [float(v) for v in backs[(i + i // n_orders) % len(backs)]]) for i in range(n_permutations)], "_perm int, _order array<int>, _back array<double>")
     rows = df.select(key, *features).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
     rows = rows.join(F.broadcast(plan), "_perm").withColumn("_stage", F.explode(F.sequence(F.lit(0), F.lit(k))))
     taken = [F.array_position("_order", F.lit(i)) <= F.col("_stage") for i in range(k)]

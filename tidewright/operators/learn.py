@@ -130,6 +130,24 @@ def smote(df: DataFrame, label: str, minority, key: str, features: Sequence[str]
     return both.select("new_id", F.lit(minority).alias(label), *[(F.col(f) + F.col("_u") * (F.col(f"_o_{f}") - F.col(f))).alias(f) for f in features])
 
 
+def smote_balanced(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = 5, seed: int = 0) -> DataFrame:
+    """(``label``, ``new_id``, features): all rows (``new_id`` null) and as many synthetic ones as bring each class to the size of the largest.
+
+    A class of one row has no neighbours to draw lines to: that row is repeated. Rows without a label are left out.
+    """
+    rows = settle(df.filter(F.col(label).isNotNull()).select(label, key, *[F.col(f).cast("double").alias(f) for f in features]))
+    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    most = max(sizes.values(), default=0)
+    out = rows.select(label, F.lit(None).cast("long").alias("new_id"), *features)
+    for c, n in sorted(sizes.items()):
+        if n == most:
+            continue
+        made = (smote(rows, label, c, key, features, most - n, k, seed) if n > 1 else
+                df.sparkSession.range(most - n).withColumnRenamed("id", "new_id").crossJoin(rows.filter(F.col(label) == c)))
+        out = out.unionByName(made.select(F.lit(c).cast(df.schema[label].dataType).alias(label), "new_id", *features))
+    return out
+
+
 # ------------------------------------------------------------------ losses and quantiles
 def count_model(df: DataFrame, features: Sequence[str], label: str, family: str = "poisson", power: float = 1.5):
     """Generalised linear model with a log link under a Poisson or Tweedie loss."""

@@ -301,8 +301,8 @@ def l46(t):
 @query("l49_smote")
 def l49(t):
     rows = _orders(t)
-    made = ln.smote(rows, "grade", 9, "l_orderkey", ORDER_FEATURES, 500)
-    return made.agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in ORDER_FEATURES])
+    both = ln.smote_balanced(rows, "grade", "l_orderkey", ORDER_FEATURES)
+    return both.groupBy("grade").agg(F.count("*").alias("n"), F.count("new_id").alias("n_new"), *[F.avg(f).alias(f) for f in ORDER_FEATURES])
 
 
 @query("l51_calibration")
@@ -317,6 +317,10 @@ def l51(t):
 
 
 # ------------------------------------------------------------------ explanation
+#: Each of the 24 orders of four features twice, on 48 background rows.
+_PERMUTATIONS = 48
+
+
 def _explained(t):
     train, test = _order_parts(t)
     model = fc.boosted(train, ORDER_FEATURES, "grade", rounds=6, depth=3)
@@ -332,7 +336,7 @@ def l53(t):
 @query("l54_permutation_importance")
 def l54(t):
     _, test, predict = _explained(t)
-    return ex.permutation_importance(test, "l_orderkey", ORDER_FEATURES, predict, (F.col("grade") - F.col("yhat")) ** 2)
+    return ex.permutation_importance(test, "l_orderkey", ORDER_FEATURES, predict, (F.col("grade") - F.col("yhat")) ** 2, n_repeats=5)
 
 
 @query("l55_partial_dependence")
@@ -357,13 +361,13 @@ def l55f(t):
 @query("l56_additive_attribution")
 def l56(t):
     _, test, predict = _explained(t)
-    return ex.sampled_shapley(test, "l_orderkey", ORDER_FEATURES, predict, n_permutations=4)
+    return ex.sampled_shapley(test, "l_orderkey", ORDER_FEATURES, predict, n_permutations=_PERMUTATIONS)
 
 
 @query("l56_global_attribution")
 def l56g(t):
     _, test, predict = _explained(t)
-    return ex.global_attribution(ex.sampled_shapley(test, "l_orderkey", ORDER_FEATURES, predict, n_permutations=4))
+    return ex.global_attribution(ex.sampled_shapley(test, "l_orderkey", ORDER_FEATURES, predict, n_permutations=_PERMUTATIONS))
 
 
 # ------------------------------------------------------------------ scenarios
