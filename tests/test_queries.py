@@ -39,3 +39,7 @@ def test_query_equals_sql(spark, small, con, name):
     cols = [d[0] for d in rel.description]
     assert sorted(cols) == sorted(df.columns)
     assert check.rows_of([tuple(r) for r in df.collect()], df.columns) == check.rows_of(rel.fetchall(), cols)
+
+
+def test_cointegration_scans_all_pairs(spark, small):
+    assert entry.queries()["m7_cointegration_scan"](spark, small).select("pair").distinct().count() == 10

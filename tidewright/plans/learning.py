@@ -174,9 +174,9 @@ def l18(t):
 def l19(t):
     from tidewright.functions.gridtime import position
     rows = _panel(t)
-    weeks = rows.filter("part = 'test'").groupBy(position(F.col("ts"), "week").alias("wk")).agg(F.min("pos").alias("a"), F.max("pos").alias("b")).orderBy("wk").collect()
+    months = rows.filter("part = 'test'").groupBy(position(F.col("ts"), "month").alias("month")).agg(F.min("pos").alias("a"), F.max("pos").alias("b")).orderBy("month").collect()
     feats = LAGS + CALENDAR
-    out = fc.walk_forward_blocks(rows, "pos", [(w["a"], w["b"]) for w in weeks],
+    out = fc.walk_forward_blocks(rows, "pos", [(m["a"], m["b"]) for m in months],
                                  lambda train: fc.boosted(train, feats, "x", rounds=5, depth=3), lambda m, part: fc.predict(m, part, feats, floor=0.0))
     return sc.accuracy(out, ["block"], "x", "yhat")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tidewright.functions import columns as C
@@ -145,7 +147,7 @@ def m7(t):
 
 @query("m7_cointegration_scan")
 def m7s(t):
-    return mv.engle_granger(_wide_prices(t), "pos", _PAIRS, 4)
+    return mv.engle_granger(_wide_prices(t), "pos", list(combinations(NAMES.values(), 2)), 4)
 
 
 _EG = SQL_RETURNS + ", wide AS (SELECT * FROM (SELECT pos, " + ", ".join(
