@@ -118,3 +118,36 @@ def token_files(spark, folder):
 def licence_scan(spark, folder):
     from tidewright.llm.licences import scan
     return scan(table(spark, folder, "documents"))
+
+
+@query("op13_merkle_manifest", r"""
+WITH RECURSIVE e AS (SELECT doc_id, coalesce('s' || source, '-') AS k,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+    || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) % 5 = 0 AS touched FROM documents),
+l AS (SELECT doc_id, k, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+             sha256(head || CASE WHEN text IS NULL THEN '-' WHEN touched THEN strlen(small) || ':' || small ELSE strlen(text) || ':' || text END) AS claimed FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n,
+             row_number() OVER (ORDER BY k, doc_id NULLS FIRST, leaf) AS id FROM l),
+t AS (SELECT 0 AS lvl, k, pos, n, leaf AS h FROM r
+      UNION ALL SELECT lvl + 1, k, pos // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lvl, k, pos // 16),
+g AS (SELECT k, h AS subroot, lvl AS top, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, n, subroot AS h FROM g
+      UNION ALL SELECT lvl + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 16),
+f AS (SELECT id, k, 0 AS lvl, pos, n, claimed AS own, '' AS proof FROM r
+      UNION ALL SELECT f.id, any_value(f.k), f.lvl + 1, any_value(f.pos // 16), any_value((f.n + 15) // 16),
+                       sha256(string_agg(CASE WHEN t.pos = f.pos THEN f.own ELSE t.h END, '' ORDER BY t.pos)),
+                       any_value(f.proof) || coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (WHERE t.pos <> f.pos), '')
+                FROM f JOIN t ON t.lvl = f.lvl AND t.k = f.k AND t.pos // 16 = f.pos // 16 WHERE f.n > 1 GROUP BY f.id, f.lvl),
+v AS (SELECT f.id, 0 AS lvl, g.pos, g.n, f.own, f.proof FROM f JOIN g ON g.k = f.k WHERE f.n = 1
+      UNION ALL SELECT v.id, v.lvl + 1, any_value(v.pos // 16), any_value((v.n + 15) // 16),
+                       sha256(string_agg(CASE WHEN u.pos = v.pos THEN v.own ELSE u.h END, '' ORDER BY u.pos)),
+                       any_value(v.proof) || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos <> v.pos), '')
+                FROM v JOIN u ON u.lvl = v.lvl AND u.pos // 16 = v.pos // 16 WHERE v.n > 1 GROUP BY v.id, v.lvl)
+SELECT r.doc_id, r.leaf, g.subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(v.proof) AS proof_sha256, v.own AS folded_root, v.own = (SELECT h FROM u WHERE n = 1) AS verified
+FROM r JOIN g USING (k) JOIN v ON v.id = r.id AND v.n = 1""")
+def merkle_manifest(spark, folder):
+    from tidewright.llm.merkle import tamper_proof
+    return tamper_proof(table(spark, folder, "documents"))
