@@ -60,10 +60,10 @@ def _grown(nodes: DataFrame, most: int, carry: Sequence[str], fanout: int) -> tu
     """
     roots, levels = nodes.where("size = 1").select("tree", F.col("digest").alias("root")), []
     while most > 1:
-        slot, cols = F.col("pos") % fanout, ["digest", *carry]
-        pivot = {c: [F.max(F.when(slot == i, F.col(c))).alias(f"{c}_{i}") for i in range(fanout)] for c in cols}
-        wide = nodes.where("size > 1").groupBy("tree", F.expr(f"pos div {fanout}").alias("parent")).agg(F.max("size").alias("size"), *sum(pivot.values(), []))
-        level = settle(wide.select("tree", "parent", "size", *[F.array(*[F.col(f"{c}_{i}") for i in range(fanout)]).alias(c) for c in cols]))
+        cols = ["digest", *carry]
+        pivot = [F.expr(f"max(case when pos % {fanout} = {i} then {c} end) as {c}_{i}") for c in cols for i in range(fanout)]
+        wide = nodes.where("size > 1").groupBy("tree", F.expr(f"pos div {fanout} as parent")).agg(F.max("size").alias("size"), *pivot)
+        level = settle(wide.selectExpr("tree", "parent", "size", *[f"array({', '.join(f'{c}_{i}' for i in range(fanout))}) as {c}" for c in cols]))
         levels.append(level)
         nodes = level.select("tree", F.col("parent").alias("pos"), F.expr(f"(size + {fanout - 1}) div {fanout}").alias("size"), F.sha2(F.concat_ws("", "digest"), 256).alias("digest"))
         roots = roots.unionByName(nodes.where("size = 1").select("tree", F.col("digest").alias("root")))
