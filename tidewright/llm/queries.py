@@ -151,3 +151,21 @@ FROM r JOIN g USING (k) JOIN v ON v.id = r.id AND v.n = 1""")
 def merkle_manifest(spark, folder):
     from tidewright.llm.merkle import tamper_proof
     return tamper_proof(table(spark, folder, "documents"))
+
+
+@query("op12_wu_manber", r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (SELECT DISTINCT id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda p: array_to_string(ws[p:p + n - 1], ' '))) AS s FROM
+        (SELECT *, least(len(ws), 10) AS n FROM i WHERE len(ws) > 0)),
+x AS (SELECT r, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda p: {'p': p, 's': array_to_string(ws[p:p + n - 1], ' ')})) AS o FROM w, (SELECT DISTINCT n FROM g) WHERE len(ws) >= n),
+m AS (SELECT x.r, x.n, x.o.p AS p, g.id FROM x JOIN g ON g.n = x.n AND g.s = x.o.s),
+h AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r),
+k AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, id FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (r) LEFT JOIN k USING (r)""")
+def wu_manber(spark, folder):
+    from tidewright.llm.wu_manber import contamination
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
