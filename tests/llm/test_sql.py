@@ -12,4 +12,4 @@ def test_query_equals_sql(spark, small, con, name):
 
 
 def test_each_operator_has_a_query():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -169,3 +169,26 @@ FROM w LEFT JOIN h USING (r) LEFT JOIN k USING (r)""")
 def wu_manber(spark, folder):
     from tidewright.llm.wu_manber import contamination
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT lang, source, r, unnest(ws) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS all_n FROM c GROUP BY 1, 2 HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*) AS terms, CAST(sum(all_n) AS BIGINT) AS all_total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.all_n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, source) AS BIGINT) AS total FROM n),
+p AS (SELECT s.*, 1 + (1000000000::HUGEINT * (n + 1)) // (total + terms) AS p, 1 + (1000000000::HUGEINT * (all_n + 1)) // (all_total + terms) AS q FROM s JOIN v USING (lang)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+y AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, 'pair' AS part, item, value FROM y UNION ALL
+      SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM z)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 200""")
+def source_divergence(spark, folder):
+    from tidewright.llm.divergence import audit
+    return audit(table(spark, folder, "documents"))
