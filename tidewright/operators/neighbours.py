@@ -1,4 +1,4 @@
-"""Exact nearest neighbours without comparing everything with everything.
+"""Nearest neighbours without comparing everything with everything: exact by cells, or by hashed tables whose recall is measured.
 
 Data rows are put into cells by quantile cuts of a few columns. The table of cells (bounded: at most
 ``MAX_CELLS`` rows of bounds and counts) tells, for each query, a radius that surely holds k rows and hence
@@ -10,6 +10,7 @@ Data rows with a missing feature form a cell of their own which every query look
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -24,6 +25,8 @@ MAX_CELLS = 8192
 CHUNK = 4096
 #: The cell of data rows with a missing feature.
 GAPPY = -1
+#: Rows from which the medians of hashed projections come.
+SAMPLE = 4096
 
 
 def _cell_column(df: DataFrame, features: Sequence[str], n_cuts: int, n_dims: int):
@@ -36,6 +39,58 @@ def _cell_column(df: DataFrame, features: Sequence[str], n_cuts: int, n_dims: in
     return cell.cast("int")
 
 
+def _compared(q: DataFrame, d: DataFrame, features: Sequence[str], within: Sequence[str], k: int, exclude_same_id: bool, few_cells: bool) -> DataFrame:
+    """The k nearest rows of ``d`` in each cell for every row of ``q`` in it: (within, _q, _d, _dist), compared in chunks of bounded size on both sides."""
+    keys = [*within, "_cell"]
+    sizes = d.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_nd")).join(
+        q.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_nq")), keys)
+    sizes = F.broadcast(sizes) if few_cells else sizes
+    qs = q.join(sizes, keys).withColumn("_qc", F.pmod(F.xxhash64("_q"), F.col("_nq")))
+    qs = qs.withColumn("_dc", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1))).drop("_nd", "_nq")
+    ds = d.join(sizes, keys).withColumn("_dc", F.pmod(F.xxhash64("_d"), F.col("_nd")).cast("int"))
+    ds = ds.withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq").cast("bigint") - 1))).drop("_nd", "_nq")
+    block = [*keys, "_dc", "_qc"]
+    q_type, d_type = q.schema["_q"].dataType.simpleString(), d.schema["_d"].dataType.simpleString()
+    out_fields = ", ".join([f"`{w}` {q.schema[w].dataType.simpleString()}" for w in within] + [f"_q {q_type}", f"_d {d_type}", "_dist double"])
+
+    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("_d")
+        ids, own = right["_d"].to_numpy(), left["_q"].to_numpy()
+        x, y = left[features].to_numpy(dtype=float), right[features].to_numpy(dtype=float)
+        row, near, far = [], [], []
+        for at in range(0, len(x), 256):
+            dist = np.zeros((len(x[at:at + 256]), len(y)))
+            lacks = np.zeros(dist.shape)
+            for f in range(len(features)):
+                apart = x[at:at + 256, f, None] - y[None, :, f]
+                absent = np.isnan(apart)
+                if absent.any():
+                    lacks += absent
+                    apart[absent] = 0.0
+                dist += apart ** 2
+            if lacks.any():
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = np.where(lacks < len(features), dist * len(features) / (len(features) - lacks), np.inf)
+            dist = np.sqrt(dist)
+            if exclude_same_id:
+                dist[own[at:at + 256, None] == ids[None, :]] = np.inf
+            pick = np.argsort(dist, axis=1, kind="stable")[:, :k]  # rows are in id order, so ties keep the smaller id
+            row.append(np.repeat(np.arange(at, at + len(dist)), pick.shape[1]))
+            near.append(ids[pick].ravel())
+            far.append(np.take_along_axis(dist, pick, axis=1).ravel())
+        out = left[[*within, "_q"]].iloc[np.concatenate(row)].reset_index(drop=True)
+        out["_d"], out["_dist"] = np.concatenate(near), np.concatenate(far)
+        return out[np.isfinite(out["_dist"].to_numpy())][[*within, "_q", "_d", "_dist"]]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[*within, "_q", "_d", "_dist"])
+        return closest(left, right)
+
+    return qs.join(ds.select(*block).distinct(), block, "left_semi").groupBy(*block).cogroup(
+        ds.join(qs.select(*block).distinct(), block, "left_semi").groupBy(*block)).applyInPandas(run, out_fields)
+
+
 def nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, features: Sequence[str], k: int,
             within: Sequence[str] = (), exclude_same_id: bool = False, n_cuts: int | None = None, n_dims: int = 3) -> DataFrame:
     """The k nearest data rows of each query by Euclidean distance: (query_id, within, data_id, distance, place).
@@ -104,54 +159,91 @@ def nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, fe
     else:
         q = q.withColumn("_cell", F.lit(0))
     q = settle(q)
-    keys = [*within, "_cell"]
-    sizes = cells.select(*keys, F.ceil(F.col("_m") / CHUNK).cast("int").alias("_nd")).join(
-        q.groupBy(*keys).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_nq")), keys)
-    sizes = F.broadcast(sizes) if pruned else sizes
-    qs = q.join(sizes, keys).withColumn("_qc", F.pmod(F.xxhash64("_q"), F.col("_nq")))
-    qs = qs.withColumn("_dc", F.explode(F.sequence(F.lit(0), F.col("_nd") - 1))).drop("_nd", "_nq")
-    ds = d.join(sizes, keys).withColumn("_dc", F.pmod(F.xxhash64("_d"), F.col("_nd")).cast("int"))
-    ds = ds.withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq").cast("bigint") - 1))).drop("_nd", "_nq")
-    block = [*keys, "_dc", "_qc"]
-    q_type, d_type = q.schema["_q"].dataType.simpleString(), d.schema["_d"].dataType.simpleString()
-    out_fields = ", ".join([f"`{w}` {q.schema[w].dataType.simpleString()}" for w in within] + [f"_q {q_type}", f"_d {d_type}", "_dist double"])
+    found = _compared(q, d, features, within, k, exclude_same_id, pruned)
+    w = Window.partitionBy(*within, "_q").orderBy("_dist", "_d")
+    top = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return top.select(*within, F.col("_q").alias(query_id), F.col("_d").alias(f"{data_id}_near"), F.col("_dist").alias("distance"), "place")
 
-    def closest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("_d")
-        ids, own = right["_d"].to_numpy(), left["_q"].to_numpy()
-        x, y = left[features].to_numpy(dtype=float), right[features].to_numpy(dtype=float)
-        row, near, far = [], [], []
-        for at in range(0, len(x), 256):
-            dist = np.zeros((len(x[at:at + 256]), len(y)))
-            lacks = np.zeros(dist.shape)
-            for f in range(len(features)):
-                apart = x[at:at + 256, f, None] - y[None, :, f]
-                absent = np.isnan(apart)
-                if absent.any():
-                    lacks += absent
-                    apart[absent] = 0.0
-                dist += apart ** 2
-            if lacks.any():
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.where(lacks < len(features), dist * len(features) / (len(features) - lacks), np.inf)
-            dist = np.sqrt(dist)
-            if exclude_same_id:
-                dist[own[at:at + 256, None] == ids[None, :]] = np.inf
-            pick = np.argsort(dist, axis=1, kind="stable")[:, :k]  # rows are in id order, so ties keep the smaller id
-            row.append(np.repeat(np.arange(at, at + len(dist)), pick.shape[1]))
-            near.append(ids[pick].ravel())
-            far.append(np.take_along_axis(dist, pick, axis=1).ravel())
-        out = left[[*within, "_q"]].iloc[np.concatenate(row)].reset_index(drop=True)
-        out["_d"], out["_dist"] = np.concatenate(near), np.concatenate(far)
-        return out[np.isfinite(out["_dist"].to_numpy())][[*within, "_q", "_d", "_dist"]]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[*within, "_q", "_d", "_dist"])
-        return closest(left, right)
+# ------------------------------------------------------------------ hashed tables
+def _flips(bits: int, most: int = 3, among: int = 10) -> np.ndarray:
+    """Which of the ``among`` bits nearest to their cut may turn over together, ``most`` at a time; the first row turns none."""
+    n = min(bits, among)
+    sets = [c for m in range(most + 1) for c in itertools.combinations(range(n), m)]
+    out = np.zeros((len(sets), n), dtype=np.int64)
+    for row, c in enumerate(sets):
+        out[row, list(c)] = 1
+    return out
 
-    found = qs.join(ds.select(*block).distinct(), block, "left_semi").groupBy(*block).cogroup(
-        ds.join(qs.select(*block).distinct(), block, "left_semi").groupBy(*block)).applyInPandas(run, out_fields)
+
+def hashed_nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id: str, features: Sequence[str], k: int, within: Sequence[str] = (),
+                   exclude_same_id: bool = False, tables: int = 10, probes: int = 12, bucket: int = 1024, seed: int = 0) -> DataFrame:
+    """Near neighbours by hashed random projections, in the form of ``nearest``: distances are exact, a neighbour may be missed (see ``recall``).
+
+    Each of ``tables`` hash tables has one bit per random direction: on which side of the median a row lies. As many bits as bring a bucket down to about ``bucket``
+    rows, so the work per query doesn't grow with the data. A query looks into its own bucket and into the ``probes`` - 1 next ones, those which it nearly fell into
+    (fewest and smallest margins). Query and data rows meet by an equi-join on table and bucket; a bucket of any size is compared in bounded chunks.
+    Directions are drawn from ``seed``, medians come from ``SAMPLE`` rows, the first by a hash of their id; all rows are in the tables.
+
+    Rows with a missing feature have no side: they are compared exactly, queries among them with all rows, data rows among them with all queries.
+    """
+    features, within = list(features), list(within)
+    vector = F.array(*features)
+    whole = ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    cast = [F.col(f).cast("double").alias(f) for f in features]
+    d = settle(data.select(*within, F.col(data_id).alias("_d"), *cast).withColumn("_whole", whole))
+    q = settle(queries.select(*within, F.col(query_id).alias("_q"), *cast).withColumn("_whole", whole))
+    counts = d.agg(F.count_if("_whole").alias("n"), F.count_if(~F.col("_whole")).alias("gappy")).first()
+    bits = min(30, max(0, math.ceil(math.log2(max(1, counts["n"]) / bucket))))
+    sample = d.filter("_whole").orderBy(F.xxhash64("_d", F.lit(seed)), "_d").limit(SAMPLE).select(vector.alias("x")).collect()
+    rng = np.random.default_rng(seed)
+    planes = rng.normal(size=(len(features), tables * bits))
+    cuts = np.median(np.array([r["x"] for r in sample], dtype=float).reshape(len(sample), len(features)) @ planes, axis=0) if sample else np.zeros(tables * bits)
+    flips, weight = _flips(bits), 1 << np.arange(bits, dtype=np.int64)
+    label = np.arange(tables, dtype=np.int64) << 32
+
+    @F.pandas_udf("array<long>")
+    def own(x: pd.Series) -> pd.Series:
+        side = (np.stack(x.to_numpy()) @ planes > cuts).reshape(len(x), tables, bits)
+        return pd.Series(list(side @ weight + label))
+
+    @F.pandas_udf("array<long>")
+    def looks(x: pd.Series) -> pd.Series:
+        off = (np.stack(x.to_numpy()) @ planes - cuts).reshape(len(x), tables, bits)
+        code = (off > 0) @ weight + label
+        near = np.argsort(np.abs(off), axis=2, kind="stable")[:, :, :flips.shape[1]]
+        cost = np.take_along_axis(off ** 2, near, axis=2) @ flips.T.astype(float)
+        pick = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+        turned = (flips[pick] * weight[near][:, :, None, :]).sum(axis=3)
+        return pd.Series(list((code[:, :, None] ^ turned).reshape(len(x), -1)))
+
+    ds = d.filter("_whole").drop("_whole").withColumn("_cell", F.explode(own(vector)))
+    qs = q.filter("_whole").drop("_whole").withColumn("_cell", F.explode(looks(vector)))
+    found = _compared(settle(qs), settle(ds), features, within, k, exclude_same_id, False)
+    names = [*within, "_q", "_d", "_dist"]
+    others = [] if not counts["gappy"] else [(q.filter("_whole"), d.filter("not _whole"))]
+    others += [] if not q.filter("not _whole").limit(1).count() else [(q.filter("not _whole"), d)]
+    for left, right in others:
+        exact = nearest(left, right, "_q", "_d", features, k, within, exclude_same_id)
+        found = found.select(*names).unionByName(exact.select(*within, "_q", F.col("_d_near").alias("_d"), F.col("distance").alias("_dist")))
+    once = found.groupBy(*within, "_q", "_d").agg(F.min("_dist").alias("_dist"))  # a pair may meet in several tables
     w = Window.partitionBy(*within, "_q").orderBy("_dist", "_d")
-    top = found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    top = once.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
     return top.select(*within, F.col("_q").alias(query_id), F.col("_d").alias(f"{data_id}_near"), F.col("_dist").alias("distance"), "place")
+
+
+def recall(found: DataFrame, queries: DataFrame, data: DataFrame, query_id: str, data_id: str, features: Sequence[str], k: int, within: Sequence[str] = (),
+           exclude_same_id: bool = False, one_in: int = 20) -> DataFrame:
+    """One row (``n_queries``, ``n_wanted``, ``n_found``, ``recall``): ``found`` against exact neighbours among all data, for one query in ``one_in`` by id hash.
+
+    A neighbour counts as found if it is as near as the exact one at its place: ties are no misses.
+    """
+    some = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(one_in)) == 0)
+    exact = nearest(some, data, query_id, data_id, features, k, within, exclude_same_id)
+    got = found.select(*within, query_id, "place", F.col("distance").alias("_got"))
+    both = exact.join(got, [*within, query_id, "place"], "left")
+    # a miss moves what follows up, so neighbours are counted by their distance and not by their place
+    near = both.groupBy(*within, query_id).agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("distance")).alias("_want"), F.collect_list("_got").alias("_have"))
+    kth = F.element_at("_want", -1)
+    hits = near.select(F.col("_n"), F.least(F.size(F.filter("_have", lambda x: x <= kth * (1 + 1e-12))), F.col("_n")).alias("_hit"))
+    return hits.agg(F.count("*").alias("n_queries"), F.sum("_n").alias("n_wanted"), F.sum("_hit").cast("long").alias("n_found"), (F.sum("_hit") / F.sum("_n")).alias("recall"))

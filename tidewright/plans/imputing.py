@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import columns as C
 from tidewright.operators import impute
-from tidewright.operators.neighbours import nearest
+from tidewright.operators.neighbours import hashed_nearest, nearest, recall
 from tidewright.plans.panels import S, SQL_HOURLY, hourly_grid, r
 from tidewright.plans.registry import query
 from tidewright.session import settle
@@ -27,6 +27,32 @@ def j9(t):
     return near.select("vec_id", "vec_id_near", "place", r("distance").alias("distance"))
 
 
+_FEATURES = [f"e{i}" for i in range(64)]
+
+
+def _hashed(t):
+    rows = settle(_unnest(t))
+    return rows, hashed_nearest(rows, rows, "vec_id", "vec_id", _FEATURES, 3, exclude_same_id=True, bucket=128)
+
+
+@query("j9_hashed_neighbours")
+def j9h(t):
+    return _hashed(t)[1]
+
+
+@query("j9_hashed_recall", """SELECT count(*) AS n_rows, CAST(3 * count(*) AS BIGINT) AS n_neighbours, true AS exact_distances, true AS recall_reached FROM embeddings""")
+def j9r(t):
+    rows, near = _hashed(t)
+    near = settle(near)
+    vectors = rows.select("vec_id", F.array(*_FEATURES).alias("x"))
+    both = near.join(vectors, "vec_id").join(vectors.select(F.col("vec_id").alias("vec_id_near"), F.col("x").alias("y")), "vec_id_near")
+    true = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    off = both.agg(F.max(F.abs(true - F.col("distance"))).alias("off")).select("off").scalar()
+    reached = recall(near, rows, rows, "vec_id", "vec_id", _FEATURES, 3, exclude_same_id=True).select("recall").scalar()
+    return near.agg(F.count_distinct("vec_id").alias("n_rows"), F.count("*").alias("n_neighbours")).select(
+        "n_rows", "n_neighbours", (off < 1e-9).alias("exact_distances"), (reached >= 0.9).alias("recall_reached"))
+
+
 @query("l36_nearest_label_accuracy", f"{_NEAR} SELECT count(*) AS n, round(avg((label = near_label)::INTEGER), 8) AS accuracy FROM k WHERE place = 1")
 def l36(t):
     rows = settle(_unnest(t))
