@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import columns as C
 from tidewright.functions.gridtime import floor_to, position, slot_start
-from tidewright.operators import anomaly, multivariate as mv, profile, risk
+from tidewright.operators import anomaly, breaks, multivariate as mv, profile, risk
 from tidewright.operators.ordering import attach
 from tidewright.operators.risk import widen
-from tidewright.plans.panels import S, SQL_EWMA_PAIRS, SQL_FILLED, SQL_RETURNS, daily_filled, daily_returns, hourly_filled, r
+from tidewright.plans.panels import S, SQL_EWMA_PAIRS, SQL_FILLED, SQL_MONTHLY, SQL_RETURNS, daily_filled, daily_returns, hourly_filled, monthly, r
 from tidewright.plans.registry import query
 from tidewright.session import settle
 
@@ -222,6 +222,39 @@ def m10o(t):
     return out.select("series", "segment", "first_pos", "last_pos", r("mean", 3).alias("mean"))
 
 
+@query("m10_exact_breaks", f"""WITH {SQL_RETURNS}, c AS (SELECT series, pos, row_number() OVER w AS i, sum(v) OVER w AS s, count(*) OVER (PARTITION BY series) AS n
+FROM (SELECT *, x - avg(x) OVER (PARTITION BY series) AS v FROM dfilled) WINDOW w AS (PARTITION BY series ORDER BY pos)),
+g AS (SELECT a.series, a.i AS i1, b.i AS i2, a.s * a.s / a.i + (b.s - a.s) * (b.s - a.s) / (b.i - a.i) + b.s * b.s / (b.n - b.i) AS gain
+      FROM c a JOIN c b ON a.series = b.series AND a.i >= 60 AND b.i - a.i >= 60 AND b.n - b.i >= 60),
+k AS (SELECT series, max_by({{'a': i1, 'b': i2}}, gain) AS k FROM g GROUP BY 1),
+o AS (SELECT series, 1 AS number, k.a + 1 AS i FROM k UNION ALL SELECT series, 2, k.b + 1 FROM k)
+SELECT o.series, o.number, c.pos AS break_pos FROM o JOIN c ON c.series = o.series AND c.i = o.i""")
+def m10e(t):
+    return breaks.fixed_breaks(daily_filled(t), S, "pos", "x", 2, 60).select("series", "number", "break_pos")
+
+
+@query("m10_exact_segment_means")
+def m10em(t):
+    rows = daily_filled(t)
+    return anomaly.segment_means(rows, S, "pos", "x", breaks.fixed_breaks(rows, S, "pos", "x", 3, 60))
+
+
+@query("m10_penalised_breaks", f"""WITH RECURSIVE {SQL_MONTHLY},
+c AS (SELECT series, pos, row_number() OVER (PARTITION BY series ORDER BY pos) AS i, x - avg(x) OVER (PARTITION BY series) AS v, 3 * var_pop(x) OVER (PARTITION BY series) AS beta FROM monthly),
+t AS (SELECT *, sum(v) OVER w AS s, sum(v * v) OVER w AS q FROM c WINDOW w AS (PARTITION BY series ORDER BY i)),
+l AS (SELECT series, any_value(beta) AS beta, count(*) AS n, list_concat([0.0::DOUBLE], list(s ORDER BY i)) AS s, list_concat([0.0::DOUBLE], list(q ORDER BY i)) AS q FROM t GROUP BY 1),
+rec AS (SELECT series, CAST(0 AS BIGINT) AS i, [-beta] AS f, [CAST(-1 AS BIGINT)] AS way FROM l
+        UNION ALL SELECT series, i + 1, list_append(f, list_min(o)), list_append(way, list_position(o, list_min(o)) - 1) FROM
+          (SELECT rec.series, rec.i, f, way, list_transform(range(0, rec.i + 1), lambda b: CASE WHEN rec.i + 1 - b >= 2
+             THEN f[b + 1] + q[rec.i + 2] - q[b + 1] - (s[rec.i + 2] - s[b + 1]) * (s[rec.i + 2] - s[b + 1]) / (rec.i + 1 - b) + beta ELSE 'infinity'::DOUBLE END) AS o
+           FROM rec JOIN l ON l.series = rec.series WHERE rec.i < l.n)),
+bt AS (SELECT rec.series, way, way[rec.i + 1] AS b FROM rec JOIN l ON l.series = rec.series AND rec.i = l.n
+       UNION ALL SELECT series, way, way[b + 1] FROM bt WHERE b > 0)
+SELECT bt.series, CAST(row_number() OVER (PARTITION BY bt.series ORDER BY b) AS INTEGER) AS number, c.pos AS break_pos FROM bt JOIN c ON c.series = bt.series AND c.i = bt.b + 1 WHERE b > 0""")
+def m10p(t):
+    return breaks.penalised_breaks(monthly(t), S, "pos", "x").select("series", "number", "break_pos")
+
+
 @query("m11_deseasonalised", f"""WITH {SQL_RETURNS}, d AS (SELECT series, date_trunc('month', ts) AS ts, avg(x) AS m FROM dfilled GROUP BY 1, 2)
 SELECT series, ts, round(m - avg(m) OVER (PARTITION BY series, month(ts)), 4) + 0.0 AS anomaly FROM d""")
 def m11(t):
