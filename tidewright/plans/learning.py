@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import columns as C
 from tidewright.functions.gridtime import slot_start
-from tidewright.operators import (classify as cl, decompose, explain as ex, features as ft, forecast as fc, learn as ln,
+from tidewright.operators import (boosting as bt, classify as cl, decompose, explain as ex, features as ft, forecast as fc, learn as ln,
                                   scoring as sc, simulate as sim)
 from tidewright.operators.ordering import attach, lag_of, look_around, rolling
 from tidewright.plans.panels import S, SQL_PREDICTIONS, TEST_HOURS, hourly_filled, r
@@ -188,6 +188,14 @@ def l25(t):
     return sc.quantile_reliability(rows, S, "x", {0.1: "q10", 0.5: "q50", 0.9: "q90"})
 
 
+@query("l25_boosted_quantiles")
+def l25b(t):
+    train, test = _parts(t)
+    levels = {0.1: "q10", 0.5: "q50", 0.9: "q90"}
+    forest = bt.fit(train, LAGS + CALENDAR, "x", "quantile", list(levels), rounds=15, depth=3, rate=0.25)
+    return sc.quantile_reliability(bt.predict(forest, test, list(levels.values())), S, "x", levels)
+
+
 @query("l27_count_losses")
 def l27(t):
     train, test = _parts(t)
@@ -264,6 +272,13 @@ def l41b(t):
     return cl.roc_auc(ln.score(model, test, ORDER_FEATURES, "flag", prob="p"), "high", "p")
 
 
+@query("l41_softmax_boosted")
+def l41s(t):
+    train, test = _order_parts(t)
+    forest = bt.fit(train, ORDER_FEATURES, "grade", "softmax", GRADES, rounds=10, depth=3, rate=0.3)
+    return _graded(bt.predict_class(forest, test, "p"), "p")
+
+
 @query("l43_rare_class_recall")
 def l43(t):
     train, test = _order_parts(t)
@@ -370,6 +385,69 @@ def l56g(t):
     return ex.global_attribution(ex.sampled_shapley(test, "l_orderkey", ORDER_FEATURES, predict, n_permutations=_PERMUTATIONS))
 
 
+@query("l56_tree_attribution")
+def l56t(t):
+    model, test, _ = _explained(t)
+    return bt.tree_attribution(bt.from_ml(model, ORDER_FEATURES), test, "l_orderkey")
+
+
+@query("l56_tree_attribution_global")
+def l56tg(t):
+    model, test, _ = _explained(t)
+    return ex.global_attribution(bt.tree_attribution(bt.from_ml(model, ORDER_FEATURES), test, "l_orderkey"))
+
+
+# ------------------------------------------------------------------ one round of one split, which SQL can state
+_CUTS = {"qty": [50.5, 100.5, 150.5], "revenue": [50000.5, 150000.5, 250000.5], "discount": [0.03111, 0.05222], "tax": [0.03111, 0.04222]}
+_STUMP = """o AS (SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS qty, CAST(sum(l_extendedprice) AS DOUBLE) AS revenue, avg(l_discount) AS discount, avg(l_tax) AS tax,
+                     CAST(least(count(*) + 2, 9) AS DOUBLE) AS y FROM lineitem GROUP BY 1),
+x AS (UNPIVOT o ON qty, revenue, discount, tax INTO NAME feature VALUE v),
+c AS (SELECT * FROM (VALUES """ + ", ".join(f"('{f}', {j}, CAST({c} AS DOUBLE))" for j, (f, cs) in enumerate(_CUTS.items()) for c in cs) + ") AS t(feature, j, cut)),\n"
+# needs gr (l_orderkey, k, g, h): gradients by output
+_SPLITS = """s AS (SELECT k, j, feature, cut, sum(g) FILTER (v <= cut) AS gl, sum(h) FILTER (v <= cut) AS hl, count(*) FILTER (v <= cut) AS nl,
+                   sum(g) FILTER (v > cut) AS gr, sum(h) FILTER (v > cut) AS hr, count(*) FILTER (v > cut) AS nr FROM gr JOIN x USING (l_orderkey) JOIN c USING (feature) GROUP BY 1, 2, 3, 4),
+b AS (SELECT * FROM (SELECT *, gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1) AS gain FROM s WHERE nl >= 20 AND nr >= 20)
+      QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(gain, 9) DESC, j, cut) = 1)"""
+_NEWTON = """SELECT output, node, feature, cut, round(value, 8) + 0.0 AS value, cover FROM (
+  SELECT k AS output, 1 AS node, feature, cut, CAST(NULL AS DOUBLE) AS value, nl + nr AS cover FROM b
+  UNION ALL SELECT k, 2, NULL, NULL, 0.5 * gl / (hl + 1), nl FROM b UNION ALL SELECT k, 3, NULL, NULL, 0.5 * gr / (hr + 1), nr FROM b)"""
+
+
+def _stump(t, label, loss, outputs):
+    rows = _orders(t)
+    forest = bt.fit(rows, ORDER_FEATURES, label, loss, outputs, rounds=1, depth=1, rate=0.5, min_rows=20, cuts=_CUTS)
+    return rows, forest, forest.nodes(rows.sparkSession).select("output", "node", "feature", "cut", r("value", 8).alias("value"), "cover")
+
+
+@query("l11_boosted_stump", f"""WITH {_STUMP} gr AS (SELECT l_orderkey, '0' AS k, y - avg(y) OVER () AS g, 1.0 AS h FROM o), {_SPLITS} {_NEWTON}""")
+def l11s(t):
+    return _stump(t, "grade", "squared", [0])[2]
+
+
+@query("l41_softmax_stump", f"""WITH {_STUMP} p AS (SELECT y AS k, count(*) / sum(count(*)) OVER () AS p FROM o GROUP BY 1),
+gr AS (SELECT l_orderkey, CAST(CAST(k AS INTEGER) AS VARCHAR) AS k, (y = k)::INTEGER - p AS g, p * (1 - p) AS h FROM o, p), {_SPLITS} {_NEWTON}""")
+def l41st(t):
+    return _stump(t, "grade", "softmax", GRADES)[2]
+
+
+@query("l25_quantile_stump", f"""WITH {_STUMP} q AS (SELECT 0.3 AS p, quantile_disc(y, 0.3) AS f FROM o UNION ALL SELECT 0.6, quantile_disc(y, 0.6) FROM o),
+gr AS (SELECT l_orderkey, CAST(p AS VARCHAR) AS k, CASE WHEN y > f THEN p ELSE p - 1 END AS g, 1.0 AS h, y - f AS res FROM o, q), {_SPLITS},
+lf AS (SELECT k, node, count(*) AS cover, CASE WHEN k = '0.3' THEN quantile_disc(res, 0.3) ELSE quantile_disc(res, 0.6) END AS q FROM
+         (SELECT b.k, gr.res, CASE WHEN x.v > b.cut THEN 3 ELSE 2 END AS node FROM b JOIN gr USING (k) JOIN x ON x.l_orderkey = gr.l_orderkey AND x.feature = b.feature) GROUP BY 1, 2)
+SELECT k AS output, 1 AS node, feature, cut, CAST(NULL AS DOUBLE) AS value, nl + nr AS cover FROM b UNION ALL SELECT k, node, NULL, NULL, round(0.5 * q, 8) + 0.0, cover FROM lf""")
+def l25s(t):
+    return _stump(t, "grade", "quantile", [0.3, 0.6])[2]
+
+
+@query("l56_stump_attribution", f"""WITH {_STUMP} gr AS (SELECT l_orderkey, '0' AS k, y - avg(y) OVER () AS g, 1.0 AS h FROM o), {_SPLITS},
+m AS (SELECT feature, cut, 0.5 * gl / (hl + 1) AS lo, 0.5 * gr / (hr + 1) AS hi, nl, nr FROM b),
+a AS (SELECT l_orderkey, x.feature, v, CASE WHEN x.feature <> m.feature THEN 0.0 ELSE (CASE WHEN v > cut THEN hi ELSE lo END) - (lo * nl + hi * nr) / (nl + nr) END AS a, (lo * nl + hi * nr) / (nl + nr) AS mean FROM x, m)
+SELECT l_orderkey, feature, round(a, 8) + 0.0 AS attribution, round(sum(a) OVER (PARTITION BY l_orderkey) + mean + (SELECT avg(y) FROM o), 8) AS yhat FROM a""")
+def l56s(t):
+    rows, forest, _ = _stump(t, "grade", "squared", [0])
+    return bt.tree_attribution(forest, rows, "l_orderkey").select("l_orderkey", "feature", r("attribution", 8).alias("attribution"), r("yhat", 8).alias("yhat"))
+
+
 # ------------------------------------------------------------------ scenarios
 _SD = {"lag_24": 15.0, "roll24": 8.0}
 
