@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import columns as C
 from tidewright.functions.gridtime import slot_start
-from tidewright.operators import (boosting as bt, classify as cl, decompose, explain as ex, features as ft, forecast as fc, learn as ln,
+from tidewright.operators import (arma, boosting as bt, classify as cl, decompose, explain as ex, features as ft, forecast as fc, learn as ln,
                                   scoring as sc, simulate as sim)
 from tidewright.operators.ordering import attach, lag_of, look_around, rolling
 from tidewright.plans.panels import S, SQL_PREDICTIONS, TEST_HOURS, hourly_filled, r
@@ -82,6 +82,39 @@ def l9f(t):
     return out.select("series", "step", "order", r("yhat").alias("yhat"), r("sigma").alias("sigma"))
 
 
+@query("l9_seasonal_arma")
+def l9m(t):
+    train, test = _split_x(t)
+    out = arma.arma_forecast(train, S, "pos", "x", TEST_HOURS, p=1, q=1, seasonal_d=1, m=24, seasonal_q=1)
+    return sc.accuracy(_scored(out, test), S, "x", "yhat")
+
+
+_MA = f"""{SQL_PREDICTIONS}, tr AS (SELECT series, pos, x, lag(x) OVER w AS x1 FROM preds WHERE part = 'train' AND x IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY pos)),
+f AS (SELECT series, regr_slope(x, x1) AS b, regr_intercept(x, x1) AS a FROM tr WHERE x1 IS NOT NULL GROUP BY 1),
+e AS (SELECT series, pos, x, lag(x - a - b * x1) OVER (PARTITION BY series ORDER BY pos) AS e1 FROM tr JOIN f USING (series)),
+g AS (SELECT series, regr_slope(x, e1) AS th, regr_intercept(x, e1) AS c, (regr_syy(x, e1) - pow(regr_sxy(x, e1), 2) / regr_sxx(x, e1)) / (count(e1) - 2) AS s2 FROM e WHERE e1 IS NOT NULL GROUP BY 1),
+z AS (SELECT *, max(pos) OVER (PARTITION BY series) AS last FROM tr),
+k AS (SELECT series, any_value(c) AS c, any_value(th) AS th, any_value(s2) AS s2, any_value(last) AS last, sum((x - c) * pow(-th, last - pos)) AS en
+      FROM z JOIN g USING (series) WHERE pos > last - {arma.TAIL} GROUP BY 1),
+fc AS (SELECT series, CAST(h AS INTEGER) AS step, last + h AS pos, c + CASE WHEN h = 1 THEN th * en ELSE 0 END AS yhat, sqrt(s2 * CASE WHEN h = 1 THEN 1 ELSE 1 + th * th END) AS sigma
+       FROM k CROSS JOIN generate_series(1, {{}}) AS t(h))"""
+
+
+@query("l9_moving_average_forecast", f"""WITH {_MA.format(12)} SELECT series, step, round(yhat, 6) AS yhat, round(sigma, 6) AS sigma FROM fc""")
+def l9ma(t):
+    out = arma.arma_forecast(_split_x(t)[0], S, "pos", "x", 12, p=0, q=1, long_lags=[1], choose=False)
+    return out.select("series", "step", r("yhat").alias("yhat"), r("sigma").alias("sigma"))
+
+
+@query("l60_moving_average_interval", f"""WITH {_MA.format(TEST_HOURS)} SELECT series, round(avg((abs(p.x - yhat) <= 1.96 * sigma)::INTEGER), 8) AS coverage, round(avg(2 * 1.96 * sigma), 6) AS mean_width
+FROM fc JOIN preds p USING (series, pos) WHERE p.x IS NOT NULL GROUP BY 1""")
+def l60m(t):
+    train, test = _split_x(t)
+    rows = _scored(arma.arma_forecast(train, S, "pos", "x", TEST_HOURS, p=0, q=1, long_lags=[1], choose=False), test)
+    out = sc.coverage(rows, S, "x", F.col("yhat") - 1.96 * F.col("sigma"), F.col("yhat") + 1.96 * F.col("sigma"))
+    return out.select("series", r("coverage", 8).alias("coverage"), r("width").alias("mean_width"))
+
+
 @query("l60_parametric_interval")
 def l60(t):
     train, test = _split_x(t)
