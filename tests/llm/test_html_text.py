@@ -107,3 +107,45 @@ def test_languages_without_stop_words_tables_and_teasers_outside_articles():
     teaser = "<article><h3>Teaser</h3><p>Apples, pears, plums, cherries, oranges, lemons, melons, berries, grapes, figs</p></article>"
     assert main_text(f"<div><p>{RUN}</p><p>{RUN}</p></div>{teaser}")[0].startswith(f"{RUN}\n{RUN}")
     assert main_text(f"<p>{RUN}</p><article><p>{RUN}</p><p>{RUN}</p></article>")[0] == f"{RUN}\n{RUN}"
+
+
+def test_what_the_layout_names_goes_from_articles_too():
+    heading = "<h3>Comments</h3>"
+    for holder in ("article", "main"):
+        for other in (f'<div id="comments"><p>{RUN}</p></div>', f'<div id="comments">{heading}<p>{RUN}</p></div>', f'<section id="comments">{heading}<p>{RUN}</p></section>',
+                      f'<div class="user-comments"><p>{RUN}</p></div>', f'<div id="comments"><article><p>{RUN}</p></article><article><p>{RUN}</p></article></div>',
+                      f'<ol class="comment-list"><li>{RUN}</li></ol>', f'<div id="respond"><p>{RUN}</p></div>', f'<div id="disqus_thread"><p>{RUN}</p></div>',
+                      f'<article class="user-comment"><p>{RUN}</p></article>', f'<div class="notice"><p>{RUN}</p></div>', f'<div class="cookie-notice"><p>{RUN}</p></div>',
+                      f'<div class="ad-box"><p>{RUN}</p></div>', f'<div id="sidebar"><p>{RUN}</p></div>', f'<div class="left-sidebar"><p>{RUN}</p></div>',
+                      f'<div class="newsletter-signup"><p>{RUN}</p></div>', f'<div class="related"><p>{RUN}</p></div>', f'<div class="related-posts"><p>{RUN}</p></div>',
+                      f'<div class="share-buttons"><p>{RUN}</p></div>', f'<div role="complementary"><p>{RUN}</p></div>'):
+            assert main_text(f"<{holder}><p>{RUN}</p>{other}<p>{RUN}</p></{holder}>")[0] == f"{RUN}\n{RUN}", (holder, other)
+
+
+def test_what_articles_say_stays():
+    links = '<ul><li><a href="1">See one</a></li><li><a href="2">See two</a></li></ul>'
+    for part, want in (("<p>" + RUN + " <label>word</label> more of it</p>", [RUN + " word more of it"]), (links, ["See one", "See two"]),
+                       (f'<section id="comments-on-method"><h2>Comments on method</h2><p>{RUN}</p></section>', ["Comments on method", RUN]),
+                       (f'<section id="ad-spending"><h2>Spending</h2><p>{RUN}</p></section>', ["Spending", RUN]),
+                       (f'<section class="discussion"><h2>Discussion</h2><p>{RUN}</p></section>', ["Discussion", RUN]),
+                       (f'<div class="comments-open"><p>{RUN}</p></div>', [RUN]), (f'<div id="share"><h2>Market share</h2><p>{RUN}</p></div>', ["Market share", RUN]),
+                       (f'<p>{RUN} A <span class="sponsored-term">word</span> of it.</p>', [f"{RUN} A word of it."])):
+        assert main_text(f"<article><p>{RUN}</p>{part}<p>{RUN}</p></article>")[0].split("\n") == [RUN, *want, RUN], part
+
+
+def test_pages_of_short_blocks_only():
+    assert main_text("<body><p>Hello world.</p></body>")[0] == "Hello world."
+    assert main_text("<body><p>Привет, мир.</p><p>Как дела?</p></body>")[0] == "Привет, мир.\nКак дела?"
+    assert main_text('<nav><a href=/>Home</a></nav><p>Hello world.</p><footer>&copy; x</footer>')[0] == "Hello world."
+
+
+def test_deep_and_unbalanced_pages_take_linear_time():
+    import time
+    for make in (lambda n: "<div>" * n + "</p></section>" * n + "x", lambda n: "<article>" + '<div id="search-x">' * n + "x" + "</div>" * n,
+                 lambda n: "<article>" + '<div id="search-x"><p>x</p>' * n):
+        took = []
+        for n in (4000, 16000):
+            t = time.process_time()
+            main_text(make(n))
+            took.append(time.process_time() - t)
+        assert took[1] < 10 * took[0] + 0.3

@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -52,14 +53,24 @@ newsletter subscribe subscription signup login paywall form search share sharing
 recommendations recirculation trending popular outbrain taboola pagination pager copyright legal disclaimer skip toc tags tagcloud
 """.split())
 _MAIN = frozenset("article articlebody main maincontent entrycontent postcontent postbody storybody".split())
-_SKIPPED = frozenset("nav footer aside form button dialog menu label fieldset".split())
+_SKIPPED = frozenset("nav footer aside form button dialog menu fieldset".split())
 # Parts that make a name speak of the page's layout or state, as in no-sidebar or comments-open.
 _STATES = frozenset("with has no without open closed".split())
 _BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html
-legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button label""".split())
+legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul button""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Whole class names that may as well name what an article's section is about.
-_TOPICS = frozenset("alert discussion disclaimer form legal notice notices popular related search social tags trending".split())
+# Whole names that may as well name what an article's section is about: as ids, as classes of a section, and (the first ones) as any class.
+_SUBJECTS = frozenset("discussion disclaimer legal tags".split())
+_TOPICS = _SUBJECTS | frozenset("alert form notice notices popular related search social trending".split())
+# Parts of names that tell by themselves also in an article.
+_STRICT = frozenset("""ad ads advert adverts advertisement adsense adslot sponsored promo cookie cookies consent gdpr sidebar widget widgets newsletter subscribe subscription signup login paywall
+navbar breadcrumb breadcrumbs pagination pager comment comments commentlist respond disqus outbrain taboola popup""".split())
+# Parts that tell when a part of the layout is named with them, as in share-buttons or related-posts.
+_LAYOUT = frozenset("""area articles bar bars block blocks bottom box boxes button buttons container content embed grid group icon icons item items left link links list lists module panel panels posts
+right row site stories strip top unit wrap wrapper""".split())
+# Ids that tell even where the section has a heading of its own.
+_PLAIN = frozenset("comments comment commentlist respond disqus disqusthread sidebar nav navigation navbar footer breadcrumbs newsletter signup".split())
+_HEADED = re.compile(rf"\s*(?:<header{_INSIDE}>\s*)?<h[1-6](?=[\s/>])", re.I)
 # A new one of these ends an open one of the same kind.
 _SELF = frozenset("p li dt dd option tr td th".split())
 _EDGES = re.compile(r"[^\w]+|_+")
@@ -70,6 +81,13 @@ _OPENS_BLOCK = re.compile(rf"<(?:{'|'.join(sorted(_BLOCKS - {'html', 'option', '
 _HEAD_END = re.compile(rf"</head\s*>|{_OPENS_BLOCK.pattern}", re.I)
 
 
+class Doubt:
+    """An element whose names suggest boilerplate, and what stands in it: (stop words, words, characters of links, of text)."""
+
+    def __init__(self, number: int, parent: Doubt | None):
+        self.number, self.parent, self.sums, self.unwanted = number, parent, [0, 0, 0, 0], False
+
+
 @dataclass
 class Block:
     text: str
@@ -77,7 +95,7 @@ class Block:
     heading: bool
     boiler: bool
     area: int  # number of the article it stands in; 0: none
-    doubts: tuple = ()  # numbers of the elements of an article around it whose names only suggest boilerplate
+    doubt: Doubt | None = None  # innermost element of an article around it whose names only suggest boilerplate
     label: str = ""
 
     @cached_property
@@ -110,10 +128,27 @@ def _hidden(given: dict[str, str]) -> bool:
             or "style" in given and bool(_UNSEEN.search(html.unescape(given["style"]))))
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+def _says(tag: str, k: str, whole: str, parts: list[str], headed: bool) -> str:
+    """What a name says of an element inside an article: boiler, doubt or nothing.
+
+    Names on the lists decide, as do parts that only layouts have. What may be a section's subject (an id above a heading, a topic) only makes doubtful.
+    """
+    known, plain = whole in _BOILER, _STATES.isdisjoint(parts)
+    if tag == "article" and not known:
+        return "boiler" if plain and not {"comment", "comments"}.isdisjoint(parts) else ""
+    if known:
+        spared = whole in _TOPICS if k == "id" else k == "class" and whole in (_TOPICS if tag == "section" else _SUBJECTS)
+        return "doubt" if spared or k == "id" and headed and whole not in _PLAIN else "boiler"
+    if not plain or _BOILER.isdisjoint(parts):
+        return ""
+    sure = tag in _BLOCKS and not (k == "id" and headed) and (not _STRICT.isdisjoint(parts) or not _LAYOUT.isdisjoint(parts))
+    return "boiler" if sure else "doubt"
+
+
+def _kind(tag: str, attributes: str, inside: bool, headed: bool) -> tuple[bool, bool, bool]:
     """(boilerplate, article, doubtful) that an opening tag says of what it holds.
 
-    In an article (``inside``) parts of names, ids and names that may be topics only make doubtful; a heading's id says nothing anywhere.
+    ``inside``: in an article. ``headed``: the element begins with a heading. A heading's id says nothing anywhere.
     """
     boiler, main, doubt = tag in _SKIPPED or tag == "header" and not inside, tag in ("article", "main"), False
     if attributes:
@@ -129,11 +164,11 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
                     main = True
                 elif heading and (k == "id" or inside and whole not in _BOILER):
                     continue
+                elif inside:
+                    said = _says(tag, k, whole, parts, headed)
+                    boiler, doubt = boiler or said == "boiler", doubt or said == "doubt"
                 elif whole in _BOILER or tag != "article" and _STATES.isdisjoint(parts) and not _BOILER.isdisjoint(parts):
-                    if inside and (k == "id" or whole not in _BOILER or k != "role" and whole in _TOPICS):
-                        doubt = True
-                    else:
-                        boiler = True
+                    boiler = True
     holder = tag in ("html", "body", "main")
     return boiler and not holder, main and not boiler, doubt and not boiler and not holder
 
@@ -180,7 +215,8 @@ def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order, with what the elements around them say."""
     page = _gone(page)
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, tuple]] = []  # tag, boilerplate, article, doubts
+    stack: list[tuple[str, bool, int, Doubt | None]] = []  # tag, boilerplate, article, doubt
+    opened: Counter[str] = Counter()  # how many of each tag the stack holds
     text: list[str] = []
     links = areas = in_link = doubtful = 0
     heading = False
@@ -189,8 +225,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links, heading
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            boiler, area, doubts = stack[-1][1:] if stack else (False, 0, ())
-            out.append(Block(joined, links, heading, boiler, area, doubts))
+            boiler, area, doubt = stack[-1][1:] if stack else (False, 0, None)
+            out.append(Block(joined, links, heading, boiler, area, doubt))
         text.clear()
         links, heading = 0, False
 
@@ -214,24 +250,28 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag in _BLOCKS:
                 flush()
-            if any(s[0] == tag for s in stack):
+            if opened[tag]:
                 flush()
-                while stack.pop()[0] != tag:
-                    pass
+                while opened[tag]:
+                    name = stack.pop()[0]
+                    opened[name] -= 1
+                    if name == tag:
+                        break
         elif tag in _BLOCKS or m[3] and tag not in _VOID and tag != "a":
             if tag in _BLOCKS:
                 flush()
                 if tag in _SELF and stack and stack[-1][0] == tag or stack and stack[-1][0] == "p":
-                    stack.pop()
-            boiler, main, doubt = _kind(tag, m[3] or "", bool(stack and stack[-1][2]))
+                    opened[stack.pop()[0]] -= 1
+            boiler, main, doubt = _kind(tag, m[3] or "", bool(stack and stack[-1][2]), bool(m[3]) and bool(_HEADED.match(page, at)))
             doubt = doubt and (tag in _BLOCKS or not any(map(str.strip, text)))  # words within a sentence stay in it
             if tag in _BLOCKS and tag not in _VOID or boiler or doubt:
                 if (boiler or doubt) and tag not in _BLOCKS:
                     flush()
                 areas += main
                 doubtful += doubt
-                held = stack[-1] if stack else ("", False, 0, ())
-                stack.append((tag, held[1] or boiler, areas if main else held[2], (*held[3], doubtful) if doubt else held[3]))
+                held = stack[-1] if stack else ("", False, 0, None)
+                stack.append((tag, held[1] or boiler, areas if main else held[2], Doubt(doubtful, held[3]) if doubt else held[3]))
+                opened[tag] += 1
             if tag[0] == "h" and tag[1:].isdigit():
                 heading = True
     cut = _CUT_OFF.search(page, max(at, page.rfind(">") + 1))
@@ -240,17 +280,25 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def _unwanted(blocks: list[Block], served: bool) -> set[int]:
-    """Doubtful elements that, as a whole and without headings, have few stop words (of a language ``served``) or many links."""
-    sums: dict[int, list[int]] = {}
+def _weigh(blocks: list[Block], served: bool) -> None:
+    """Mark the doubtful elements that, as a whole and without headings, have few stop words (of a language ``served``) or many links, and what is in them."""
+    found: dict[int, Doubt] = {}
     for b in blocks:
-        if b.doubts and not b.boiler and not b.heading:
-            hits, words = b.stops
-            for d in b.doubts:
-                held = sums.setdefault(d, [0, 0, 0, 0])
-                for i, x in enumerate((hits, words, b.link_chars, b.solid)):
-                    held[i] += x
-    return {d for d, (hits, words, links, solid) in sums.items() if served and hits < STOP_LOW * words or links > LINKS / 2 * solid}
+        d = b.doubt
+        while d is not None and d.number not in found:
+            found[d.number] = d
+            d.sums = [0, 0, 0, 0]
+            d = d.parent
+        if b.doubt and not b.boiler and not b.heading:
+            b.doubt.sums = [x + y for x, y in zip(b.doubt.sums, (*b.stops, b.link_chars, b.solid))]
+    for n in sorted(found, reverse=True):  # inner elements have larger numbers
+        d = found[n]
+        if d.parent:
+            d.parent.sums = [x + y for x, y in zip(d.parent.sums, d.sums)]
+    for n in sorted(found):
+        d = found[n]
+        hits, words, links, solid = d.sums
+        d.unwanted = bool(solid) and (served and hits < STOP_LOW * words or links > LINKS / 2 * solid) or bool(d.parent and d.parent.unwanted)
 
 
 def _served(blocks: list[Block]) -> bool:
@@ -263,10 +311,12 @@ def _served(blocks: list[Block]) -> bool:
     return not words or hits >= STOP_HIGH * words
 
 
-def _judge(b: Block, unwanted: set[int], served: bool, area: bool) -> str:
-    """Pass 1: good, bad, near (looks like text), low (long, few links, few stop words) or short."""
-    if b.boiler or not unwanted.isdisjoint(b.doubts) or b.link_chars / b.solid > LINKS or b.text[0] in "©®" and b.size < 3 * SHORT:
+def _judge(b: Block, served: bool, area: bool) -> str:
+    """Pass 1: good, bad, near (looks like text), low (long, few links, few stop words) or short. In an article links are text: such blocks are short ones."""
+    if b.boiler or b.doubt and b.doubt.unwanted or b.text[0] in "©®" and b.size < 3 * SHORT:
         return "bad"
+    if b.link_chars / b.solid > LINKS:
+        return "short" if area else "bad"
     size, solid, (hits, words) = b.size, b.solid, b.stops
     share = hits / words if words else 0.0
     if size >= SHORT and (area or share >= STOP_HIGH or not served and b.link_chars <= LINKS / 2 * solid):
@@ -281,23 +331,24 @@ def _judge(b: Block, unwanted: set[int], served: bool, area: bool) -> str:
 def classify(blocks: list[Block]) -> None:
     """Set ``label`` of each block to good or bad."""
     served = _served(blocks)
-    unwanted = _unwanted(blocks, served)
+    _weigh(blocks, served)
     for b in blocks:
-        b.label = _judge(b, unwanted, served, bool(b.area))
+        b.label = _judge(b, served, bool(b.area))
     if any(b.area and b.label != "bad" for b in blocks):  # the page says where its article is, if most running text is there
         inside = sum(b.size for b in blocks if b.area and b.label != "bad")
         outside = sum(b.size for b in blocks if not b.area and b.label == "good")
         for b in blocks:
             if inside < outside:
-                b.label, b.area = _judge(b, unwanted, served, False), 0
+                b.label, b.area = _judge(b, served, False), 0
             elif not b.area:
                 b.label = "bad"
     first = [b.label for b in blocks]
     # what menus, adverts and the like hold says nothing about the text around it
     decided: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
-        if first[i] in ("good", "bad") and not b.boiler and unwanted.isdisjoint(b.doubts):
+        if first[i] in ("good", "bad") and not b.boiler and not (b.doubt and b.doubt.unwanted):
             decided.setdefault(b.area, []).append(i)
+    bare = not decided  # only short blocks besides what names tell: they are the page's text
     for i, b in enumerate(blocks):  # pass 2
         if first[i] in ("good", "bad"):
             continue
@@ -309,7 +360,7 @@ def classify(blocks: list[Block]) -> None:
         elif b.heading and after:
             b.label = after
         elif before == after or before is None or after is None:
-            b.label = before or after or ("good" if b.area or first[i] == "near" else "bad")
+            b.label = before or after or ("good" if b.area or first[i] == "near" or bare else "bad")
         else:
             b.label = "good" if b.area or first[i] == "near" else "bad"
 
@@ -325,7 +376,8 @@ def main_text(page: str | None) -> tuple[str, int, int]:
 def extract(df: DataFrame, keep: list[str], page: str = "html") -> DataFrame:
     """``keep`` with the main ``text`` of each page, its length ``n_chars`` in code points, and ``n_blocks`` kept of ``n_seen``.
 
-    Null and empty pages, and pages without main text, have an empty text. Whole pages of any length; repeated rows repeat; broken markup is read as far as it goes.
+    A heading outside of the article, also right before it, belongs to the page. Pages of short blocks only keep those that no name or link marks as something else.
+    Null and empty pages, and pages without main text, have an empty text. Added columns replace none: clashing names in the table don't matter unless kept. Whole pages of any length; repeated rows repeat; broken markup is read as far as it goes.
     """
     def make():
         def fn(pages):
