@@ -7,6 +7,8 @@ mapped file. Files hold whole documents in ascending id order, and ascend by nam
 
 from __future__ import annotations
 
+import itertools
+import operator
 import os
 import re
 import uuid
@@ -26,8 +28,8 @@ from tidewright.session import checkpoint_dir, settle
 LENGTH, BATCH, FILE_IDS = 1024, 512, 16 << 20
 #: Put behind each document.
 END = 1
-#: Words whose ids a worker keeps (about 190 bytes each), twice: those met since the last change and those before.
-CACHE = 500_000
+#: Words whose ids a worker keeps (about 150 bytes each), twice: those met since the last change and those before.
+CACHE = 600_000
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -39,14 +41,29 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
-# A mark behind a letter (ASCII, or À to ÿ in UTF-8): the pre-tokenizer parts them.
-_MARK = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-zA-Z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+def _table(of) -> np.ndarray:
+    return np.array([bool(of(c)) for c in range(256)])
+
+
+# Bytes: ASCII white space, ASCII marks, ASCII letters, second bytes of À to ÿ in UTF-8, and what A-Z become.
+_SPACE = _table(lambda c: chr(c) in " \t\n\r\x0b\x0c")
+_MARK = _table(lambda c: 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126)
+_LETTER = _table(lambda c: 65 <= c <= 90 or 97 <= c <= 122)
+_LATIN = _table(lambda c: 0x80 <= c <= 0xbf and c not in (0x97, 0xb7))
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+# A word of them without a sign that special tokens begin with.
+_PLAIN = re.compile(rb"(?:(?!<\|)[!-~]|\xc3[\x80-\xbf])+")
+_FIRST = operator.itemgetter(0)
+#: Texts by which a tokenizer shows whether its words can be encoded one by one.
+PROBES = ("Ab cD  EF", "ab.cd, ef(gh) i-j", "a\tb\nc\r\nd", "\u00e9t\u00e9! \u00c9T\u00c9?x", "12 3a b4 5.6", " lead and trail ", "it's they're x_y", "\u6f22\u5b57 \u3042 mix\u00e9d")
 
 
 class WordEncoder:
     """Ids of texts from a tokenizer that lowers case, drops white space and parts letters from marks, so that words can be encoded one by one and kept.
 
-    Words stand between ASCII white space, end before a mark, and have A-Z lowered. Texts in which a special token may stand are parted at white space only.
+    Words stand between ASCII white space, end before a mark behind a letter (ASCII, or À to ÿ: the pre-tokenizer parts them), and have A-Z lowered. Texts in which
+    a special token may stand are parted at white space only. The distinct words of a batch are looked up once; what a text consists of is put together by
+    arrays. A tokenizer that gives other ids for the words of PROBES than for the texts encodes whole texts.
     """
 
     def __init__(self, spec: str):
@@ -54,48 +71,117 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
         self.typed, self.code = (np.dtype("<u2"), "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else (np.dtype("<u4"), "I")
-        self.known: dict[bytes, bytes] = {}
-        self.aged: dict[bytes, bytes] = {}
-
-    def words(self, text: bytes) -> list[bytes]:
-        return text.split() if b"<|" in text else _MARK.sub(rb" \g<0>", text).lower().split()
-
-    def _learn(self, words: set[bytes]) -> None:
-        new = []
-        for w in words:
-            ids = self.aged.pop(w, None)
-            if ids is None:
-                new.append(w)
-            else:
-                self.known[w] = ids
-        plain = [w for w in new if w.isascii() and b"<|" not in w]
-        for at in range(0, len(plain), 4096):  # ASCII words in one go: their ids are told apart by where they start
-            some = plain[at: at + 4096]
-            e = self.tokenizer.encode(b" ".join(some).decode("ascii"), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in some])
-            cuts = np.searchsorted(np.array([a for a, _ in e.offsets]), starts).tolist()
-            ids = np.array(e.ids, self.typed)
-            for w, a, b in zip(some, cuts, cuts[1:]):
-                self.known[w] = ids[a:b].tobytes()
-        new = [w for w in new if not w.isascii() or b"<|" in w]
-        for at in range(0, len(new), 4096):
-            some = new[at: at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)):
-                self.known[w] = array(self.code, e.ids).tobytes()
-
-    def __call__(self, texts: list[str | None], end: int = END) -> list[bytes]:
+        self._clear()
+        self.by_words = True
+        self.by_words = all(self([t], None) == [self._whole(t)] for t in PROBES)
+        self._clear()
+
+    def _clear(self) -> None:
+        """No words; those known so far become the aged ones."""
+        self.aged = (self.known, self.flat, self.ends) if hasattr(self, "known") else ({}, array(self.code), array("q", [0]))
+        self.known: dict[bytes, int] = {}  # word: its number n; its ids stand from ends[n] to ends[n + 1] in flat
+        self.flat, self.ends = array(self.code), array("q", [0])
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _keep(self, words: list[bytes], lengths, ids) -> None:
+        first = len(self.ends) - 1
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.ends.frombytes((np.cumsum(lengths, dtype=np.int64) + self.ends[-1]).tobytes())
+        self.flat.frombytes(np.asarray(ids, self.typed).tobytes())
+
+    def _learn(self, words: list[bytes]) -> None:
+        old, *stored = self.aged
+        if old:
+            met = [w for w in words if w in old]
+            if met:
+                ids, upto = self._ids(np.array([old[w] for w in met], np.int64), *stored)
+                self._keep(met, np.diff(upto, prepend=0), ids)
+                words = [w for w in words if w not in old]
+        simple = [_PLAIN.fullmatch(w) is not None for w in words]
+        plain = list(itertools.compress(words, simple))
+        for at in range(0, len(plain), 8192):  # words of ASCII and À to ÿ in one go: their ids are told apart by where they start
+            some = plain[at: at + 8192]
+            joined = b" ".join(some).decode()
+            e = self.tokenizer.encode(joined, add_special_tokens=False)
+            lengths = np.fromiter(map(len, some if joined.isascii() else joined.split(" ")), np.int64, len(some))
+            starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+            begins = np.fromiter(map(_FIRST, e.offsets), np.int64, len(e))
+            self._keep(some, np.diff(np.searchsorted(begins, starts)), e.ids)
+        rest = [w for w, s in zip(words, simple) if not s]
+        for at in range(0, len(rest), 4096):
+            some = rest[at: at + 4096]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)]
+            self._keep(some, [len(x) for x in got], list(itertools.chain.from_iterable(got)))
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words, new ones learnt."""
+        if len(self.known) >= CACHE:  # words not met again since the last change leave
+            self._clear()
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = [w for w, n in zip(words, found) if n is None]
+            self._learn(new)
+            found = list(map(self.known.get, words))
+        return np.array(found, np.int64)
+
+    def _ids(self, numbers: np.ndarray, flat: array | None = None, ends: array | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words in a row, where each word's end), from those kept now or from others."""
+        flat, ends = np.frombuffer(self.flat if flat is None else flat, self.typed), np.frombuffer(self.ends if ends is None else ends, np.int64)
+        start, length = ends[numbers], ends[numbers + 1] - ends[numbers]
+        upto = np.cumsum(length)
+        total = int(upto[-1]) if len(upto) else 0
+        return flat[np.repeat(start - upto + length, length) + np.arange(total)] if total else np.empty(0, self.typed), upto
+
+    def encode(self, texts: pa.Array, end: int | None = END) -> pa.Array:
         """The ids of each text with the end id behind them, as bytes."""
-        split = [self.words((t or "").encode("utf-8")) for t in texts]
-        if len(self.known) >= CACHE:
-            self.known, self.aged = {}, self.known
-        known, last = self.known, np.array([end], self.typed).tobytes()
-        found = [list(map(known.get, words)) for words in split]
-        gaps = [(words, ids, [i for i, x in enumerate(ids) if x is None]) for words, ids in zip(split, found) if None in ids]
-        self._learn({words[i] for words, _, lacks in gaps for i in lacks})
-        for words, ids, lacks in gaps:
-            for i in lacks:
-                ids[i] = known[words[i]]
-        return [b"".join(ids) + last for ids in found]
+        last = np.array([] if end is None else [end], self.typed)
+        lists = [t or "" for t in texts.to_pylist()] if not self.by_words or pa.compute.any(pa.compute.match_substring(texts, "<|")).as_py() else None
+        if lists is not None:
+            out: list[bytes] = []
+            for t in lists:
+                if not self.by_words:
+                    out.append(self._whole(t) + last.tobytes())
+                    continue
+                if "<|" not in t:
+                    out += self.encode(pa.array([t]), end).to_pylist()
+                    continue
+                words = t.encode("utf-8").split()
+                distinct = list(dict.fromkeys(words))
+                numbers = dict(zip(distinct, self._numbers(distinct).tolist()))
+                out.append(self._ids(np.array([numbers[w] for w in words], np.int64))[0].tobytes() + last.tobytes())
+            return pa.array(out, pa.binary())
+        texts = pa.compute.fill_null(texts, "")
+        _, where, data = texts.buffers()
+        offsets = np.frombuffer(where, np.int32, len(texts) + 1, texts.offset * 4)
+        raw = np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])) if data and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+        starts = (offsets[:-1] - offsets[0]).astype(np.int64)
+        behind = np.zeros(len(raw), bool)
+        behind[1:] = _LETTER[raw[:-1]]
+        behind[2:] |= (raw[:-2] == 0xc3) & _LATIN[raw[1:-1]]
+        marks = np.flatnonzero(behind & _MARK[raw])
+        # white space before each such mark and before each text
+        parted = _LOWER[np.insert(raw, np.concatenate([starts, marks]), 32)]
+        starts = starts + np.arange(len(starts)) + np.searchsorted(marks, starts)
+        solid = ~_SPACE[parted]
+        turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1  # the first byte is white space
+        begin, stop = turns[::2], turns[1::2] if len(turns) % 2 == 0 else np.append(turns[1::2], len(solid))
+        if len(begin):
+            held = np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(held), pa.py_buffer(np.ascontiguousarray(parted[solid]))]).dictionary_encode()
+            ids, upto = self._ids(self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()])
+        else:
+            ids, upto = np.empty(0, self.typed), np.empty(0, np.int64)
+        closes = np.concatenate([[0], upto])[np.searchsorted(begin, np.concatenate([starts[1:], [len(parted)]]))]
+        if end is not None:
+            ids = np.insert(ids, closes, end)
+            closes = closes + np.arange(1, len(closes) + 1)
+        held = np.concatenate([[0], closes * self.typed.itemsize]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(held), pa.py_buffer(np.ascontiguousarray(ids))])
+
+    def __call__(self, texts: list[str | None], end: int | None = END) -> list[bytes]:
+        return self.encode(pa.array(texts, pa.string()), end).to_pylist()
 
 
 def _storage(folder: str) -> tuple[pa.fs.FileSystem, str]:
@@ -205,9 +291,9 @@ def write_token_files(df: DataFrame, folder: str, doc_id: str = "doc_id", text:
 
     def make():
         own = worker_state(("words", spec), lambda: WordEncoder(spec))
-        return lambda texts: [own(texts)]
+        return lambda texts: [own.encode(texts)]
 
-    dealt = map_texts(keyed, ["doc_id", "_key", "_block"], "_text", make, "ids binary").repartitionById(n, "_block")
+    dealt = map_texts(keyed, ["doc_id", "_key", "_block"], "_text", make, "ids binary", arrow=True).repartitionById(n, "_block")
     dealt = dealt.sortWithinPartitions("_key", "ids").select("_block", "doc_id", "ids")
 
     def write(batches):
