@@ -29,16 +29,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most PIECE_BYTES in ``column``, one row at least."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes in ``column``, one row at least."""
     sizes = batch.column(column).nbytes
-    if sizes <= PIECE_BYTES:
+    if sizes <= most:
         yield batch
         return
     lengths = np.array([0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()])
     start, total = 0, 0
     for i, n in enumerate(lengths):
-        if i > start and total + n > PIECE_BYTES:
+        if i > start and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)
@@ -74,15 +74,15 @@ def tidy(run: Callable) -> Callable:
     return whole
 
 
-def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[], Callable], adds: str) -> DataFrame:
+def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[], Callable], adds: str, arrow: bool = False, most: int = PIECE_BYTES) -> DataFrame:
     """``keep`` as it is, beside the columns ``adds`` (DDL) that ``make()(texts)`` returns as lists or arrays.
 
-    ``make`` runs once per task; ``texts`` is a list of str or None. Only ``keep`` and ``text`` leave the scan.
+    ``make`` runs once per task; ``texts`` is a list of str or None, or with ``arrow`` the Arrow array, of about ``most`` bytes. Only ``keep`` and ``text`` leave the scan.
     """
     small_batches(df.sparkSession)
     added = StructType.fromDDL(adds)
     schema = StructType([df.schema[c] for c in keep] + list(added))
-    arrow, own = to_arrow_schema(schema), [f.name for f in added]
+    typed, own = to_arrow_schema(schema), [f.name for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _Worker.used = False
@@ -90,12 +90,12 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[],
         if not _Worker.used:
             _Worker.key, _Worker.value = None, None
         for whole in batches:
-            for batch in pieces(whole, "__text"):
-                made = fn(batch.column("__text").to_pylist())
-                cols = [batch.column(f"__keep{i}").cast(arrow.field(i).type) for i in range(len(keep))]
-                cols += [x.cast(arrow.field(n).type) if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type, from_pandas=False)
+            for batch in pieces(whole, "__text", most):
+                made = fn(batch.column("__text") if arrow else batch.column("__text").to_pylist())
+                cols = [batch.column(f"__keep{i}").cast(typed.field(i).type) for i in range(len(keep))]
+                cols += [x.cast(typed.field(n).type) if isinstance(x, pa.Array) else pa.array(x, typed.field(n).type, from_pandas=False)
                          for n, x in zip(own, made, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+                yield pa.RecordBatch.from_arrays(cols, schema=typed)
 
     thin = df.select(*[F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     return thin.mapInArrow(tidy(run), schema)

@@ -25,7 +25,9 @@ SPACE = "▁"
 #: Stands for a SPACE mark that a text itself holds; no text can hold this code point.
 MARK = "\udbff"
 #: Words whose segmentations a worker keeps (about 220 bytes each), twice: those met since the last change and those before.
-CACHE = 150_000
+CACHE = 50_000
+#: Bytes of text segmented before results leave the worker: what it holds of them is many times as large.
+HELD_BYTES = 1 << 20
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
@@ -214,7 +216,7 @@ def _pass(df: DataFrame, keep: list[str], text: str, model: bytes, cache: int, a
         own = worker_state(("pieces", model, cache), lambda: Segmenter(model, cache))
         return lambda texts: rows(own, texts)
 
-    return map_texts(df, keep, text, make, adds)
+    return map_texts(df, keep, text, make, adds, most=HELD_BYTES)
 
 
 def encode_nbest(df: DataFrame, keep: list[str], text: str = "text", n: int = 4, model: bytes | None = None, cache: int = CACHE) -> DataFrame:
