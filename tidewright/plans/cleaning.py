@@ -323,11 +323,11 @@ def r4(t):
         r(F.avg("x"), 6).alias("mean_x"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.max_by("x", "pos").alias("last_x")])
 
 
-@query("r4_downsample_keep_empty", f"""WITH {SQL_DAILY}, m AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM daily WHERE n >= 3 GROUP BY 1),
+@query("r4_downsample_keep_empty", f"""WITH {SQL_DAILY}, m AS (SELECT date_trunc('week', ts) AS w, count(*) AS n FROM daily GROUP BY 1),
 e AS (SELECT min(w) AS a, max(w) AS b FROM m)
 SELECT u.w AS ts, m.n FROM e, unnest(generate_series(a, b, INTERVAL 7 DAY)) AS u(w) LEFT JOIN m ON m.w = u.w""")
 def r4e(t):
-    rows = daily(t).filter("n >= 3").withColumn("day", slot_start(F.col("pos"), "day"))
+    rows = daily(t).withColumn("day", slot_start(F.col("pos"), "day"))
     return grid.resample(rows, [], "day", "week", [F.count("*").alias("n")], keep_empty=True)
 
 

@@ -447,7 +447,7 @@ _NEWTON = """SELECT output, node, feature, cut, round(value, 8) + 0.0 AS value,
 
 
 def _stump(t, label, loss, outputs):
-    rows = _orders(t)
+    rows = _orders(t).withColumn("log_grade", F.log1p("grade"))
     forest = bt.fit(rows, ORDER_FEATURES, label, loss, outputs, rounds=1, depth=1, rate=0.5, min_rows=20, cuts=_CUTS)
     return rows, forest, forest.nodes(rows.sparkSession).select("output", "node", "feature", "cut", r("value", 8).alias("value"), "cover")
 
@@ -472,6 +472,25 @@ def l25s(t):
     return _stump(t, "grade", "quantile", [0.3, 0.6])[2]
 
 
+_PREDICTED = """ft AS (SELECT o.l_orderkey, o.y, (SELECT avg({y}) FROM o) + 0.5 * CASE WHEN x.v > b.cut THEN gr / (hr + 1) ELSE gl / (hl + 1) END AS yhat
+       FROM o JOIN x USING (l_orderkey) JOIN b ON b.feature = x.feature)"""
+
+
+@query("l28_log_target_stump", f"""WITH {_STUMP} gr AS (SELECT l_orderkey, '0' AS k, ln(1 + y) - avg(ln(1 + y)) OVER () AS g, 1.0 AS h FROM o), {_SPLITS}, {_PREDICTED.format(y="ln(1 + y)")}
+SELECT l_orderkey, round(exp(yhat) - 1, 8) AS yhat FROM ft""")
+def l28s(t):
+    rows, forest, _ = _stump(t, "log_grade", "squared", [0])
+    return bt.predict(forest, rows, ["yhat"]).select("l_orderkey", r(F.expm1("yhat"), 8).alias("yhat"))
+
+
+@query("l44_rounded_stump", f"""WITH {_STUMP} gr AS (SELECT l_orderkey, '0' AS k, y - avg(y) OVER () AS g, 1.0 AS h FROM o), {_SPLITS}, {_PREDICTED.format(y="y")}
+SELECT CAST(y AS INTEGER) AS grade, CAST(greatest(3, least(9, round(yhat))) AS INTEGER) AS predicted, count(*) AS n FROM ft GROUP BY 1, 2""")
+def l44s(t):
+    rows, forest, _ = _stump(t, "grade", "squared", [0])
+    out = bt.predict(forest, rows, ["yhat"]).withColumn("predicted", cl.to_grade(F.col("yhat"), 3, 9).cast("int"))
+    return out.groupBy("grade", "predicted").agg(F.count("*").alias("n"))
+
+
 @query("l56_stump_attribution", f"""WITH {_STUMP} gr AS (SELECT l_orderkey, '0' AS k, y - avg(y) OVER () AS g, 1.0 AS h FROM o), {_SPLITS},
 m AS (SELECT feature, cut, 0.5 * gl / (hl + 1) AS lo, 0.5 * gr / (hr + 1) AS hi, nl, nr FROM b),
 a AS (SELECT l_orderkey, x.feature, v, CASE WHEN x.feature <> m.feature THEN 0.0 ELSE (CASE WHEN v > cut THEN hi ELSE lo END) - (lo * nl + hi * nr) / (nl + nr) END AS a, (lo * nl + hi * nr) / (nl + nr) AS mean FROM x, m)
