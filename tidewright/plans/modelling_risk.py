@@ -124,7 +124,7 @@ def m6c(t):
     return mv.var_causality(_wide_returns(t), "pos", list(NAMES.values()), 2)
 
 
-_PAIRS = [("r1", "r2"), ("r1", "r5"), ("r3", "r4"), ("r2", "r5")]
+_PAIRS = list(combinations(NAMES.values(), 2))
 
 
 def _wide_prices(t):
