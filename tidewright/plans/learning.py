@@ -241,6 +241,15 @@ def l27(t):
     return out
 
 
+@query("l27_poisson_two_groups", f"""WITH {SQL_PREDICTIONS}, m AS (SELECT isodow(ts) >= 6 AS we, avg(x) AS m FROM preds WHERE part = 'train' AND x IS NOT NULL GROUP BY 1)
+SELECT p.series, p.pos, round(m, 2) AS yhat FROM preds p JOIN m ON m.we = (isodow(p.ts) >= 6) WHERE part = 'test' AND x IS NOT NULL""")
+def l27p(t):
+    """With one yes-or-no feature the fitted means of a Poisson model with a log link are the group means."""
+    train, test = (rows.withColumn("we", C.is_weekend(F.col("ts")).cast("double")) for rows in _split_x(t))
+    model = ln.count_model(train, ["we"], "x", "poisson")
+    return fc.predict(model, test, ["we"]).select("series", "pos", r("yhat", 2).alias("yhat"))
+
+
 @query("l28_log_target")
 def l28(t):
     train, test = _parts(t)
@@ -353,6 +362,13 @@ def l49(t):
     return both.groupBy("grade").agg(F.count("*").alias("n"), F.count("new_id").alias("n_new"), *[F.avg(f).alias(f) for f in ORDER_FEATURES])
 
 
+@query("l49_balanced_counts", """WITH o AS (SELECT CAST(least(count(*) + 2, 9) AS INTEGER) AS grade FROM lineitem GROUP BY l_orderkey), n AS (SELECT grade, count(*) AS own FROM o GROUP BY 1)
+SELECT grade, max(own) OVER () AS n, max(own) OVER () - own AS n_new FROM n""")
+def l49c(t):
+    both = ln.smote_balanced(_orders(t), "grade", "l_orderkey", ORDER_FEATURES)
+    return both.groupBy("grade").agg(F.count("*").alias("n"), F.count("new_id").alias("n_new"))
+
+
 @query("l51_calibration")
 def l51(t):
     rows = _orders(t)
