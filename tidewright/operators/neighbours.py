@@ -209,13 +209,17 @@ def hashed_nearest(queries: DataFrame, data: DataFrame, query_id: str, data_id:
 
     @F.pandas_udf("array<long>")
     def looks(x: pd.Series) -> pd.Series:
-        off = (np.stack(x.to_numpy()) @ planes - cuts).reshape(len(x), tables, bits)
-        code = (off > 0) @ weight + label
-        near = np.argsort(np.abs(off), axis=2, kind="stable")[:, :, :flips.shape[1]]
-        cost = np.take_along_axis(off ** 2, near, axis=2) @ flips.T.astype(float)
-        pick = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
-        turned = (flips[pick] * weight[near][:, :, None, :]).sum(axis=3)
-        return pd.Series(list((code[:, :, None] ^ turned).reshape(len(x), -1)))
+        out = []
+        for at in range(0, len(x), 512):  # a few MB of costs at a time
+            some = x.iloc[at:at + 512]
+            off = (np.stack(some.to_numpy()) @ planes - cuts).reshape(len(some), tables, bits)
+            code = (off > 0) @ weight + label
+            near = np.argsort(np.abs(off), axis=2, kind="stable")[:, :, :flips.shape[1]]
+            cost = np.take_along_axis(off ** 2, near, axis=2) @ flips.T.astype(float)
+            pick = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+            turned = (flips[pick] * weight[near][:, :, None, :]).sum(axis=3)
+            out += list((code[:, :, None] ^ turned).reshape(len(some), -1))
+        return pd.Series(out)
 
     ds = d.filter("_whole").drop("_whole").withColumn("_cell", F.explode(own(vector)))
     qs = q.filter("_whole").drop("_whole").withColumn("_cell", F.explode(looks(vector)))
