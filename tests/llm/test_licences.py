@@ -1,4 +1,9 @@
+import random
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from tidewright.llm import licences as L
 
@@ -49,3 +54,32 @@ def test_odd_rows(spark, odd, nothing):
     assert len(rows) == odd.count()
     assert {(r["n_words"], r["first_word"], r["labels"], r["score"]) for r in rows if r["doc_id"] in (2, 3, 4)} == {(0, None, "", 0.0)}
     assert L.scan(nothing).count() == 0
+    other = odd.withColumn("k", F.col("doc_id"))
+    assert L.scan(other, doc_id="k").columns == L.scan(odd).columns and L.scan(other, doc_id="k").count() == len(rows)
+
+
+def by_pairs(line):
+    """Every detection against all others, by the definition."""
+    found = [(p, m.start(), m.end(), c, label, at) for at, (p, c, label, pattern) in enumerate(L.rules()[0]) for m in pattern.finditer(line)]
+
+    def beats(a, b):
+        return a[1] <= b[1] and b[2] <= a[2] and (a[0], a[1] - a[2], a[5]) < (b[0], b[1] - b[2], b[5])
+    return {d[:5] for d in found if not any(beats(e, d) for e in found)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_suppression_by_definition(seed):
+    words = "licensed under the mit apache license version 2 0 cc by nc sa 4 gpl 3 spdx identifier all rights reserved terms of bsd clause public domain x".split()
+    line = " ".join(random.Random(seed).choices(words, k=300))
+    for text in (line, "released under the terms of the apache license version 2 0 license", "gnu general public license version 3 " * 3):
+        got = L.detections(text.strip())
+        assert len(got) == len(set(got)) and set(got) == by_pairs(text.strip())
+
+
+def test_long_texts_of_detections_only():
+    """2 MB of one phrase: time grows with the length."""
+    n = 220_000
+    start = time.process_time()
+    got = L.scan_text("CC-BY-NC " * n)
+    assert time.process_time() - start < 20
+    assert got[:4] == (3 * n, n, 0, 3 * n - 3) and len(got[7]) == n and got[7][-1] == ("cc-by-nc", 3 * n - 3, 3)

@@ -6,7 +6,9 @@ import functools
 import re
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewright.llm.common import map_texts
 
@@ -117,12 +119,13 @@ def detections(line: str) -> list[tuple[int, int, int, float, str]]:
         if held.isdisjoint(near) or held.isdisjoint(heads):
             continue
         found += [(priority, m.start(), m.end(), confidence, label, at) for m in pattern.finditer(line)]
-    found.sort(key=lambda d: (d[0], d[1] - d[2], d[5], d[1]))
-    kept = []
+    found.sort(key=lambda d: (d[1], -d[2], d[0], d[5]))  # whatever covers a detection with better right stands before it
+    reach, kept = dict.fromkeys({d[0] for d in found}, 0), []
     for d in found:
-        if not any(k[1] <= d[1] and d[2] <= k[2] for k in kept):
+        if all(end < d[2] for priority, end in reach.items() if priority <= d[0]):
             kept.append(d)
-    return [d[:5] for d in kept]
+        reach[d[0]] = max(reach[d[0]], d[2])
+    return [d[:5] for d in sorted(kept, key=lambda d: (d[0], d[1] - d[2], d[5], d[1]))]
 
 
 def scan_text(text: str | None) -> tuple:
@@ -131,19 +134,27 @@ def scan_text(text: str | None) -> tuple:
     if not words:
         return 0, 0, None, None, "", "", 0.0, []
     line = b" ".join(words).decode("utf-8", "surrogatepass")
-    starts, base, padded = [], set(), None
+    starts, base, padded, blanks = [], set(), None, None
+
+    def word_at(places):
+        nonlocal blanks
+        if blanks is None:
+            blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        return np.searchsorted(blanks, places).tolist()
+
     for phrase, label in BASE.items():
         if phrase not in line:
             continue
         padded, at = padded or f" {line} ", -1
         while (at := padded.find(f" {phrase} ", at + 1)) >= 0:
-            starts.append(padded.count(" ", 0, at))
+            starts.append(at)
             base.add(label)
+    starts = word_at(starts) if starts else starts
     found = detections(line)
     labels, doubt = base | {d[4] for d in found}, 1.0
     for confidence in [0.95] * len(base) + [d[3] for d in found]:
         doubt *= 1.0 - confidence
-    spans = [(d[4], line.count(" ", 0, d[1]), line.count(" ", d[1], d[2]) + 1) for d in found]
+    spans = [(d[4], a, b - a + 1) for d, a, b in zip(found, word_at([d[1] for d in found]), word_at([d[2] for d in found]))] if found else []
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
             1.0 - doubt if labels else 0.0, spans)
 
@@ -151,7 +162,8 @@ def scan_text(text: str | None) -> tuple:
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``df``: ``doc_id``, word count, base phrases, labels, score and ``spans`` (label, first word, words) of the detections.
 
-    Null and empty texts have no words, no labels, score 0 and null first and last word. Repeated rows repeat; long texts are scanned whole.
+    Null and empty texts have no words, no labels, score 0 and null first and last word. Repeated rows repeat; long texts are scanned whole,
+    in time about linear in their length. Other columns of ``df``, whatever their names, take no part. Empty table: no rows.
     """
     def make():
         def fn(texts):
@@ -159,6 +171,6 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
             return [*map(list, cols), [[dict(zip(("label", "start", "n"), s)) for s in x] for x in spans]]
         return fn
 
-    return map_texts(df.withColumnRenamed(doc_id, "doc_id") if doc_id != "doc_id" else df, ["doc_id"], text, make,
+    return map_texts(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", make,
                      "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
                      "spans array<struct<label:string,start:long,n:long>>")
