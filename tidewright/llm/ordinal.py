@@ -109,13 +109,14 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most ``sample`` of the graded documents, the first by a hash of their id. ``ratings`` has ``doc_id`` and ``grade``.
 
     Rows with a null id, a null grade or one out of range aren't used; of several grades of a document the lowest is. None if no row is left.
-    The sample's features, bounded by ``sample``, meet in one task, which fits and returns the weights.
+    Of several texts of a document one is used, that of the smallest hash; texts without words aren't. The sample's features, a row per
+    document and so ``sample`` rows at most, meet in one task, which fits and returns the weights.
     """
     rated = ratings.where(F.col(doc_id).isNotNull() & F.col(grade).between(0, n_grades - 1)).groupBy(F.col(doc_id).alias("_id")).agg(
         F.min(grade).cast("int").alias("_grade"))
-    known = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    known = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text"))
     chosen = rated.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(sample)
-    rows = known.join(F.broadcast(chosen), "_id")  # ``sample`` rows at most
+    rows = known.join(F.broadcast(chosen), "_id")  # as many rows as stand under ``sample`` ids
 
     def make():
         own = worker_state("features", Features)
@@ -125,13 +126,15 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
         return fn
 
     def solve(batches):
-        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))) if r[1] is not None)  # reruns sum alike
+        rows = sorted(r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3))))  # reruns sum alike
         if rows:
             vectors = [(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(val, np.float32)) for _, at, val in rows]
             m = fit_rows(vectors, np.array([r[0] for r in rows]), n_grades)
             yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()]), pa.array([m.thresholds.tobytes()])], ["weights", "thresholds"])
 
-    one = map_texts(rows, ["_grade"], "_text", make, "cells binary, vals binary").repartition(1)
+    made = map_texts(rows, ["_id", "_grade", "_mark"], "_text", make, "cells binary, vals binary").where("cells is not null")
+    single = made.groupBy("_id", "_grade").agg(F.min(F.struct("_mark", "cells", "vals")).alias("x"))
+    one = single.select("_grade", "x.cells", "x.vals").repartition(1)
     got = one.mapInArrow(tidy(solve), "weights binary, thresholds binary").collect()
     return OrdinalModel(np.frombuffer(got[0][0]), np.frombuffer(got[0][1])) if got else None
 
