@@ -3,8 +3,6 @@ from tests.llm.test_jaccard_join import by_hand
 from tidewright.llm import mixing, nbest
 
 
-
-
 def test_stages_in_turn(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     before = {r["doc_id"]: r for r in docs.collect()}
@@ -38,4 +36,16 @@ def test_odd_and_empty_tables(spark, odd, nothing, small):
             assert out.columns == df.columns and out.count() <= 2 * df.count()
         assert P.pieces(spark, df, small).count() == df.count()
     rows = P.near_copies(spark, odd, small).collect()
-    assert sum(r["doc_id"] == 1 for r in rows) == 1 and sum(r["doc_id"] is None for r in rows) == 2 and sum(r["doc_id"] == 5 for r in rows) == 2
+    assert sum(r["doc_id"] == 1 for r in rows) == 1 and sum(r["doc_id"] is None for r in rows) == 1 and sum(r["doc_id"] == 5 for r in rows) == 2
+
+
+def test_copies_are_told_apart_by_id_and_text(spark):
+    """A third of the rows lacks an id, and one id stands on unlike texts: each distinct text stays once, in its row of the smallest id."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    rows = [(i, texts[i]) for i in range(4)] + [(None, texts[i]) for i in range(3, 8)] * 2 + [(0, texts[9]), (7, texts[9]), (7, texts[10]), (7, texts[10])]
+    rows += [(3, texts[11]), (None, None), (None, ""), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(P.near_copies(spark, docs, "").collect(), key=lambda r: (r["text"] or "", str(r["doc_id"])))
+    want = [(0, texts[9]), (7, texts[10]), (3, texts[11])] + [(i, texts[i]) for i in range(4)] + [(None, texts[i]) for i in range(4, 8)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got if r["text"]), key=str) == sorted(want, key=str)
+    assert [r["doc_id"] for r in got if not r["text"]].count(9) == 1 and sum(not r["text"] for r in got) == 3

@@ -83,8 +83,8 @@ def _tokens_of(binaries) -> list[np.ndarray]:
     return [np.frombuffer(b, np.uint64) for b in binaries]
 
 
-def profile(df: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """``doc_id n cls zone rest``: set size, class, zone tokens, and the next tokens where the zone is smaller than the prefix."""
+def profile(df: DataFrame, keep: list[str], text: str, width: int, percent: int) -> DataFrame:
+    """``keep`` with ``n cls zone rest``: set size, class, zone tokens, and the next tokens where the zone is smaller than the prefix."""
     def make():
         def one(t):
             s = shingles(t, width)
@@ -95,7 +95,7 @@ def profile(df: DataFrame, doc_id: str, text: str, width: int, percent: int) ->
             return len(s), digest(s), s[:z].tobytes(), rest.tobytes() if len(rest) else None
         return lambda texts: list(zip(*map(one, texts))) if texts else ([], [], [], [])
 
-    return map_texts(df, [doc_id], text, make, "n long, cls long, zone binary, rest binary")
+    return map_texts(df, keep, text, make, "n long, cls long, zone binary, rest binary")
 
 
 def _frequent(rows: DataFrame, n_docs: int) -> np.ndarray:
@@ -325,19 +325,24 @@ def _tokens_by_digest(df: DataFrame, text: str, wanted: DataFrame, n_wanted: int
     return found if few is not None else found.join(wanted, "cls", "left_semi")
 
 
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5,
+                       mark: str | None = None) -> DataFrame:
     """One row per row of ``df``: ``doc_id``, ``n_shingles`` (set size), ``component_id`` (smallest id reachable by links) and
     ``n_links`` (documents linked with it directly, copies included).
 
     Two documents link when 100 · common >= ``percent`` · all of their sets of ``width``-word shingles. Sets are compared by 64-bit hashes,
     of tokens and of whole sets (equal sets). Null, empty and white texts: 0 shingles, no links, a component of their own. Null ids:
     linked like others, but never name a component unless all its ids are null. Repeated rows and ids: each row counts as a document.
-    Empty table: no rows. ``percent`` must be above 70, as prefixes have to lie within the zone.
+    Empty table: no rows. ``percent`` must be above 70, as prefixes have to lie within the zone. Other columns of ``df`` take no part.
+
+    ``mark`` names a long column that tells apart the texts under one id. The result then has it too, as ``mark``, and ``first``: whether the
+    row is the one of its component with the smallest id (null last) and then mark, or a repeat of that. Rows without words are first.
     """
     if percent < 71:
         raise ValueError("the zone of counted tokens holds prefixes for likenesses above 0.70 only")
     spark = df.sparkSession
-    rows = settle(profile(df, doc_id, text, width, percent).withColumnRenamed(doc_id, "doc_id"))
+    thin = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(mark).alias("mark")] if mark else []))
+    rows = settle(profile(thin, [c for c in thin.columns if c != "text"], "text", width, percent))
     some = rows.where("n > 0")
     frequent = spark.sparkContext.broadcast(_frequent(some, rows.count()))
     sized = settle(_tails(some, frequent, percent).groupBy("cls").agg(
@@ -381,10 +386,12 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cls")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    ids = some.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark") if mark else F.lit(None)
+    ids = some.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.min(name).alias("lead"))
     ids = settle(ids.join(roots, "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    lows = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = ids.join(lows, "root").select("cls", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    lows = ids.groupBy("root").agg(F.min("low").alias("component_id"), F.min("lead").alias("chosen"))
+    ids = ids.drop("lead").join(lows, "root").select("cls", "component_id", "chosen", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.join(ids, "cls", "left")
+    more = [F.col("mark"), F.coalesce(name == F.col("chosen"), F.lit(True)).alias("first")] if mark else []
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                      F.coalesce("n_links", F.lit(0)).alias("n_links"))
+                      F.coalesce("n_links", F.lit(0)).alias("n_links"), *more)
