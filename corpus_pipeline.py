@@ -26,16 +26,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group linked by 5-word shingles at a likeness of 0.8.
 
-    Rows with a null id have no name to be chosen or dropped by and stay. Rows of one id: those with one text count once.
+    Rows are told apart by id and text: an id on unlike texts loses none that has no copy left, and a null id comes after all others.
+    Repeats of the row that stays count once. Rows without words have no copies; they stay, repeats under one id (not null) once.
     """
-    found = settle(jaccard_join.jaccard_components(docs).where("doc_id is not null"))
-    kept = found.where("component_id = doc_id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    gone = settle(found.where("component_id <> doc_id").select("doc_id").distinct())
-    small = gone.count() <= jaccard_join.SMALL_TABLE  # 8 MB of ids; beyond that the join shuffles
-    out = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
-    if kept["n"] > kept["ids"]:
-        named = out.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-        out = named.unionByName(out.where("doc_id is null"))
+    found = settle(jaccard_join.jaccard_components(docs.withColumn("__mark", F.xxhash64("text")), mark="__mark").select("doc_id", "mark", "first"))
+    kept = found.where("first").agg(F.count("*").alias("n"), F.count_distinct(F.struct("doc_id", "mark")).alias("pairs")).first()
+    gone = settle(found.where("not first").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__gone")).distinct())
+    small = gone.count() <= jaccard_join.SMALL_TABLE  # 16 MB of ids and hashes; beyond that the join shuffles
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__gone"))
+    out = docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    if kept["n"] > kept["pairs"]:
+        unnamed = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        out = out.where(~unnamed).dropDuplicates(["doc_id", "text"]).unionByName(out.where(unnamed))
     return out
 
 
