@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.functions.gridtime import position
-from tidewright.operators import decompose, diagnostics as dg
+from tidewright.functions.gridtime import position, slot_start
+from tidewright.operators import decompose, diagnostics as dg, stl
 from tidewright.operators.ordering import lag_of, look_around
 from tidewright.plans.panels import S, SQL_FILLED, SQL_MONTHLY, SQL_RETURNS, daily_returns, hourly_filled, monthly, r
 from tidewright.plans.registry import query
@@ -169,6 +169,65 @@ def d11(t):
                     r("seasonal_swing", 5).alias("seasonal_swing"), r("trend_swing", 5).alias("trend_swing"))
 
 
+# ------------------------------------------------------------------ local regression
+def _sql_lines(out: str, points: str, values: str, keys: str, window: int) -> str:
+    """Local lines through ``values(keys, i, v, w)`` at ``points(keys, x, m)``, m slots: the nearest slots, tricube weights, a regression."""
+    same = " AND ".join(f"v.{k} = q.{k}" for k in keys.split(", "))
+    own = ", ".join(f"q.{k}" for k in keys.split(", "))
+    return f"""{out}_w AS (SELECT *, greatest(0, least(x - {window // 2}, m - {window})) AS lo, least({window}, m) AS width FROM {points}),
+{out}_k AS (SELECT {own}, q.x, v.i - q.x AS d, v.v, v.w * pow(greatest(0, 1 - pow(abs(v.i - q.x) / (greatest(abs(lo - q.x), abs(lo + width - 1 - q.x)) + greatest({window} - m, 0) // 2)::DOUBLE, 3)), 3) AS k
+  FROM {out}_w q JOIN {values} v ON {same} AND v.i >= q.lo AND v.i < q.lo + q.width),
+{out}_s AS (SELECT {keys}, x, sum(k * v) / sum(k) AS l, sum(k * d) / sum(k) AS b, sum(k * d * d) / sum(k) - pow(sum(k * d) / sum(k), 2) AS s, sum(k * d * v) / sum(k) AS c FROM {out}_k GROUP BY {keys}, x),
+{out} AS (SELECT {keys}, x, CASE WHEN s > 1e-6 THEN l - b * (c - b * l) / s ELSE l END AS f FROM {out}_s)"""
+
+
+def _sql_pass(tag: str, source: str, period: int = 24, seasonal: int = 7, trend: int = 47) -> str:
+    """One pass of the decomposition over ``source(series, i, n, y, t, w)``: ``<tag>(series, i, n, y, s, t)``."""
+    p, low = period, period + 1 + period % 2
+    return f"""{tag}_v AS (SELECT series, i % {p} AS ph, i // {p} AS i, y - t AS v, w FROM {source}),
+{tag}_m AS (SELECT series, ph, count(*) AS m FROM {tag}_v GROUP BY 1, 2),
+{tag}_p AS (SELECT series, ph, x, m FROM {tag}_m, unnest(generate_series(-1, m)) AS u(x)),
+{_sql_lines(tag + "_c", tag + "_p", tag + "_v", "series, ph", seasonal)},
+{tag}_a AS (SELECT series, (x + 1) * {p} + ph AS i, f AS c FROM {tag}_c),
+{tag}_b AS (SELECT *, avg(c) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND {p - 1} FOLLOWING) AS a1 FROM {tag}_a),
+{tag}_d AS (SELECT *, avg(a1) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND {p - 1} FOLLOWING) AS a2 FROM {tag}_b),
+{tag}_e AS (SELECT *, avg(a2) OVER (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS a3 FROM {tag}_d),
+{tag}_f AS (SELECT e.series, e.i, e.a3 AS v, 1.0 AS w FROM {tag}_e e JOIN {source} o ON o.series = e.series AND o.i = e.i),
+{tag}_g AS (SELECT series, i AS x, n AS m FROM {source}),
+{_sql_lines(tag + "_l", tag + "_g", tag + "_f", "series", low)},
+{tag}_h AS (SELECT o.series, o.i, o.n, o.y, o.w, c.c - l.f AS s, o.y - (c.c - l.f) AS v FROM {source} o JOIN {tag}_a c ON c.series = o.series AND c.i = o.i + {p} JOIN {tag}_l l ON l.series = o.series AND l.x = o.i),
+{_sql_lines(tag + "_t", tag + "_g", tag + "_h", "series", trend)},
+{tag} AS (SELECT h.series, h.i, h.n, h.y, h.s, t.f AS t FROM {tag}_h h JOIN {tag}_t t ON t.series = h.series AND t.x = h.i)"""
+
+
+_STL = SQL_FILLED + f""",
+base AS (SELECT series, ts, pos - min(pos) OVER w AS i, count(*) OVER w AS n, x AS y, 0.0 AS t, 1.0::DOUBLE AS w FROM filled WINDOW w AS (PARTITION BY series)),
+{_sql_pass("one", "base")},
+mid AS (SELECT series, 6 * quantile_cont(abs(y - s - t), 0.5) AS h FROM one GROUP BY 1),
+again AS (SELECT series, i, n, y, t, pow(greatest(0, 1 - pow((y - s - t) / h, 2)), 2) AS w FROM one JOIN mid USING (series)),
+{_sql_pass("two", "again")}"""
+
+
+@query("d10_local_regression_round", f"""WITH {_STL} SELECT o.series, b.ts, round(o.t, 6) + 0.0 AS trend, round(o.s, 6) + 0.0 AS seasonal, round(o.y - o.s - o.t, 6) + 0.0 AS resid, round(a.w, 6) + 0.0 AS weight
+FROM two o JOIN base b ON b.series = o.series AND b.i = o.i JOIN again a ON a.series = o.series AND a.i = o.i""")
+def d10_round(t):
+    """One pass, robustness weights, and one pass more."""
+    p = stl.stl(hourly_filled(t), S, "pos", "x", 24, inner=1, outer=1).withColumn("ts", slot_start(F.col("pos"), "hour"))
+    return p.select("series", "ts", *[r(c).alias(c) for c in ("trend", "seasonal", "resid")], r("robust").alias("weight"))
+
+
+@query("d10_robust_local_regression")
+def d10_stl(t):
+    p = stl.stl(hourly_filled(t), S, "pos", "x", 24, robust=True).withColumn("ts", slot_start(F.col("pos"), "hour"))
+    return p.select("series", "ts", *[r(c).alias(c) for c in ("trend", "seasonal", "resid")], r("robust").alias("weight"))
+
+
+@query("d9_multi_local_regression")
+def d9_stl(t):
+    p = stl.multi_stl(hourly_filled(t), S, "pos", "x", [24, 168]).withColumn("ts", slot_start(F.col("pos"), "hour"))
+    return p.select("series", "ts", *[r(c).alias(c) for c in ("seasonal_24", "seasonal_168", "trend", "resid")])
+
+
 # ------------------------------------------------------------------ spectra
 @query("d12_candidate_power", f"""WITH {SQL_FILLED}, dev AS (SELECT series, pos - min(pos) OVER (PARTITION BY series) AS t, x - avg(x) OVER (PARTITION BY series) AS e FROM filled)
 SELECT series, CAST(p AS DOUBLE) AS period, round(2 * (pow(sum(e * cos(2 * pi() * t / p)), 2) + pow(sum(e * sin(2 * pi() * t / p)), 2)) / count(*), 2) AS power
