@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions.gridtime import position, slot_start
-from tidewright.operators import decompose, diagnostics as dg, stl
+from tidewright.operators import decompose, diagnostics as dg, spectrum, stl
 from tidewright.operators.ordering import lag_of, look_around
 from tidewright.plans.panels import S, SQL_FILLED, SQL_MONTHLY, SQL_RETURNS, daily_returns, hourly_filled, monthly, r
 from tidewright.plans.registry import query
@@ -249,6 +249,24 @@ def d12s(t):
     return dg.mean_spectrum(hourly_filled(t), S, "pos", "x", 168).select("series", "k", r("power", 3).alias("power"))
 
 
+_WHOLE = SQL_FILLED + """,
+dev AS (SELECT series, pos - min(pos) OVER w AS t, x - avg(x) OVER w AS e, count(*) OVER w AS n FROM filled WINDOW w AS (PARTITION BY series)),
+whole AS (SELECT series, k, any_value(n) AS n, (CASE WHEN 2 * k = any_value(n) THEN 1 ELSE 2 END) * (pow(sum(e * cos(2 * pi() * (k * t % n) / n)), 2) + pow(sum(e * sin(2 * pi() * (k * t % n) / n)), 2)) / any_value(n) AS power
+          FROM dev, unnest(generate_series(1, n // 2)) AS u(k) GROUP BY 1, 2)"""
+
+
+@query("d12_whole_spectrum", f"WITH {_WHOLE} SELECT series, k, round(n / k, 6) AS period, round(power, 3) AS power FROM whole")
+def d12w(t):
+    return spectrum.whole_spectrum(hourly_filled(t), S, "pos", "x").select("series", "k", r("period").alias("period"), r("power", 3).alias("power"))
+
+
+@query("d12_dominant_periods", f"""WITH {_WHOLE}, ranked AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY power DESC, k) AS rank, power / sum(power) OVER (PARTITION BY series) AS share FROM whole)
+SELECT series, CAST(rank AS INTEGER) AS rank, k, round(n / k, 6) AS period, round(share, 6) AS share FROM ranked WHERE rank <= 5""")
+def d12d(t):
+    p = spectrum.dominant_periods(spectrum.whole_spectrum(hourly_filled(t), S, "pos", "x"), S, 5)
+    return p.select("series", "rank", "k", r("period").alias("period"), r("share").alias("share"))
+
+
 @query("d13_band_power", f"""WITH {SQL_FILLED}, base AS (SELECT series, pos - min(pos) OVER (PARTITION BY series) AS t, x FROM filled),
 seg AS (SELECT series, s AS segment, t - s * 84 AS u, x FROM base CROSS JOIN generate_series(0, 20) AS g(s) WHERE t >= s * 84 AND t < s * 84 + 168),
 dv AS (SELECT series, segment, u, x - avg(x) OVER w AS e, count(*) OVER w AS m, least(u, 167 - u) AS near FROM seg WINDOW w AS (PARTITION BY series, segment)),
