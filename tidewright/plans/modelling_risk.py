@@ -293,6 +293,38 @@ def m13g(t):
     return risk.garch_fit(daily_returns(t), S, "pos", "ret", asymmetric=True)
 
 
+def _garch_sql(asymmetric: bool) -> str:
+    """The fit as a recursion in SQL: every parameter set of the grid over every series, the largest likelihood kept."""
+    sets = [p for p in risk.GARCH_GRID if asymmetric or p["gamma"] == 0]
+    grid = ", ".join(f"({k}, {p['alpha']}::DOUBLE, {p['gamma']}::DOUBLE, {p['beta']}::DOUBLE)" for k, p in enumerate(sets))
+    return f"""WITH RECURSIVE {SQL_RETURNS},
+st AS (SELECT series, avg(ret) AS mu, var_samp(ret) AS v, count(*) AS n FROM rets GROUP BY 1),
+sh AS MATERIALIZED (SELECT series, row_number() OVER (PARTITION BY series ORDER BY pos) AS i, (ret - mu) / sqrt(v) AS e FROM rets JOIN st USING (series)),
+grid AS (SELECT * FROM (VALUES {grid}) AS g(k, a, g, b)),
+rec AS (SELECT series, k, a, g, b, i, e, 1.0::DOUBLE AS s, 0.5 * (ln(2 * pi()) + e * e) AS loss FROM sh, grid WHERE i = 1
+        UNION ALL SELECT series, k, a, g, b, i, e, s, loss + 0.5 * (ln(2 * pi()) + ln(s) + e * e / s) FROM
+          (SELECT r.series, k, a, g, b, t.i, t.e, loss, b * s + (1 - a - g / 2 - b) + (a + CASE WHEN r.e < 0 THEN g ELSE 0 END) * r.e * r.e AS s
+           FROM rec r JOIN sh t ON t.series = r.series AND t.i = r.i + 1)),
+fin AS (SELECT rec.*, v, n, row_number() OVER (PARTITION BY rec.series ORDER BY loss, k) AS place FROM rec JOIN st ON st.series = rec.series AND rec.i = st.n)
+SELECT series, a AS alpha, g AS gamma, b AS beta, round(a + g / 2 + b, 6) AS persistence, round(-loss - n * 0.5 * ln(v), 4) AS log_lik,
+  round(v * (b * s + (1 - a - g / 2 - b) + (a + CASE WHEN e < 0 THEN g ELSE 0 END) * e * e), 4) AS next_variance FROM fin WHERE place = 1"""
+
+
+def _garch_columns(fits):
+    return fits.select("series", "alpha", "gamma", "beta", r("persistence").alias("persistence"), r("log_lik", 4).alias("log_lik"),
+                       r("sigma2_next", 4).alias("next_variance"))
+
+
+@query("m13_garch_likelihood", _garch_sql(False))
+def m13l(t):
+    return _garch_columns(risk.garch_fit(daily_returns(t), S, "pos", "ret"))
+
+
+@query("m13_gjr_likelihood", _garch_sql(True))
+def m13gl(t):
+    return _garch_columns(risk.garch_fit(daily_returns(t), S, "pos", "ret", asymmetric=True))
+
+
 @query("m13_news_impact")
 def m13n(t):
     return risk.news_impact(risk.garch_fit(daily_returns(t), S, "pos", "ret", asymmetric=True), S, [-40, -20, -10, 0, 10, 20, 40])
