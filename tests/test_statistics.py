@@ -285,3 +285,23 @@ def test_neighbours_of_rows_with_missing_features(spark):
         dist[i] = np.inf
         want = [int(j) for j in np.lexsort((np.arange(400), dist))[:3] if np.isfinite(dist[j])]
         assert [got.get(i, {}).get(p) for p in range(1, len(want) + 1)] == want
+
+
+def test_calendar_composition(spark, small):
+    import datetime as dt
+    from collections import Counter
+
+    from tidewright.operators.profile import calendar_composition
+    from tidewright.plans import catalog
+    days = [(r["cluster"], r["day"]) for r in catalog.QUERIES["m3_day_shape_clusters"](spark, small).collect()]
+    got = {(r["cluster"], r["part"], r["item"]): r for r in catalog.QUERIES["m4_day_shapes_by_calendar"](spark, small).collect()}
+    size, every, n = Counter(c for c, _ in days), Counter(d.isoweekday() for _, d in days), Counter((c, d.isoweekday()) for c, d in days)
+    assert {(c, i) for c, part, i in got if part == "weekday"} == set(n)
+    for (c, i), k in n.items():
+        row = got[c, "weekday", i]
+        assert row["n"] == k and abs(row["pct"] - 100 * k / size[c]) < 1e-5
+        assert abs(row["lift"] - k / size[c] / (every[i] / len(days))) < 1e-5
+    rows = [(None, dt.date(2024, 1, 1)), ("a", dt.date(2024, 1, 7)), ("a", None)]
+    odd = {(r["g"], r["part"], r["item"]): (r["n"], r["pct"], r["all_pct"]) for r in calendar_composition(spark.createDataFrame(rows, "g string, d date"), "g", "d").collect()}
+    assert odd == {(None, "weekday", 1): (1, 100, 50), (None, "month", 1): (1, 100, 100), ("a", "weekday", 7): (1, 100, 50), ("a", "month", 1): (1, 100, 100)}
+    assert calendar_composition(spark.createDataFrame([], "g string, d date"), "g", "d").count() == 0

@@ -161,3 +161,21 @@ def ks_p_value(ks: Column, n1: Column, n2: Column) -> Column:
     lam = F.sqrt(n1 * n2 / (n1 + n2)) * ks
     total = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 51)), F.lit(0.0))
     return F.when(lam < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+
+
+def calendar_composition(df: DataFrame, regime: str, ts: str) -> DataFrame:
+    """Share of each weekday (1 = Monday) and month within each regime, beside its share of all rows.
+
+    Returns (regime, part, item, n, pct, all_pct, lift), ``part`` being weekday or month. Rows without a date take no part; a null regime is one of its own.
+    Rows are counted once, per regime and day of the calendar; all else works on these few counts.
+    """
+    day = F.col(ts).cast("date")
+    cells = df.where(day.isNotNull()).groupBy(F.col(regime).alias("regime"), (F.weekday(day) + 1).alias("weekday"), F.month(day).alias("month")).agg(F.count("*").alias("n"))
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("item")) for c in ("weekday", "month")])
+    rows = cells.select("regime", F.inline(parts), "n").groupBy("regime", "part", "item").agg(F.sum("n").alias("n"))
+
+    def total(*by):
+        return F.sum("n").over(Window.partitionBy(*by))
+
+    pct, base = 100 * F.col("n") / total("regime", "part"), 100 * total("part", "item") / total("part")
+    return rows.select(F.col("regime").alias(regime), "part", "item", "n", pct.alias("pct"), base.alias("all_pct"), (pct / base).alias("lift"))

@@ -95,6 +95,28 @@ def m4m(t):
 
 
 
+def _composition(rows, regime, ts):
+    out = profile.calendar_composition(rows, regime, ts)
+    return out.select(regime, "part", "item", "n", *[r(c).alias(c) for c in ("pct", "all_pct", "lift")])
+
+
+@query("m4_day_shapes_by_calendar")
+def m4d(t):
+    """The day-shape clusters by real weekday and month."""
+    days = _day_shapes(t)
+    return _composition(mv.assign(days, mv.kmeans(days, "shape", 4), "shape"), "cluster", "day")
+
+
+@query("m4_price_regimes_by_calendar", """WITH o AS (SELECT CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'middle' ELSE 'high' END AS regime, o_orderdate AS d FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL),
+c AS (SELECT regime, 'weekday' AS part, isodow(d) AS item, count(*) AS n FROM o GROUP BY 1, 3 UNION ALL SELECT regime, 'month', month(d), count(*) FROM o GROUP BY 1, 3),
+p AS (SELECT *, 100.0 * n / sum(n) OVER (PARTITION BY regime, part) AS pct, 100.0 * sum(n) OVER (PARTITION BY part, item) / sum(n) OVER (PARTITION BY part) AS all_pct FROM c)
+SELECT regime, part, CAST(item AS INTEGER) AS item, n, round(pct, 6) AS pct, round(all_pct, 6) AS all_pct, round(pct / all_pct, 6) AS lift FROM p""")
+def m4p(t):
+    price = F.col("o_totalprice")
+    rows = t.orders.where(price.isNotNull()).withColumn("regime", F.when(price < 50000, "low").when(price < 200000, "middle").otherwise("high"))
+    return _composition(rows, "regime", "o_orderdate")
+
+
 def _granger_sql():
     parts = [f"""SELECT '{e}' AS effect, '{c}' AS cause, count(*) AS n, corr(y, y1) AS a, corr(y, x1) AS b, corr(y1, x1) AS g FROM
 (SELECT {e} AS y, lag({e}) OVER (ORDER BY pos) AS y1, lag({c}) OVER (ORDER BY pos) AS x1 FROM wide) WHERE y1 IS NOT NULL"""
